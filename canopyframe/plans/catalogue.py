@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyframe.plans import spectral
+from canopyframe.plans import evaluation, rasters, spectral
 from canopyframe.plans.registry import QUERIES, SQL, Tables
 
-__all__ = ["QUERIES", "SQL", "flagship"]
+GROUPS = (spectral, rasters, evaluation)
+
+__all__ = ["GROUPS", "QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
