@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyframe.plans import evaluation, rasters, spectral
+from canopyframe.plans import business, evaluation, rasters, spectral
 from canopyframe.plans.registry import QUERIES, SQL, Tables
 
-GROUPS = (spectral, rasters, evaluation)
+GROUPS = (spectral, rasters, evaluation, business)
 
 __all__ = ["GROUPS", "QUERIES", "SQL", "flagship"]
 

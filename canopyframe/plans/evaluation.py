@@ -148,7 +148,7 @@ def _(t):
 LOGP = NLL.replace(" / tau", "")
 FW = [1.0, 2.0, 3.0, 0.5]
 FOCAL = f"""
-fl AS (SELECT *, -{LOGP} AS lp, ({FW}::DOUBLE[])[truth + 1] AS w, abs(onset - day) AS err FROM sc WHERE truth IS NOT NULL),
+fl AS (SELECT *, 0 - {LOGP} AS lp, ({FW}::DOUBLE[])[truth + 1] AS w, abs(onset - day) AS err FROM sc WHERE truth IS NOT NULL),
 fo AS (SELECT sum(-pow(greatest(0, 1 - exp(lp)), 2) * lp * w) / sum(w) AS focal, avg(CASE WHEN err <= 2 THEN 0.5 * err * err ELSE 2 * (err - 1) END) AS huber FROM fl)"""
 
 
@@ -168,7 +168,7 @@ def _(t):
 
 
 # Attributions: centred pixel values stand in for model gradients.
-ATTR_SQL = "at AS (SELECT CAST(band AS INTEGER) AS band, v - 0.5 AS value FROM long), im AS (SELECT band, sum(abs(value)) / sum(sum(abs(value))) OVER () AS importance FROM at GROUP BY band)"
+ATTR_SQL = "atr AS (SELECT CAST(band AS INTEGER) AS band, v - 0.5 AS value FROM long), im AS (SELECT band, sum(abs(value)) / sum(sum(abs(value))) OVER () AS importance FROM atr GROUP BY band)"
 
 
 def _importance(t):
