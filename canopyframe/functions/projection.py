@@ -1,14 +1,16 @@
 """Transverse-Mercator (UTM) and web-Mercator mathematics as Column expressions.
 
 Krueger's series to sixth order in the third flattening: published, and far below a millimetre
-inside a zone. Works on columns, so it stays in generated code.
+inside a zone. ``with_*`` run it as staged projections in generated code (the per-pixel path);
+``*_point`` are single expressions for points inside arrays.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.functions.geometry import WGS84_A, WGS84_F
@@ -63,53 +65,116 @@ def _false_northing(epsg: Column) -> Column:
     return F.when(epsg >= 32700, F.lit(1e7)).otherwise(F.lit(0.0))
 
 
-def lonlat_to_utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
-    """Easting and northing in metres."""
-    lam = F.radians(lon - central_meridian(epsg))
-    s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - ECC * F.atanh(ECC * s))
-    xi0 = F.atan2(t, F.cos(lam))
-    eta0 = F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    xi, eta = xi0, eta0
-    for j, a in enumerate(ALPHA, start=1):
-        xi = xi + a * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-        eta = eta + a * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
-    return 500000.0 + K0 * RECTIFYING * eta, _false_northing(epsg) + K0 * RECTIFYING * xi
-
-
-def utm_to_lonlat(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees."""
-    xi = (y - _false_northing(epsg)) / (K0 * RECTIFYING)
-    eta = (x - 500000.0) / (K0 * RECTIFYING)
-    xi0, eta0 = xi, eta
-    for j, b in enumerate(BETA, start=1):
-        xi0 = xi0 - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        eta0 = eta0 - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    tau0 = F.sin(xi0) / F.sqrt(F.pow(F.sinh(eta0), F.lit(2.0)) + F.pow(F.cos(xi0), F.lit(2.0)))
-    psi = F.asinh(tau0)
+Get = Callable[[str], Column]
+Stage = Callable[[Get], dict[str, Column]]
+
+
+def _series(xi: Column, eta: Column, coefficients: tuple[float, ...], sign: int) -> tuple[Column, Column]:
+    a, b = xi, eta
+    for j, c in enumerate(coefficients, start=1):
+        a = a + sign * c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        b = b + sign * c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    return a, b
+
+
+# Each stage only reads the results of the ones before it, so that no term is written out twice.
+def _f1(g: Get) -> dict[str, Column]:
+    return {"lam": F.radians(g("lon") - central_meridian(g("epsg"))), "s": F.sin(F.radians(g("lat")))}
+
+
+def _f2(g: Get) -> dict[str, Column]:
+    return {"t": F.sinh(F.atanh(g("s")) - ECC * F.atanh(ECC * g("s")))}
+
+
+def _f3(g: Get) -> dict[str, Column]:
+    return {"xi": F.atan2(g("t"), F.cos(g("lam"))), "eta": F.atanh(F.sin(g("lam")) / F.sqrt(1 + g("t") * g("t")))}
+
+
+def _f4(g: Get) -> dict[str, Column]:
+    xi, eta = _series(g("xi"), g("eta"), ALPHA, 1)
+    return {"x": 500000.0 + K0 * RECTIFYING * eta, "y": _false_northing(g("epsg")) + K0 * RECTIFYING * xi}
+
+
+def _i1(g: Get) -> dict[str, Column]:
+    return {"xi": (g("y") - _false_northing(g("epsg"))) / (K0 * RECTIFYING), "eta": (g("x") - 500000.0) / (K0 * RECTIFYING)}
+
+
+def _i2(g: Get) -> dict[str, Column]:
+    xi, eta = _series(g("xi"), g("eta"), BETA, -1)
+    return {"xi0": xi, "eta0": eta}
+
+
+def _i3(g: Get) -> dict[str, Column]:
+    xi, eta = g("xi0"), g("eta0")
+    psi = F.asinh(F.sin(xi) / F.sqrt(F.sinh(eta) * F.sinh(eta) + F.cos(xi) * F.cos(xi)))
+    return {"psi": psi, "dl": F.atan2(F.sinh(eta), F.cos(xi))}
+
+
+def _i4(g: Get) -> dict[str, Column]:
     # Isometric to geodetic latitude by fixed-point steps; five leave no measurable error.
-    s = F.tanh(psi)
+    s = F.tanh(g("psi"))
     for _ in range(5):
-        s = F.tanh(psi + ECC * F.atanh(ECC * s))
-    lon = central_meridian(epsg) + F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0)))
-    return lon, F.degrees(F.asin(s))
+        s = F.tanh(g("psi") + ECC * F.atanh(ECC * s))
+    return {"lon": central_meridian(g("epsg")) + F.degrees(g("dl")), "lat": F.degrees(F.asin(s))}
 
 
-def to_wgs84(rings: Column, epsg: Column, digits: int = 7) -> Column:
-    """Polygon rings from UTM metres to rounded longitude/latitude."""
+FORWARD, INVERSE = (_f1, _f2, _f3, _f4), (_i1, _i2, _i3, _i4)
 
-    def point(p: Column) -> Column:
-        lon, lat = utm_to_lonlat(F.get(p, F.lit(0)), F.get(p, F.lit(1)), epsg)
-        return F.array(F.round(lon, digits), F.round(lat, digits))
 
-    return F.transform(rings, lambda r: F.transform(r, point))
+def _staged(df: DataFrame, given: dict[str, Column], stages: tuple[Stage, ...], out: dict[str, str]) -> DataFrame:
+    """Run the stages as successive projections; all of them stay in generated code."""
+    get = lambda name: F.col(f"_tm_{name}")
+    d = df.withColumns({f"_tm_{k}": v for k, v in given.items()})
+    for stage in stages:
+        d = d.withColumns({f"_tm_{k}": v for k, v in stage(get).items()})
+    d = d.withColumns({name: get(k) for k, name in out.items()})
+    return d.drop(*[c for c in d.columns if c.startswith("_tm_")])
 
 
-def from_wgs84(rings: Column, epsg: Column) -> Column:
-    def point(p: Column) -> Column:
-        return F.array(*lonlat_to_utm(F.get(p, F.lit(0)), F.get(p, F.lit(1)), epsg))
+def _bound(given: dict[str, Column], stages: tuple[Stage, ...]) -> Column:
+    """Run the stages inside one expression, each result bound to a lambda variable."""
+    def step(env: Column, names: tuple[str, ...], rest: tuple[Stage, ...]) -> Column:
+        if not rest:
+            return env
+        new = rest[0](lambda n: env[n])
+        merged = F.struct(*[env[n].alias(n) for n in names if n not in new], *[v.alias(k) for k, v in new.items()])
+        after = tuple(n for n in names if n not in new) + tuple(new)
+        return F.get(F.transform(F.array(merged), lambda e: step(e, after, rest[1:])), F.lit(0))
+
+    start = F.struct(*[v.alias(k) for k, v in given.items()])
+    return F.get(F.transform(F.array(start), lambda e: step(e, tuple(given), stages)), F.lit(0))
+
+
+def with_utm(df: DataFrame, lon: Column, lat: Column, epsg: Column, x: str = "x", y: str = "y") -> DataFrame:
+    """Append easting and northing in metres."""
+    return _staged(df, {"lon": lon, "lat": lat, "epsg": epsg}, FORWARD, {"x": x, "y": y})
+
+
+def with_lonlat(df: DataFrame, x: Column, y: Column, epsg: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Append longitude and latitude in degrees."""
+    return _staged(df, {"x": x, "y": y, "epsg": epsg}, INVERSE, {"lon": lon, "lat": lat})
+
 
-    return F.transform(rings, lambda r: F.transform(r, point))
+def utm_point(lon: Column, lat: Column, epsg: Column) -> Column:
+    """Struct with fields ``x, y``; for points inside arrays (metadata and ring corners)."""
+    return _bound({"lon": lon, "lat": lat, "epsg": epsg}, FORWARD)
+
+
+def lonlat_point(x: Column, y: Column, epsg: Column) -> Column:
+    """Struct with fields ``lon, lat``; for points inside arrays (metadata and ring corners)."""
+    return _bound({"x": x, "y": y, "epsg": epsg}, INVERSE)
+
+
+def to_wgs84(rings: Column, epsg: Column, digits: int = 7) -> Column:
+    """Polygon rings from UTM metres to rounded longitude/latitude."""
+    points = F.transform(rings, lambda r: F.transform(r, lambda p: lonlat_point(F.get(p, F.lit(0)), F.get(p, F.lit(1)), epsg)))
+    return F.transform(points, lambda r: F.transform(r, lambda p: F.array(F.round(p.lon, digits), F.round(p.lat, digits))))
+
+
+def from_wgs84(rings: Column, epsg: Column) -> Column:
+    """Polygon rings from longitude/latitude to UTM metres."""
+    points = F.transform(rings, lambda r: F.transform(r, lambda p: utm_point(F.get(p, F.lit(0)), F.get(p, F.lit(1)), epsg)))
+    return F.transform(points, lambda r: F.transform(r, lambda p: F.array(p.x, p.y)))
 
 
 def mercator_tile(lon: Column, lat: Column, zoom: Column | int, size: int = 256) -> dict[str, Column]:

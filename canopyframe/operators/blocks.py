@@ -159,3 +159,8 @@ def border_pairs(labelled: DataFrame, keys: tuple[str, ...] = ("scene_id", "risk
         touch = edge.join(other, [*keys, "row", "col"]).select(*keys, "a", "b")
         out = touch if out is None else out.unionByName(touch)
     return out.distinct()
+
+
+def apply_blocks(px: DataFrame, fn, schema: str, block: int = 256, halo: int = 0) -> DataFrame:
+    """Run ``fn(pandas) -> pandas`` on every block (with ``br, bc`` columns) of bounded size."""
+    return with_halo(px, block, halo).groupBy("scene_id", "br", "bc").applyInPandas(fn, schema)

@@ -172,8 +172,7 @@ def lonlat_bounds(grids: DataFrame) -> DataFrame:
     def lonlat(p: Column) -> Column:
         x = F.col("a") * p.c + F.col("b") * p.r + F.col("c")
         y = F.col("d") * p.c + F.col("e") * p.r + F.col("f")
-        lon, lat = P.utm_to_lonlat(x, y, F.col("epsg"))
-        return F.struct(lon.alias("lon"), lat.alias("lat"))
+        return P.lonlat_point(x, y, F.col("epsg"))
 
     g = grids.withColumn("_p", F.transform(pts, lonlat))
     out = g.withColumns({
@@ -198,11 +197,9 @@ def plan_grid(grids: DataFrame, epsg: int | None = None, resolution: float | Non
     def project(p: Column) -> Column:
         x = F.col("a") * p.c + F.col("b") * p.r + F.col("c")
         y = F.col("d") * p.c + F.col("e") * p.r + F.col("f")
-        lon, lat = P.utm_to_lonlat(x, y, F.col("epsg"))
-        tx, ty = P.lonlat_to_utm(lon, lat, F.col("_t"))
-        return F.struct(tx.alias("x"), ty.alias("y"))
+        return P.lonlat_point(x, y, F.col("epsg"))
 
-    g = g.withColumn("_q", F.transform(pts, project))
+    g = g.withColumn("_q", F.transform(F.transform(pts, project), lambda p: P.utm_point(p.lon, p.lat, F.col("_t"))))
     xs, ys = F.transform("_q", lambda p: p.x), F.transform("_q", lambda p: p.y)
     res = F.lit(float(resolution)) if resolution else F.abs(F.col("a"))
     made = F.struct(
@@ -227,12 +224,15 @@ def source_window(win: DataFrame, pad: int = 2) -> DataFrame:
     def project(p: Column) -> Column:
         cc, rr = p.c + F.col("col_off"), p.r + F.col("row_off")
         x, y = d.a * cc + d.b * rr + d.c, d.d * cc + d.e * rr + d.f
-        lon, lat = P.utm_to_lonlat(x, y, d.epsg)
-        tx, ty = P.lonlat_to_utm(lon, lat, s.epsg)
-        same = d.epsg == s.epsg
-        return F.struct(F.when(same, x).otherwise(tx).alias("x"), F.when(same, y).otherwise(ty).alias("y"))
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def moved(p: Column) -> Column:
+        ll = P.lonlat_point(p.x, p.y, d.epsg)
+        return P.utm_point(ll.lon, ll.lat, s.epsg)
 
-    g = win.withColumn("_q", F.transform(pts, project))
+    g = win.withColumn("_p", F.transform(pts, project))
+    g = g.withColumn("_q", F.when(d.epsg == s.epsg, F.col("_p")).otherwise(
+        F.transform(F.transform("_p", moved), lambda q: F.struct(q.x.alias("x"), q.y.alias("y"))))).drop("_p")
     xs, ys = F.transform("_q", lambda p: p.x), F.transform("_q", lambda p: p.y)
     g = g.withColumns({"a": s.a, "c": s.c, "e": s.e, "f": s.f, "width": s.width, "height": s.height,
                        "_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
@@ -251,16 +251,22 @@ def reproject(px: DataFrame, plans: DataFrame) -> DataFrame:
     rows = plans.select("scene_id", "src", "dst", F.explode(F.sequence(F.lit(0), F.col("dst.height") - 1)).alias("row"))
     grid = rows.repartition("scene_id", "row").select("*", F.explode(F.sequence(F.lit(0), F.col("dst.width") - 1)).alias("col"))
     s, d = F.col("src"), F.col("dst")
-    x = d.a * (F.col("col") + 0.5) + d.b * (F.col("row") + 0.5) + d.c
-    y = d.d * (F.col("col") + 0.5) + d.e * (F.col("row") + 0.5) + d.f
-    lon, lat = P.utm_to_lonlat(x, y, d.epsg)
-    tx, ty = P.lonlat_to_utm(lon, lat, s.epsg)
-    same = d.epsg == s.epsg
-    sx, sy = F.when(same, x).otherwise(tx), F.when(same, y).otherwise(ty)
+    grid = grid.withColumns({
+        "_x": d.a * (F.col("col") + 0.5) + d.b * (F.col("row") + 0.5) + d.c,
+        "_y": d.d * (F.col("col") + 0.5) + d.e * (F.col("row") + 0.5) + d.f})
+    if not plans.filter("src.epsg <> dst.epsg").isEmpty():
+        # Only when some scene changes zone: through longitude and latitude.
+        grid = P.with_lonlat(grid, F.col("_x"), F.col("_y"), d.epsg, "_lon", "_lat")
+        grid = P.with_utm(grid, F.col("_lon"), F.col("_lat"), s.epsg, "_ux", "_uy")
+        same = d.epsg == s.epsg
+        grid = grid.withColumns({
+            "_x": F.when(same, F.col("_x")).otherwise(F.col("_ux")), "_y": F.when(same, F.col("_y")).otherwise(F.col("_uy"))})
+        grid = grid.drop("_lon", "_lat", "_ux", "_uy")
+    sx, sy = F.col("_x"), F.col("_y")
     det = s.a * s.e - s.b * s.d
     grid = grid.withColumns({
         "_sc": F.floor((s.e * (sx - s.c) - s.b * (sy - s.f)) / det).cast("int"),
         "_sr": F.floor((s.a * (sy - s.f) - s.d * (sx - s.c)) / det).cast("int"),
     })
     src = px.withColumnRenamed("row", "_sr").withColumnRenamed("col", "_sc")
-    return grid.drop("src", "dst").join(src, ["scene_id", "_sr", "_sc"], "left").drop("_sr", "_sc")
+    return grid.drop("src", "dst", "_x", "_y").join(src, ["scene_id", "_sr", "_sc"], "left").drop("_sr", "_sc")

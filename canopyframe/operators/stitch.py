@@ -54,8 +54,8 @@ def build_tiles(risk: DataFrame, zooms: Sequence[int]) -> DataFrame:
     ``risk`` carries ``x, y`` in UTM metres, ``epsg``, ``p0`` and ``valid``. Rows outside the
     world's tile range are dropped; tile pixels without data simply do not exist (transparent).
     """
-    lon, lat = P.utm_to_lonlat(F.col("x"), F.col("y"), F.col("epsg"))
-    pts = risk.select("p0", "valid", lon.alias("lon"), lat.alias("lat"), F.explode(F.array(*[F.lit(z) for z in zooms])).alias("z"))
+    placed = P.with_lonlat(risk.select("p0", "valid", "x", "y", "epsg"), F.col("x"), F.col("y"), F.col("epsg"))
+    pts = placed.select("p0", "valid", "lon", "lat", F.explode(F.array(*[F.lit(z) for z in zooms])).alias("z"))
     addr = P.mercator_tile(F.col("lon"), F.col("lat"), F.col("z"))
     n = F.pow(F.lit(2.0), F.col("z"))
     cells = pts.withColumns(addr).filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < n) & (F.col("y") < n))

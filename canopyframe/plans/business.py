@@ -147,9 +147,9 @@ def _(t):
 
 
 def _sort_query(field, direction, sql_key):
-    @query(f"t5_sort_by_{field}_{direction}", with_ctes(A.ZONES_SQL, body=f"SELECT zone_id, {field if field != 'zone_id' else 'k AS k'} FROM zn ORDER BY {sql_key} {direction}, zone_id LIMIT 25"))
+    @query(f"t5_sort_by_{field}_{direction}", with_ctes(A.ZONES_SQL, body=f"SELECT zone_id, {field if field != 'zone_id' else 'k AS k'} FROM zn ORDER BY {sql_key} {direction}, zone_id"))
     def _(t):
-        z = AN.sort_matrix(A.zones(t), field, direction).limit(25)
+        z = AN.sort_matrix(A.zones(t), field, direction)
         return z.select("zone_id", field if field != "zone_id" else "k")
 
 

@@ -197,17 +197,17 @@ def _(t):
 @query("p7_sensor_values", with_ctes(A.FAULTY_SQL, body=f"""
 SELECT {PKQ},
   (len(list_filter(s[:32], lambda x: {NOT_FINITE})) > 0 OR len(list_filter(s[:32], lambda x: x <> -1.0)) = 0) AS invalid,
-  {r6('''CASE WHEN vec_id % 2 = 0 THEN pi() * (0.5 * s[3] + 1.0) * pow(1.0 - 0.01672 * cos(radians(0.9856 * (100 - 4))), 2) / (1500.0 * sin(radians(40.0)))
+  {r6('''CASE WHEN isnan(s[3]) OR isinf(s[3]) THEN NULL WHEN vec_id % 2 = 0 THEN pi() * (0.5 * s[3] + 1.0) * pow(1.0 - 0.01672 * cos(radians(0.9856 * (100 - 4))), 2) / (1500.0 * sin(radians(40.0)))
            ELSE 0.5 * s[3] + 1.0 END''')} AS third_band
-FROM faulty WHERE NOT isnan(s[3]) AND NOT isinf(s[3])"""))
+FROM faulty"""))
 def _(t):
     """All-good-bands-equal-nodata validity and the radiance or reflectance dispatch."""
     px = A.faulty_pixels(t).withColumn("v", S.radiance("spectrum", 0.5, 1.0))
     quantity = F.when(F.col("vec_id") % 2 == 0, "radiance").otherwise("reflectance")
     out = S.unit_dispatch("v", quantity, [1500.0] * 64, F.lit(40.0), F.lit(100))
     good = [i < 32 for i in range(64)]
-    return px.filter(~S.not_finite(F.get("spectrum", F.lit(2)))).select(
-        *PK, S.all_bands_nodata("spectrum", -1.0, good).alias("invalid"), rnd(F.get(out, F.lit(2))).alias("third_band"))
+    third = F.get(out, F.lit(2))
+    return px.select(*PK, S.all_bands_nodata("spectrum", -1.0, good).alias("invalid"), F.when(~S.not_finite(third), rnd(third)).alias("third_band"))
 
 
 # ------------------------------------------------------------------ band tables
