@@ -62,6 +62,6 @@ def parse_rate_limit(text: str) -> tuple[int, int]:
 def keep_alives(events: DataFrame, silence_s: int = 15, timeout_s: int = 3600) -> DataFrame:
     """Keep-alive messages due in the silence before each event, up to the stream timeout."""
     order = ["us", "event_id"]
-    c = O.previous(O.chunked(events, ["job_id"], order), ["job_id"], order, "us", "_p")
-    gap = F.least(F.lit(timeout_s * 1_000_000), F.col("us") - F.col("_p"))
-    return c.withColumn("n_beats", F.coalesce(F.floor(gap / (silence_s * 1_000_000)), F.lit(0))).drop("_p", O.CHUNK)
+    c = O.previous(O.chunked(events, ["job_id"], order), ["job_id"], order, "us", "_before")
+    gap = F.least(F.lit(timeout_s * 1_000_000), F.col("us") - F.col("_before"))
+    return c.withColumn("n_beats", F.coalesce(F.floor(gap / (silence_s * 1_000_000)), F.lit(0))).drop("_before", O.CHUNK)

@@ -39,11 +39,11 @@ def prefix_sum(c: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     """Running sum per key up to and including each row."""
     w = _inside(keys, order)
     local = c.withColumn("_v", value).withColumn("_s", F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    carry = _carry(c.groupBy(*keys, CHUNK).agg(F.sum(value).alias("_t")), keys, F.sum("_t"), "_base")
+    carry = _carry(c.groupBy(*keys, CHUNK).agg(F.sum(value).alias("_t")), keys, F.sum("_t"), "_carried")
     return (
         local.join(carry, [*keys, CHUNK])
-        .withColumn(out, F.col("_s") + F.coalesce("_base", F.lit(0)))
-        .drop("_v", "_s", "_base")
+        .withColumn(out, F.col("_s") + F.coalesce("_carried", F.lit(0)))
+        .drop("_v", "_s", "_carried")
     )
 
 
@@ -51,21 +51,21 @@ def prefix_max_before(c: DataFrame, keys: Sequence[str], order: Sequence[Column
     """Largest value among the rows before each row of its key; NULL for the first."""
     w = _inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)
     local = c.withColumn("_v", value).withColumn("_m", F.max("_v").over(w))
-    carry = _carry(c.groupBy(*keys, CHUNK).agg(F.max(value).alias("_t")), keys, F.max("_t"), "_base")
+    carry = _carry(c.groupBy(*keys, CHUNK).agg(F.max(value).alias("_t")), keys, F.max("_t"), "_carried")
     return (
-        local.join(carry, [*keys, CHUNK]).withColumn(out, F.greatest("_m", "_base")).drop("_v", "_m", "_base")
+        local.join(carry, [*keys, CHUNK]).withColumn(out, F.greatest("_m", "_carried")).drop("_v", "_m", "_carried")
     )
 
 
 def previous(c: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Value of the row before each row of its key; NULL for the first."""
     w = _inside(keys, order)
-    local = c.withColumn("_p", F.lag(F.struct(F.col(value).alias("v"))).over(w))
+    local = c.withColumn("_lagged", F.lag(F.struct(F.col(value).alias("v"))).over(w))
     last = c.groupBy(*keys, CHUNK).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_t"))
     step = Window.partitionBy(*keys).orderBy(CHUNK)
-    carry = last.withColumn("_base", F.lag("_t").over(step)).select(*keys, CHUNK, "_base")
+    carry = last.withColumn("_carried", F.lag("_t").over(step)).select(*keys, CHUNK, "_carried")
     return (
-        local.join(carry, [*keys, CHUNK]).withColumn(out, F.coalesce("_p", "_base")["v"]).drop("_p", "_base")
+        local.join(carry, [*keys, CHUNK]).withColumn(out, F.coalesce("_lagged", "_carried")["v"]).drop("_lagged", "_carried")
     )
 
 
@@ -77,8 +77,8 @@ def last_seen(c: DataFrame, keys: Sequence[str], order: Sequence[str], value: st
                       F.when(F.col(value).isNotNull(), F.struct(*order)))
     summary = c.groupBy(*keys, CHUNK).agg(newest.alias("_t"))
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.withColumn("_base", F.last("_t", ignorenulls=True).over(before)).select(*keys, CHUNK, "_base")
-    return local.join(carry, [*keys, CHUNK]).withColumn(out, F.coalesce("_l", "_base")).drop("_l", "_base")
+    carry = summary.withColumn("_carried", F.last("_t", ignorenulls=True).over(before)).select(*keys, CHUNK, "_carried")
+    return local.join(carry, [*keys, CHUNK]).withColumn(out, F.coalesce("_l", "_carried")).drop("_l", "_carried")
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str = "n") -> DataFrame:
@@ -87,9 +87,9 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], o
     ks = list(keys) or ["_all"]
     c = chunked(tmp, ks, order)
     local = c.withColumn("_r", F.row_number().over(_inside(ks, order)))
-    carry = _carry(c.groupBy(*ks, CHUNK).agg(F.count(F.lit(1)).alias("_t")), ks, F.sum("_t"), "_base")
-    res = local.join(carry, [*ks, CHUNK]).withColumn(out, F.col("_r") + F.coalesce("_base", F.lit(0)))
-    return res.drop("_r", "_base", CHUNK, "_all")
+    carry = _carry(c.groupBy(*ks, CHUNK).agg(F.count(F.lit(1)).alias("_t")), ks, F.sum("_t"), "_carried")
+    res = local.join(carry, [*ks, CHUNK]).withColumn(out, F.col("_r") + F.coalesce("_carried", F.lit(0)))
+    return res.drop("_r", "_carried", CHUNK, "_all")
 
 
 def smallest(df: DataFrame, n: int, rank: Column, order: Sequence[Column | str], cells: int = 65536) -> DataFrame:

@@ -178,6 +178,8 @@ def run_available(stream: DataFrame, mode: str = "append", name: str = "stream")
     """Process everything available now into a Parquet table and return it."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Processing-time timers ask for batches for ever; a run over what is available must end.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     folder = work_folder(spark, name)
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True)
     if mode == "append":
