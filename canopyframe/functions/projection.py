@@ -122,12 +122,17 @@ FORWARD, INVERSE = (_f1, _f2, _f3, _f4), (_i1, _i2, _i3, _i4)
 
 
 def _staged(df: DataFrame, given: dict[str, Column], stages: tuple[Stage, ...], out: dict[str, str]) -> DataFrame:
-    """Run the stages as successive projections; all of them stay in generated code."""
+    """Run the stages as successive projections; all of them stay in generated code.
+
+    The results pass a condition on the partition number, which is always true but not
+    deterministic: without it a filter on a result (even an inferred IS NOT NULL on a join key)
+    would be pushed down through every stage and written out to an expression of enormous size.
+    """
     get = lambda name: F.col(f"_tm_{name}")
     d = df.withColumns({f"_tm_{k}": v for k, v in given.items()})
     for stage in stages:
         d = d.withColumns({f"_tm_{k}": v for k, v in stage(get).items()})
-    d = d.withColumns({name: get(k) for k, name in out.items()})
+    d = d.withColumns({name: F.when(F.spark_partition_id() >= 0, get(k)) for k, name in out.items()})
     return d.drop(*[c for c in d.columns if c.startswith("_tm_")])
 
 
@@ -177,15 +182,13 @@ def from_wgs84(rings: Column, epsg: Column) -> Column:
     return F.transform(points, lambda r: F.transform(r, lambda p: F.array(p.x, p.y)))
 
 
-def mercator_tile(lon: Column, lat: Column, zoom: Column | int, size: int = 256) -> dict[str, Column]:
-    """Tile and pixel address of a point at a zoom level."""
-    z = zoom if isinstance(zoom, Column) else F.lit(zoom)
-    n = F.pow(F.lit(2.0), z)
+def with_mercator_tile(df: DataFrame, lon: Column, lat: Column, zoom: Column, size: int = 256) -> DataFrame:
+    """Append the tile ``x, y`` and the pixel ``px, py`` in it of a point at a zoom level."""
     rad = F.radians(lat)
-    fx = (lon + 180.0) / 360.0 * n
-    fy = (1.0 - F.log(F.tan(rad) + 1.0 / F.cos(rad)) / math.pi) / 2.0 * n
-    x, y = F.floor(fx), F.floor(fy)
-    return {
-        "x": x.cast("int"), "y": y.cast("int"),
-        "px": F.floor((fx - x) * size).cast("int"), "py": F.floor((fy - y) * size).cast("int"),
-    }
+    d = df.withColumns({
+        "_fx": (lon + 180.0) / 360.0 * F.pow(F.lit(2.0), zoom),
+        "_fy": (1.0 - F.log(F.tan(rad) + 1.0 / F.cos(rad)) / math.pi) / 2.0 * F.pow(F.lit(2.0), zoom)})
+    d = d.withColumns({"x": F.floor("_fx").cast("int"), "y": F.floor("_fy").cast("int")})
+    return d.withColumns({
+        "px": F.floor((F.col("_fx") - F.col("x")) * size).cast("int"),
+        "py": F.floor((F.col("_fy") - F.col("y")) * size).cast("int")}).drop("_fx", "_fy")

@@ -1,45 +1,47 @@
-"""Connected components of an edge list by rounds of hooking and contraction.
-
-Each round hooks every node to its smallest smaller neighbour, follows one more pointer, and
-replaces the edges by edges between the new representatives, so the list shrinks every round
-(in the manner of the contraction rounds of Kiveris et al., SoCC 2014). A round is written to
-the checkpoint folder; nothing is gathered on the driver but an emptiness test.
+"""Connected components of an edge list by rounds of randomised contraction.
+
+In every round each node picks, among itself and its neighbours, the one with the smallest hash,
+and the edges are rewritten to the picks. Whatever the shape of the graph (chains and stars
+included) the expected number of nodes falls by a constant factor per round, so the rounds grow
+with the logarithm of the size (the contraction idea of Bogeholz, Brand and Todor, "In-database
+connected component analysis"). A round is written to the checkpoint folder; the driver only
+learns whether edges are left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.session import cut
 
 
-def _ordered(e: DataFrame) -> DataFrame:
+def _canonical(e: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return e.filter(a != b).select(
         F.when(a < b, a).otherwise(b).alias("a"), F.when(a < b, b).otherwise(a).alias("b")).distinct()
 
 
-def connected(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected(edges: DataFrame, max_rounds: int = 80) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; the root is the smallest node it reaches."""
-    e = cut(_ordered(edges))
+    e = cut(_canonical(edges))
     nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
     labels = nodes.withColumn("root", F.col("node"))
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         if e.isEmpty():
-            return labels
-        hook = e.groupBy("b").agg(F.min("a").alias("to"))
-        up = hook.select(F.col("b").alias("to"), F.col("to").alias("top"))
-        hook = cut(hook.join(up, "to", "left").select("b", F.coalesce("top", "to").alias("to")))
-
-        def moved(df: DataFrame, column: str, hook: DataFrame = hook) -> DataFrame:
-            h = hook.select(F.col("b").alias(column), F.col("to").alias("_to"))
-            return df.join(h, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+            # Picks are arbitrary members; name each component by its smallest node.
+            names = labels.groupBy("root").agg(F.min("node").alias("_name"))
+            return labels.join(names, "root").select("node", F.col("_name").alias("root"))
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        mark = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
+        pick = both.groupBy("a").agg(F.min(mark("b")).alias("_best")).select(
+            F.col("a").alias("_from"), F.least(mark("a"), F.col("_best"))["n"].alias("_to"))
+        pick = cut(pick)
+
+        def moved(df: DataFrame, column: str, pick: DataFrame = pick) -> DataFrame:
+            p = pick.withColumnRenamed("_from", column)
+            return df.join(p, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
         labels = cut(moved(labels, "root"))
-        e = cut(_ordered(moved(moved(e, "a"), "b")))
+        e = cut(_canonical(moved(moved(e, "a"), "b")))
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
-
-
-def node(*cols: str) -> Column:
-    return F.struct(*cols)

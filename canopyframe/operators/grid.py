@@ -72,7 +72,7 @@ def axis_hits(x: Column, n: Column, size: int, overlap: int) -> Column:
     last = F.greatest(F.lit(0), n - size)
     first = F.greatest(F.lit(0), F.ceil((x - size + 1) / F.lit(stride)).cast("int"))
     top = F.least(F.floor(x / F.lit(stride)).cast("int"), F.floor(last / F.lit(stride)).cast("int"))
-    regular = F.when(first <= top, F.transform(F.sequence(first, top), lambda k: k * stride)).otherwise(F.array().cast("array<int>"))
+    regular = F.when(first <= top, F.sequence(first * stride, top * stride, F.lit(stride))).otherwise(F.array().cast("array<int>"))
     edge = F.when(x >= last, F.array(last)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.concat(regular, edge))
 

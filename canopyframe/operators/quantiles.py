@@ -13,11 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopyframe.session import broadcast_if_small
+from canopyframe.session import broadcast_if_small, cut
 
 PER_OCTAVE = 64
 FLOOR_EXP = -40
 SLICES = 4096
+SMALL_CELL = 200_000
+MAX_BROADCAST_ROWS = 200_000
 
 
 def _cell(v: Column) -> Column:
@@ -55,7 +57,18 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     cells = cells.withColumn("_ranks", ranks)
     need1 = _wanted(cells, ks, "_cell", F.lit(0), "_ranks")
     # At most two cells per fraction and key.
-    need1 = broadcast_if_small(need1.select(*ks, "_cell", "_min", "_max", F.col("_from").alias("_start"), "_total", "_ranks"))
+    need1 = cut(need1.select(*ks, "_cell", "_min", "_max", "_n", F.col("_from").alias("_start"), "_total", "_ranks"))
+    size = need1.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("_n"), F.lit(0)).alias("biggest")).first()
+    need1 = need1.drop("_n")
+    if size.rows <= MAX_BROADCAST_ROWS:
+        need1 = F.broadcast(need1)
+    if size.biggest <= SMALL_CELL:
+        # No cell is large: its values can be ordered directly.
+        rows = base.join(need1, [*ks, "_cell"])
+        values = rows.groupBy(*ks, "_cell", "_v").agg(
+            F.count(F.lit(1)).alias("_n"), F.first("_start").alias("_start"), F.first("_total").alias("_total"), F.first("_ranks").alias("_ranks"))
+        found = _wanted(values, [*ks, "_cell"], "_v", F.col("_start"), "_ranks")
+        return _interpolate(found.select(*ks, "_total", "_ranks", "_from", "_n", "_v"), ks, probs)
 
     inner = base.join(need1, [*ks, "_cell"]).withColumn("_slice", _slice(F.col("_v")))
     slices = inner.groupBy(*ks, "_cell", "_slice").agg(
@@ -74,7 +87,10 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
         F.first("_total").alias("_total"), F.first("_ranks").alias("_ranks"))
     found = _wanted(values, [*ks, "_cell", "_slice"], "_v", F.col("_start2"), "_ranks")
     found = found.select(*ks, "_total", "_ranks", "_from", "_n", "_v").unionByName(flat)
+    return _interpolate(found, ks, probs)
 
+
+def _interpolate(found: DataFrame, ks: list[str], probs: Sequence[float]) -> DataFrame:
     # A few rows per key are left: pick each fraction's two neighbours and interpolate.
     def value_at(rank: Column) -> Column:
         inside = (rank >= F.col("_from")) & (rank < F.col("_from") + F.col("_n"))

@@ -56,9 +56,8 @@ def build_tiles(risk: DataFrame, zooms: Sequence[int]) -> DataFrame:
     """
     placed = P.with_lonlat(risk.select("p0", "valid", "x", "y", "epsg"), F.col("x"), F.col("y"), F.col("epsg"))
     pts = placed.select("p0", "valid", "lon", "lat", F.explode(F.array(*[F.lit(z) for z in zooms])).alias("z"))
-    addr = P.mercator_tile(F.col("lon"), F.col("lat"), F.col("z"))
     n = F.pow(F.lit(2.0), F.col("z"))
-    cells = pts.withColumns(addr).filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < n) & (F.col("y") < n))
+    cells = P.with_mercator_tile(pts, F.col("lon"), F.col("lat"), F.col("z")).filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < n) & (F.col("y") < n))
     agg = cells.groupBy("z", "x", "y", "px", "py").agg(F.avg(F.when(F.col("valid"), F.col("p0"))).alias("p_healthy"))
     ok = F.col("p_healthy").isNotNull()
     return agg.withColumns(colorize(1.0 - F.coalesce("p_healthy", F.lit(0.0)), ok))

@@ -114,14 +114,14 @@ def straight_runs(edges: DataFrame) -> DataFrame:
 def zone_rings(edges: DataFrame, simplify_px: float = 0.5) -> DataFrame:
     """Outline rings per zone, simplified; columns ``rings`` (outer first) in pixel corners.
 
-    Straight runs are merged before, so a group holds only the corners of one zone, which is the
+    Straight runs are merged before, so a row holds only the corners of one zone, which is the
     size of the geometry its output row carries anyway.
     """
     schema = "scene_id string, risk_class int, zone bigint, rings array<array<array<double>>>"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def outline(corners) -> list:
         nxt: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for a, b, c, d in pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None):
+        for a, b, c, d in corners:
             nxt.setdefault((int(a), int(b)), []).append((int(c), int(d)))
 
         def sign(v):
@@ -180,11 +180,15 @@ def zone_rings(edges: DataFrame, simplify_px: float = 0.5) -> DataFrame:
                 closed = slim if len(slim) >= 4 else closed
             rings.append(closed)
         rings.sort(key=lambda r: -abs(area(r[:-1])))
-        out = [[[float(x), float(y)] for x, y in r] for r in rings]
-        return pd.DataFrame({"scene_id": [pdf.scene_id.iloc[0]], "risk_class": [pdf.risk_class.iloc[0]],
-                             "zone": [pdf.zone.iloc[0]], "rings": [out]})
+        return [[[float(x), float(y)] for x, y in r] for r in rings]
 
-    return straight_runs(edges).groupBy(*KEYS, "zone").applyInPandas(run, schema)
+    def run(parts):
+        for pdf in parts:
+            rings = [outline(zip(*cols, strict=True)) for cols in pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)]
+            yield pd.DataFrame({"scene_id": pdf.scene_id, "risk_class": pdf.risk_class, "zone": pdf.zone, "rings": rings})
+
+    sides = straight_runs(edges).groupBy(*KEYS, "zone").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("s"))
+    return sides.select(*KEYS, "zone", "s.x0", "s.y0", "s.x1", "s.y1").mapInPandas(run, schema)
 
 
 def largest_part(parts: DataFrame, keys: Sequence[str], area: str) -> DataFrame:

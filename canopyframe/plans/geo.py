@@ -55,7 +55,7 @@ def located(t):
 
 @query("j2_pixels_in_polygons", with_ctes(A.RASTER_SQL, POLY_SQL, PIP_SQL, body=f"SELECT {PKQ}, fid AS field_id FROM pin"))
 def _(t):
-    """Pixels inside farm polygons: equi-join on 64-pixel blocks, then the exact test."""
+    """Pixels inside farm polygons, by scan-line runs and an equi-join."""
     return AO.pixels_in_fields(located(t), polygons(t), unit_grids(t)).select(*PK, "field_id")
 
 

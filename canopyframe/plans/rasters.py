@@ -176,7 +176,7 @@ def zone_sql(body: str, *more: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([A.RASTER_SQL, MASK_SQL, OPEN_SQL, COMP_SQL, *more]) + "\n" + body
 
 
-BLOCK = 32
+BLOCK = 64
 
 
 def _labelled(t, carry=("onset", "risk")):
@@ -190,7 +190,7 @@ def _(t):
 
 @query("g20_binary_opening", with_ctes(A.RASTER_SQL, MASK_SQL, OPEN_SQL, body=f"SELECT {PKQ}, rc AS risk_class FROM op"))
 def _(t):
-    """Opening by a 3x3 square in halo blocks of 32 pixels."""
+    """Opening by a 3x3 square in halo blocks of 64 pixels."""
     return BL.open_and_label(Z.zone_candidates(A.raster(t)), Z.KEYS, 1, BLOCK).select(*PK, "risk_class")
 
 
@@ -208,7 +208,7 @@ def _(t):
 
 @query("g21_connected_components", zone_sql(f"SELECT {PKQ}, rc AS risk_class, zone FROM lab"))
 def _(t):
-    """4-connected components of the opened mask, blocks of 32 pixels joined across borders."""
+    """4-connected components of the opened mask, blocks of 64 pixels joined across borders."""
     return Z.with_zone(*_labelled(t, ())).select(*PK, "risk_class", "zone")
 
 
