@@ -23,18 +23,20 @@ PROBS = ("p0", "p1", "p2", "p3")
 
 
 def classify(risk: DataFrame) -> DataFrame:
-    """Class of the largest probability (first wins) and clipped risk; NULL where not valid."""
-    probs = F.array(*PROBS)
+    """Class of the largest probability (first wins) and clipped risk; NULL where not valid.
+
+    Plain comparisons instead of array functions: they compile, and stay small when a filter on
+    the class is pushed down into them.
+    """
+    p = [F.col(c) for c in PROBS]
+    cls = F.when(p[0] >= F.greatest(*p[1:]), 0).when(p[1] >= F.greatest(p[2], p[3]), 1).when(p[2] >= p[3], 2).otherwise(3)
     return risk.withColumns({
-        "risk_class": F.when(F.col("valid"), rules.first_max(probs)),
-        "risk": F.when(F.col("valid"), rules.risk_score(F.col("p0")))})
+        "risk_class": F.when(F.col("valid"), cls), "risk": F.when(F.col("valid"), rules.risk_score(F.col("p0")))})
 
 
 def zone_candidates(risk: DataFrame, min_prob: float = 0.4) -> DataFrame:
-    """Pixels of a stressed class whose own probability reaches ``min_prob``."""
-    c = classify(risk)
-    own = F.get(F.array(*PROBS), F.col("risk_class"))
-    return c.filter((F.col("risk_class") > 0) & (own >= min_prob))
+    """Pixels of a stressed class whose own (that is, the largest) probability reaches ``min_prob``."""
+    return classify(risk.filter(F.greatest(*PROBS) >= min_prob)).filter(F.col("risk_class") > 0)
 
 
 def label_zones(mask: DataFrame, iterations: int = 1, block: int = 256, carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
