@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopyframe import constants as K
@@ -113,12 +113,16 @@ def fit_temperature(df: DataFrame, lo: float = 0.05, hi: float = 20.0, points: i
     return df.sparkSession.createDataFrame([(float(best.temperature), float(best.nll))], "temperature double, nll double")
 
 
-def focal_loss(df: DataFrame, gamma: float = 2.0, weights: Sequence[float] | None = None) -> DataFrame:
-    """Weighted mean focal loss over labelled pixels (cross-entropy when gamma is 0)."""
+def _focal(gamma: float, weights: Sequence[float] | None) -> Column:
     logp = log_softmax_at(F.col("logits"), F.col("truth"))
     loss = -logp if gamma == 0 else -F.pow(F.greatest(F.lit(0.0), 1.0 - F.exp(logp)), F.lit(float(gamma))) * logp
     w = F.lit(1.0) if weights is None else F.get(F.array(*[F.lit(float(x)) for x in weights]), F.col("truth"))
-    return df.filter(F.col("truth").isNotNull()).agg((F.sum(loss * w) / F.greatest(F.sum(w), F.lit(1e-8))).alias("focal"))
+    return F.sum(loss * w) / F.greatest(F.sum(w), F.lit(1e-8))
+
+
+def focal_loss(df: DataFrame, gamma: float = 2.0, weights: Sequence[float] | None = None) -> DataFrame:
+    """Weighted mean focal loss over labelled pixels (cross-entropy when gamma is 0)."""
+    return df.filter(F.col("truth").isNotNull()).agg(_focal(gamma, weights).alias("focal"))
 
 
 def huber(error: Column, delta: float = 2.0) -> Column:
@@ -126,16 +130,19 @@ def huber(error: Column, delta: float = 2.0) -> Column:
     return F.when(a <= delta, 0.5 * a * a).otherwise(delta * (a - 0.5 * delta))
 
 
+def _mean_huber(delta: float) -> Column:
+    return F.coalesce(F.avg(huber(F.col("onset") - F.col("onset_truth"), delta)), F.lit(0.0))
+
+
 def huber_loss(df: DataFrame, delta: float = 2.0) -> DataFrame:
     """Mean Huber loss of the onset over labelled pixels; 0 when there are none."""
-    lab = df.filter(F.col("truth").isNotNull())
-    return lab.agg(F.coalesce(F.avg(huber(F.col("onset") - F.col("onset_truth"), delta)), F.lit(0.0)).alias("huber"))
+    return df.filter(F.col("truth").isNotNull()).agg(_mean_huber(delta).alias("huber"))
 
 
 def combined_loss(df: DataFrame, gamma: float = 2.0, onset_weight: float = 0.1, delta: float = 2.0, weights: Sequence[float] | None = None) -> DataFrame:
-    """Class loss plus weighted onset loss."""
-    both = focal_loss(df, gamma, weights).join(huber_loss(df, delta))
-    return both.select((F.col("focal") + onset_weight * F.col("huber")).alias("total"), F.col("focal").alias("loss_cls"), F.col("huber").alias("loss_onset"))
+    """Class loss plus weighted onset loss, in one pass."""
+    both = df.filter(F.col("truth").isNotNull()).agg(_focal(gamma, weights).alias("loss_cls"), _mean_huber(delta).alias("loss_onset"))
+    return both.select((F.col("loss_cls") + onset_weight * F.col("loss_onset")).alias("total"), "loss_cls", "loss_onset")
 
 
 def class_breakdown(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -150,12 +157,12 @@ def class_breakdown(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def band_importance(attr: DataFrame, bands: int) -> DataFrame:
     """Share of absolute attribution per band; uniform when everything is zero.
 
-    ``attr``: (band, value) long. The second step works on one row per band.
+    ``attr``: (band, value) long. The window runs over one row per band, a few hundred at most.
     """
     s = attr.groupBy("band").agg(F.sum(F.abs("value")).alias("mass"))
-    total = s.agg(F.sum("mass").alias("total"))
+    s = s.withColumn("total", F.sum("mass").over(Window.partitionBy(F.lit(0))))
     share = F.when(F.col("total") > 0, F.col("mass") / F.col("total")).otherwise(1.0 / bands)
-    return s.join(F.broadcast(total)).select("band", share.alias("importance"))
+    return s.select("band", share.alias("importance"))
 
 
 def indicator_scores(importance: DataFrame, wavelengths: Sequence[float]) -> DataFrame:

@@ -107,10 +107,9 @@ def split(windows: DataFrame, validation: int, rank: Column, key: Sequence[str])
 
     Ranks come from chunk offsets, not from one global window.
     """
-    n = windows.agg(F.count(F.lit(1)).alias("_n"))
+    n_val = max(1, min(validation, windows.count() // 10))
     ranked = ordinal(windows.withColumn("_rank", rank), [], [F.col("_rank"), *[F.col(k) for k in key]], "_pos")
-    n_val = F.greatest(F.lit(1), F.least(F.lit(validation), F.floor(F.col("_n") / 10)))
-    return ranked.join(F.broadcast(n)).withColumn("is_val", F.col("_pos") <= n_val).drop("_rank", "_pos", "_n")
+    return ranked.withColumn("is_val", F.col("_pos") <= n_val).drop("_rank", "_pos")
 
 
 def sample_training_windows(sizes: DataFrame, coverage: DataFrame, samples: int, window: int, min_frac: float = 0.5, seed: int = 0, tries: int = 10) -> DataFrame:
@@ -125,9 +124,9 @@ def sample_training_windows(sizes: DataFrame, coverage: DataFrame, samples: int,
     area = (F.col("height") * F.col("width")).cast("double")
     c = chunked(sizes.withColumn("_all", F.lit(0)), ["_all"], ["scene_id"])
     cum = prefix_sum(c, ["_all"], ["scene_id"], area, "upto")
-    total = sizes.agg(F.sum(area).alias("total"))
+    total = float(sizes.agg(F.sum(area).alias("total")).first().total)
     draws = spark.range(samples).select(F.col("id").alias("index"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("attempt"))
-    draws = draws.join(F.broadcast(total)).withColumn("at", uniform(F.lit(seed), F.col("index"), F.col("attempt")) * F.col("total"))
+    draws = draws.withColumn("at", uniform(F.lit(seed), F.col("index"), F.col("attempt")) * total)
     scene = F.struct("scene_id", "height", "width")
     marks = cum.select(F.lit(0).alias("_all"), (F.col("upto") - area).alias("at"), F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("index"),
                        F.lit(-1).alias("attempt"), scene.alias("scene"))

@@ -10,6 +10,7 @@ from canopyframe.operators import quality as Q
 from canopyframe.operators import score as SC
 from canopyframe.operators import stats as ST
 from canopyframe.operators import stitch as SW
+from canopyframe.operators.grid import scene_sizes
 from canopyframe.plans import adapters as A
 from canopyframe.plans.adapters import big, rnd
 from canopyframe.plans.registry import query, r4, r6, with_ctes
@@ -40,9 +41,8 @@ def _(t):
 @query("x2_window_model_scoring", with_ctes(A.PX_SQL, LIN_SQL, body=f"SELECT {PKQ}, {', '.join(f'{r4(f'p{o}')} AS p{o}' for o in range(4))} FROM lp"))
 def _(t):
     """A user model over 8-pixel windows, blended; a per-pixel model must survive unchanged."""
-    px = A.pixels(t).select(*PK, "spectrum", F.col("spectrum").isNotNull().alias("valid"), F.lit(10).alias("height"), F.lit(25).alias("width"))
-    raw = t("embeddings").agg((F.expr("(max(vec_id) div 2) div 25") + 1).cast("int").alias("height"))
-    px = px.drop("height").join(F.broadcast(raw))
+    px = A.pixels(t).select(*PK, "spectrum", F.col("spectrum").isNotNull().alias("valid"))
+    px = px.join(scene_sizes(px), "scene_id")
     w = SC.score_windows(px, SC.linear_window_model(WEIGHTS, BIAS), 8, 2, 64)
     from canopyframe.functions.geometry import feather
 

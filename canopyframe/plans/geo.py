@@ -111,8 +111,7 @@ pt AS (SELECT c_custkey, c_custkey % (SELECT count(*) FROM supplier) AS fid, c_c
 px AS (SELECT c_custkey, pt.fid, (fid * 37) % 110 + ox + 0.05::DOUBLE AS x, -((fid * 53) % 110 + oy + 0.07::DOUBLE) AS y FROM pt)""", body="""
 SELECT c_custkey, px.fid AS field_id, count(*) FILTER (WHERE (yi > y) <> (yj > y) AND x < (xj - xi) * (y - yi) / CASE WHEN yj = yi THEN 1 ELSE yj - yi END + xi) % 2 = 1 AS inside FROM px JOIN pe USING (fid) GROUP BY 1, 2"""))
 def _(t):
-    n = t("supplier").agg(F.count(F.lit(1)).alias("n"))
-    c = t("customer").join(F.broadcast(n)).select("c_custkey", (F.col("c_custkey") % F.col("n")).alias("field_id"))
+    c = t("customer").select("c_custkey", (F.col("c_custkey") % t("supplier").count()).alias("field_id"))
     f = polygons(t)
     k = F.col("field_id")
     x = k * 37 % 110 + F.col("c_custkey") % 16 + 0.05
