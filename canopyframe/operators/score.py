@@ -39,8 +39,10 @@ def score_windows(px: DataFrame, model_factory: Callable[[], Model], size: int,
 
     ``model_factory`` builds the model once per Python worker; the model maps an array
     ``[n, bands, size, size]`` to ``(probs [n, 4, size, size], onset [n, 1, size, size])``.
-    ``px`` needs ``height, width, valid``; invalid pixels reach the model as 0.
+    ``px`` needs ``height, width, valid``; invalid pixels reach the model as 0. The array has the
+    precision of the spectrum column (float32 for stored cubes).
     """
+    dtype = np.float64 if "double" in dict(px.dtypes)["spectrum"] else np.float32
     tiles = window_tiles(px, size, overlap).filter(F.exists("cells", lambda c: c.valid))
     schema = "scene_id string, row int, col int, row_off int, col_off int, i int, j int, valid boolean, p0 double, p1 double, p2 double, p3 double, onset double"
 
@@ -51,14 +53,14 @@ def score_windows(px: DataFrame, model_factory: Callable[[], Model], size: int,
                 model = model_factory()
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start : start + batch]
-                x = np.zeros((len(part), bands, size, size), np.float32)
+                x = np.zeros((len(part), bands, size, size), dtype)
                 rows = []
                 for n, cells in enumerate(part["cells"]):
                     i = np.array([c["i"] for c in cells])
                     j = np.array([c["j"] for c in cells])
                     ok = np.array([c["valid"] for c in cells], bool)
                     if ok.any():
-                        x[n][:, i[ok], j[ok]] = np.array([c["spectrum"] for c in cells if c["valid"]], np.float32).T
+                        x[n][:, i[ok], j[ok]] = np.array([c["spectrum"] for c in cells if c["valid"]], dtype).T
                     rows.append((i, j, ok))
                 probs, onset = model(x)
                 if probs.shape != (len(part), 4, size, size) or onset.shape != (len(part), 1, size, size):
