@@ -165,24 +165,35 @@ def survey_route(zones: DataFrame, fields: DataFrame, order: str, horizon: float
 CELL = 0.004
 
 
-def _cells(lo: Column, hi: Column) -> Column:
-    return F.sequence(F.floor(lo / CELL).cast("bigint"), F.floor(hi / CELL).cast("bigint"))
+LEVELS = 18  # cell sizes double per level; the last one spans the globe
+
+
+def _cell(v: Column, level: Column) -> Column:
+    return F.floor(v / (CELL * F.pow(F.lit(2.0), level))).cast("bigint")
 
 
 def probe(points: DataFrame, zones: DataFrame, fields: DataFrame, order: str = "k") -> DataFrame:
     """Diagnose points: first containing zone, else a nearby zone inside the field, else defaults.
 
     ``points``: probe_id, field_id, lon, lat. ``zones``: zone columns with ``ring`` and an order
-    column. Zones are copied to the cells of their bounding box and to the cells around their
-    centroid, and points to their own cell; both lookups are equi-joins reduced by ``min_by``
-    with map-side combine.
+    column. For containment a zone goes to the cell size that fits its extent, so it is copied to
+    at most four cells however large it is, and a point goes to its cell of every size. For the
+    nearest zone the centroids are copied to their neighbouring cells. Both lookups are equi-joins
+    reduced by ``min_by`` with map-side combine.
     """
-    own = points.withColumns({"_cx": F.floor(F.col("lon") / CELL).cast("bigint"), "_cy": F.floor(F.col("lat") / CELL).cast("bigint")})
+    zero = F.lit(0)
+    own = points.withColumns({"_cx": _cell(F.col("lon"), zero), "_cy": _cell(F.col("lat"), zero)})
     keep = F.struct(order, "zone_id", "risk_class", "risk_class_name", "risk_score", "days_to_onset", "dominant_indicator")
     b = ring_bounds(F.col("ring"))
-    zb = zones.select(keep.alias("z"), "ring", F.explode(_cells(b["minx"], b["maxx"])).alias("_cx"), _cells(b["miny"], b["maxy"]).alias("_ys"))
-    zb = zb.select("z", "ring", "_cx", F.explode("_ys").alias("_cy"))
-    hit = own.join(zb, ["_cx", "_cy"]).filter(point_in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
+    extent = F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"], F.lit(CELL))
+    level = F.least(F.lit(LEVELS - 1), F.ceil(F.log2(extent / CELL)).cast("int"))
+    zb = zones.select(keep.alias("z"), "ring", level.alias("_lv"), *[v.alias(f"_{k}") for k, v in b.items()])
+    for axis, lo, hi in (("_cx", "_minx", "_maxx"), ("_cy", "_miny", "_maxy")):
+        zb = zb.withColumn(axis, F.explode(F.sequence(_cell(F.col(lo), F.col("_lv")), _cell(F.col(hi), F.col("_lv")))))
+    spread = points.select("probe_id", "lon", "lat", F.explode(F.sequence(zero, F.lit(LEVELS - 1))).alias("_lv"))
+    spread = spread.withColumns({"_cx": _cell(F.col("lon"), F.col("_lv")), "_cy": _cell(F.col("lat"), F.col("_lv"))})
+    near_box = F.col("lon").between(F.col("_minx"), F.col("_maxx")) & F.col("lat").between(F.col("_miny"), F.col("_maxy"))
+    hit = spread.join(zb, ["_lv", "_cx", "_cy"]).filter(near_box).filter(point_in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
     inside = hit.groupBy("probe_id").agg(F.min_by("z", F.col(f"z.{order}")).alias("hit"))
 
     mx, my = ring_centroid(F.col("ring"))

@@ -436,3 +436,16 @@ def test_rate_limit_text():
     assert EV.parse_rate_limit("120/minute") == (120, 60) and EV.parse_rate_limit(" 5 / hours ") == (5, 3600)
     with pytest.raises(ValueError):
         EV.parse_rate_limit("fast")
+
+
+def test_probe_finds_large_and_small_zones(spark):
+    square = lambda x, y, s: [[x, y], [x + s, y], [x + s, y + s], [x, y + s], [x, y]]
+    zs = [(0, "zone-big", 3, "visible_disease", 0.9, 1.0, "water_stress", square(10.0, 10.0, 3.0)),
+          (1, "zone-small", 2, "high_blight_risk", 0.8, 5.0, "pri_decline", square(20.0, 20.0, 0.003)),
+          (2, "zone-inner", 1, "early_stress", 0.4, 9.0, "pri_decline", square(11.0, 11.0, 0.5))]
+    z = frame(spark, zs, "k long, zone_id string, risk_class int, risk_class_name string, risk_score double, days_to_onset double, dominant_indicator string, ring array<array<double>>")
+    f = frame(spark, [("f", "North", square(19.9, 19.9, 0.2))], "field_id string, name string, boundary array<array<double>>")
+    pts = frame(spark, [(1, "f", 12.9, 12.9), (2, "f", 20.001, 20.001), (3, "f", 20.004, 20.001), (4, "f", 20.05, 20.05), (5, "f", 50.0, 50.0), (6, "f", 11.2, 11.2)],
+                "probe_id int, field_id string, lon double, lat double")
+    got = {r.probe_id: (r.kind, r.zone_id, r.risk_class) for r in AN.probe(pts, z, f).collect()}
+    assert got == {1: ("zone", "zone-big", 3), 2: ("zone", "zone-small", 2), 3: ("buffer", "zone-small", 1), 4: ("field", None, 0), 5: ("soil", None, 0), 6: ("zone", "zone-big", 3)}
