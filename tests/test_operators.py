@@ -449,3 +449,61 @@ def test_probe_finds_large_and_small_zones(spark):
                 "probe_id int, field_id string, lon double, lat double")
     got = {r.probe_id: (r.kind, r.zone_id, r.risk_class) for r in AN.probe(pts, z, f).collect()}
     assert got == {1: ("zone", "zone-big", 3), 2: ("zone", "zone-small", 2), 3: ("buffer", "zone-small", 1), 4: ("field", None, 0), 5: ("soil", None, 0), 6: ("zone", "zone-big", 3)}
+
+
+def test_constant_spectrum_survives_the_whole_chain(spark):
+    wl = [400.0 + 10.0 * i for i in range(211)]
+    bad = [i % 17 == 3 for i in range(211)]
+    df = frame(spark, [(1, [0.2] * 211), (2, [0.3] * 211), (3, [-1.0] * 211)], "id int, spectrum array<double>")
+    px = df.withColumn("_bad", S.all_bands_nodata("spectrum", -1.0, [not b for b in bad]))
+    px = px.withColumn("spectrum", S.clip_reflectance(S.radiance("spectrum", 1.0, 0.0), F.col("_bad")))
+    px = R.savgol(R.resample(px, wl, [10.0] * 211, bad), 200).withColumn("spectrum", S.clip("spectrum"))
+    got = {r.id: r for r in ST.cloud_shadow(px).collect()}
+    np.testing.assert_allclose(got[1].spectrum, 0.2, atol=1e-12)
+    assert not got[1].cloud and not got[1].shadow and got[2].cloud and got[3].spectrum is None
+
+
+def test_cube_sink_checks_and_prunes(spark, tmp_path):
+    from canopyframe.sources import cubes
+
+    px = frame(spark, [("s", 300 * i, 10 * i, [0.1 * i, 0.2]) for i in range(4)] + [("t", 0, 0, None)], "scene_id string, row int, col int, spectrum array<double>")
+    path = str(tmp_path / "cube")
+    cubes.write_cube(px, path, "prisma", bands=2)
+    back = cubes.read_pixels(spark, path)
+    assert back.count() == 5 and back.filter("spectrum IS NULL").count() == 1
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)  # show every pushed filter in the plan text
+    win = cubes.read_pixels(spark, path, "s", (256, 0, 512, 64))
+    assert sorted(r.row for r in win.collect()) == [300, 600]
+    plan = win._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(scene_id" in plan and "GreaterThanOrEqual(block_r,1)" in plan
+    with pytest.raises(ValueError, match="source must be one of"):
+        cubes.write_cube(px, path, "landsat", bands=2, mode="overwrite")
+    with pytest.raises(Exception, match="expected 3 bands"):
+        cubes.write_cube(px, str(tmp_path / "other"), "enmap", bands=3)
+    cubes.write_bands_long(px, str(tmp_path / "long"))
+    one = cubes.read_bands(spark, str(tmp_path / "long"), [500.0], wavelengths=[400.0, 500.0])
+    assert {r.band for r in one.collect()} == {1} and "PartitionFilters" in one._jdf.queryExecution().toString()
+
+
+def test_metadata_files(spark, tmp_path):
+    from canopyframe.sources import metadata as MD
+
+    (tmp_path / "a").mkdir()
+    for name in ("EO1H_MTL_L1T.TXT", "EO1H_B010_L1T.TIF", "EO1H_B243_L1T.TIF"):
+        (tmp_path / "a" / name).write_text("GROUP = X\n SUN_ELEVATION = 41.5\n ENTITY_ID = \"E1\"\n ACQUISITION_DATE = 2010-03-04\nEND_GROUP = X\n")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "P-METADATA.XML").write_text(
+        '<root><bandID number="2"><wavelengthCenterOfBand>430.5</wavelengthCenterOfBand><FWHMOfBand>7</FWHMOfBand><GainOfBand>0</GainOfBand></bandID>'
+        '<bandID number="1"><wavelengthCenterOfBand>423</wavelengthCenterOfBand><FWHMOfBand>6</FWHMOfBand><OffsetOfBand>0.1</OffsetOfBand></bandID>'
+        '<bandID number="3"><FWHMOfBand>6</FWHMOfBand></bandID></root>')
+    (tmp_path / "b" / "P-SPECTRAL_IMAGE.TIF").write_text("x")
+    found = {r["dir"].rsplit("/", 1)[1]: r.sensor for r in MD.scan_inventory(spark, str(tmp_path)).collect()}
+    assert found == {"a": "hyperion", "b": "enmap"}
+    assert [r.band for r in MD.band_numbers(MD.list_files(spark, str(tmp_path))).collect()] == [10]
+    m = MD.mtl_scene(MD.read_mtl(spark, str(tmp_path / "a" / "EO1H_MTL_L1T.TXT"))).first()
+    assert m.sun_elevation == 41.5 and m.scene_id == "E1" and str(m.acquired_at) == "2010-03-04 00:00:00"
+    x = MD.read_band_xml(spark, str(tmp_path / "b" / "P-METADATA.XML")).collect()
+    assert [(r.number, r.wavelength_nm, r.gain, r.offset) for r in x] == [(1, 423.0, 1e-4, 0.1), (2, 430.5, 1e-4, 0.0)]
+    (tmp_path / "f.geojson").write_text('{"type":"Feature","properties":{"name":"n"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}}')
+    g = MD.read_geojson(spark, str(tmp_path / "f.geojson")).first()
+    assert g.properties == {"name": "n"} and g.polygons[0][0][1] == [1.0, 0.0] and g.error is None
