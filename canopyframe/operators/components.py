@@ -5,11 +5,15 @@ and the edges are rewritten to the picks. Whatever the shape of the graph (chain
 included) the expected number of nodes falls by a constant factor per round, so the rounds grow
 with the logarithm of the size (the contraction idea of Bogeholz, Brand and Todor, "In-database
 connected component analysis"). A round is written to the checkpoint folder; the driver only
-learns whether edges are left.
+learns how many edges are left. Once they are at most ``SMALL`` (a few megabytes, whatever the size of
+the input), one task merges the rest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +26,46 @@ def _canonical(e: DataFrame) -> DataFrame:
         F.when(a < b, a).otherwise(b).alias("a"), F.when(a < b, b).otherwise(a).alias("b")).distinct()
 
 
-def connected(edges: DataFrame, max_rounds: int = 80) -> DataFrame:
+#: Edges that one task may merge: 16 bytes each.
+SMALL = 100_000
+
+
+def _merged(e: DataFrame) -> DataFrame:
+    """(node, root) of at most ``SMALL`` edges by union-find; the root is the smallest node."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict = {}
+
+        def find(x):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for part in parts:
+            for a, b in zip(part["a"].tolist(), part["b"].tolist()):
+                a, b = find(a), find(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        nodes = list(parent)
+        yield pd.DataFrame({"node": nodes, "root": [find(x) for x in nodes]}, dtype=None if nodes else object)
+
+    kind = e.schema["a"].dataType.simpleString()
+    return e.repartition(1).mapInPandas(run, f"node {kind}, root {kind}")
+
+
+def connected(edges: DataFrame, max_rounds: int = 80, small: int = SMALL) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; the root is the smallest node it reaches."""
     e = cut(_canonical(edges))
+    left = e.count()
+    if left <= small:
+        return _merged(e)
     nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
     labels = nodes.withColumn("root", F.col("node"))
     for turn in range(max_rounds):
-        if e.isEmpty():
+        if left <= small:
+            last = _merged(e).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+            labels = labels.join(last, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
             # Picks are arbitrary members; name each component by its smallest node.
             names = labels.groupBy("root").agg(F.min("node").alias("_name"))
             return labels.join(names, "root").select("node", F.col("_name").alias("root"))
@@ -44,4 +81,5 @@ def connected(edges: DataFrame, max_rounds: int = 80) -> DataFrame:
 
         labels = cut(moved(labels, "root"))
         e = cut(_canonical(moved(moved(e, "a"), "b")))
+        left = e.count()
     raise RuntimeError(f"components not settled after {max_rounds} rounds")
