@@ -29,7 +29,7 @@ def with_halo(px: DataFrame, block: int, halo: int) -> DataFrame:
 
     def ids(axis: str):
         x = F.col(axis)
-        return F.explode(F.array_distinct(F.array(*[floordiv(x + d, block) for d in (-halo, 0, halo)])))
+        return F.explode(F.sequence(floordiv(x - halo, block), floordiv(x + halo, block)))
 
     return px.withColumn("br", ids("row")).withColumn("bc", ids("col")).filter((F.col("br") >= 0) & (F.col("bc") >= 0))
 
@@ -37,7 +37,8 @@ def with_halo(px: DataFrame, block: int, halo: int) -> DataFrame:
 def smooth(px: DataFrame, value: str, sizes: DataFrame, sigma: float = 1.0, block: int = 256) -> DataFrame:
     """Gaussian smoothing of a map with replicated edges; missing values count as 0 before it.
 
-    Returns ``scene_id, row, col, smoothed`` for every raster position of ``sizes``.
+    Returns ``scene_id, row, col, smoothed`` for every raster position of the blocks that a pixel row of
+    ``px`` lies in or near; a block far from any pixel row yields nothing.
     """
     radius = int(4.0 * sigma + 0.5)
     w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]

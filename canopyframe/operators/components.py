@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from canopyframe.session import cut
 
@@ -31,27 +32,40 @@ SMALL = 100_000
 
 
 def _merged(e: DataFrame) -> DataFrame:
-    """(node, root) of at most ``SMALL`` edges by union-find; the root is the smallest node."""
+    """(node, root) of at most ``SMALL`` edges by union-find; the root is the smallest node.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Nodes may be structs; they compare field by field.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict = {}
+        value: dict = {}
+
+        def key(x):
+            k = tuple(x.values()) if isinstance(x, dict) else x
+            value.setdefault(k, x)
+            parent.setdefault(k, k)
+            return k
 
-        def find(x):
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
+        def find(k):
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
 
+        kind = None
         for part in parts:
-            for a, b in zip(part["a"].tolist(), part["b"].tolist()):
-                a, b = find(a), find(b)
+            kind = part.schema.field(0).type
+            for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                a, b = find(key(x)), find(key(y))
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        nodes = list(parent)
-        yield pd.DataFrame({"node": nodes, "root": [find(x) for x in nodes]}, dtype=None if nodes else object)
+        if parent:
+            nodes = list(parent)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([value[k] for k in nodes], kind), pa.array([value[find(k)] for k in nodes], kind)], ["node", "root"])
 
-    kind = e.schema["a"].dataType.simpleString()
-    return e.repartition(1).mapInPandas(run, f"node {kind}, root {kind}")
+    kind = e.schema["a"].dataType
+    return e.select("a", "b").repartition(1).mapInArrow(run, StructType([StructField("node", kind), StructField("root", kind)]))
 
 
 def connected(edges: DataFrame, max_rounds: int = 80, small: int = SMALL) -> DataFrame:

@@ -8,21 +8,39 @@ from pyspark.sql import functions as F
 from canopyframe.operators import ordered as O
 
 
-def progress_changes(events: DataFrame) -> DataFrame:
-    """Events a follower would pass on: the status changed, or progress rose within the status.
+# Kinds after which a job says nothing more.
+TERMINAL = ("complete", "error", "cancelled")
 
-    ``events``: job_id, us, event_id, status, progress. Three ordered scans over one range
-    partitioning, so a job that owns a third of all events is still spread over many tasks.
-    """
+
+def scan_changes(c: DataFrame) -> DataFrame:
+    """Adds ``_new`` (1 where the status changed) and ``_top`` (highest progress before within the status)."""
     order = ["us", "event_id"]
-    c = O.chunked(events, ["job_id"], order)
     c = O.previous(c, ["job_id"], order, "status", "_prev")
     changed = F.col("_prev").isNull() | (F.col("_prev") != F.col("status"))
     c = c.withColumn("_new", changed.cast("int"))
     c = O.prefix_sum(c, ["job_id"], order, F.col("_new"), "_run")
-    c = O.prefix_max_before(c, ["job_id", "_run"], order, F.col("progress"), "_top")
-    keep = (F.col("_new") == 1) | (F.col("progress") > F.col("_top"))
-    return c.filter(keep).drop("_prev", "_new", "_run", "_top", O.CHUNK)
+    return O.prefix_max_before(c, ["job_id", "_run"], order, F.col("progress"), "_top")
+
+
+def passed_on():
+    """Whether a scanned event is one a follower passes on."""
+    return (F.col("_new") == 1) | (F.col("progress") > F.col("_top"))
+
+
+def until_terminal(c: DataFrame) -> DataFrame:
+    """Events of each job up to and including its first terminal one."""
+    ended = O.prefix_max_before(c, ["job_id"], ["us", "event_id"], F.col("kind").isin(*TERMINAL).cast("int"), "_ended")
+    return ended.filter(F.coalesce("_ended", F.lit(0)) == 0).drop("_ended")
+
+
+def progress_changes(events: DataFrame) -> DataFrame:
+    """Events a follower would pass on: the status changed, or progress rose within the status.
+
+    ``events``: job_id, us, event_id, status, progress. Three ordered scans over one range
+    partitioning, so a job that owns a third of all events is still spread over many tasks.
+    """
+    c = scan_changes(O.chunked(events, ["job_id"], ["us", "event_id"]))
+    return c.filter(passed_on()).drop("_prev", "_new", "_run", "_top", O.CHUNK)
 
 
 def rate_limited(events: DataFrame, limit: int, period_s: int, key: str = "job_id") -> DataFrame:

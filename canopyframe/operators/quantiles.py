@@ -23,9 +23,10 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def _cell(v: Column) -> Column:
-    """Monotone cell number: 0 near zero, growing with the logarithm on both sides."""
+    """Monotone cell number: 0 near zero, growing with the logarithm on both sides; infinities have their own."""
     size = F.greatest(F.abs(v), F.lit(2.0**FLOOR_EXP))
-    steps = F.floor((F.log2(size) - FLOOR_EXP) * PER_OCTAVE)
+    finite = F.floor((F.log2(F.least(size, F.lit(2.0**1023))) - FLOOR_EXP) * PER_OCTAVE)
+    steps = F.when(size == float("inf"), F.lit((1026 - FLOOR_EXP) * PER_OCTAVE)).otherwise(finite)
     return F.when(v < 0, -steps - 1).otherwise(steps).cast("int")
 
 
@@ -44,9 +45,9 @@ def _wanted(counts: DataFrame, keys: list[str], part: str, offset: Column, ranks
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """One row per key: ``n`` and ``q0, q1, ...`` for the given fractions; NULL values are ignored."""
+    """One row per key: ``n`` and ``q0, q1, ...`` for the given fractions; NULL and NaN are ignored."""
     ks = list(keys)
-    base = df.select(*ks, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    base = df.select(*ks, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     base = base.withColumn("_cell", _cell(F.col("_v")))
     cells = base.groupBy(*ks, "_cell").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
@@ -105,5 +106,7 @@ def _interpolate(found: DataFrame, ks: list[str], probs: Sequence[float]) -> Dat
     for i, p in enumerate(probs):
         a = F.lit(float(p)) * (F.col("n") - 1)
         frac = a - F.floor(a)
-        res.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * frac).alias(f"q{i}"))
+        low, high = F.col(f"_a{i}"), F.col(f"_b{i}")
+        # Equal neighbours need no step, which between infinities would be undefined.
+        res.append(F.when(low == high, low).otherwise(low + (high - low) * frac).alias(f"q{i}"))
     return out.select(*ks, "n", *res)

@@ -56,7 +56,7 @@ def long_bands(px: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def band_stats(px: DataFrame, fractions: Sequence[float] = (0.02, 0.98), keys: Sequence[str] = ()) -> DataFrame:
     """Low and high percentile per band over the valid pixels, with the pixel count."""
-    out = exact_percentiles(long_bands(px, keys), [*keys, "band"], "v", list(fractions))
+    out = exact_percentiles(long_bands(valid_pixels(px), keys), [*keys, "band"], "v", list(fractions))
     return out.withColumnsRenamed({"q0": "low", "q1": "high", "n": "n_pixels"})
 
 
@@ -74,16 +74,27 @@ def stats_arrays(stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return g.select(*keys, F.col("_s.low").alias("low"), F.col("_s.high").alias("high"))
 
 
-def apply_scaling(px: DataFrame, stats: DataFrame, keys: Sequence[str] = ("scene_id",), clip: bool = True) -> DataFrame:
-    """Robust scaling with per-key statistics joined as broadcast arrays."""
-    arrays = broadcast_if_small(stats_arrays(stats, keys), 20_000)
-    return px.join(arrays, list(keys)).withColumn(
-        "spectrum", spectral.robust_scale("spectrum", F.col("low"), F.col("high"), clip)).drop("low", "high")
+def apply_scaling(px: DataFrame, stats: DataFrame, keys: Sequence[str] = (), clip: bool = True) -> DataFrame:
+    """Robust scaling with per-key statistics; pixels whose key has none stay as they are."""
+    ks = list(keys) or ["_all"]
+    one = px if keys else px.withColumn("_all", F.lit(0))
+    arrays = broadcast_if_small(stats_arrays(stats if keys else stats.withColumn("_all", F.lit(0)), ks), 20_000)
+    j = one.join(arrays.withColumnsRenamed({"low": "_low", "high": "_high"}), ks, "left")
+    scaled = spectral.robust_scale("spectrum", F.col("_low"), F.col("_high"), clip)
+    return j.withColumn("spectrum", F.when(F.col("_low").isNull(), F.col("spectrum")).otherwise(scaled)).select(*px.columns)
+
+
+def subtract_dark_values(px: DataFrame, dark: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
+    """Dark-object subtraction with the rows of ``dark_values``; keys without any are left unchanged."""
+    rows = dark.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("band", "dark")))["dark"].alias("_dark"))
+    j = px.join(broadcast_if_small(rows, 20_000), list(keys), "left")
+    lower = spectral.subtract_dark("spectrum", F.col("_dark"))
+    return j.withColumn("spectrum", F.when(F.col("_dark").isNull(), F.col("spectrum")).otherwise(lower)).select(*px.columns)
 
 
 def dark_values(px: DataFrame, keys: Sequence[str] = ("scene_id",), fraction: float = 0.005) -> DataFrame:
     """Per-band dark-object value; scenes without valid pixels yield no row."""
-    return exact_percentiles(long_bands(px, keys), [*keys, "band"], "v", [fraction]).withColumnRenamed("q0", "dark").drop("n")
+    return exact_percentiles(long_bands(valid_pixels(px), keys), [*keys, "band"], "v", [fraction]).withColumnRenamed("q0", "dark").drop("n")
 
 
 def cap_sample(px: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:

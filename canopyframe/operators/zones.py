@@ -276,7 +276,7 @@ def extract_zones(
     return z.select(
         *KEYS, "zone", rules.class_name(F.col("risk_class")).alias("risk_class_name"), "n_pixels",
         F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("risk"))), 4).alias("risk_score"),
-        F.bround("area", 3).alias("area_acres"), F.bround(days, 2).alias("days_to_onset"),
+        F.bround("area", 3).alias("area_acres"), F.col("area").alias("raw_acres"), F.bround(days, 2).alias("days_to_onset"),
         ind.alias("dominant_indicator"), rules.recommended_action(F.col("risk_class"), days, ind).alias("recommended_action"),
         "min_row", "max_row", "min_col", "max_col", *tail)
 
@@ -294,11 +294,14 @@ def number_zones(zones: DataFrame, keys: Sequence[str] = ("scene_id",), tie: str
 
 
 def job_summary(risk: DataFrame, zones: DataFrame, px_acres: Column | float) -> DataFrame:
-    """Acres analysed, acres at risk and zone counts per class (zero where a class is absent)."""
+    """Acres analysed, acres at risk and zone counts per class (zero where a class is absent).
+
+    Unrounded areas are summed, and the sum is rounded once.
+    """
     acres = px_acres if isinstance(px_acres, Column) else F.lit(float(px_acres))
     seen = risk.groupBy("scene_id").agg(F.round(F.count_if("valid") * acres, 3).alias("acres_analyzed"))
     per = zones.groupBy("scene_id").agg(
-        F.round(F.sum("area_acres"), 3).alias("acres_at_risk"),
+        F.round(F.sum("raw_acres"), 3).alias("acres_at_risk"),
         *[F.count_if(F.col("risk_class") == i).alias(f"n_{n}") for i, n in enumerate(K.CLASS_NAMES)])
     out = seen.join(per, "scene_id", "left")
     return out.select(

@@ -260,7 +260,7 @@ def zones_end_to_end(t):
 @query("a7_job_summary", zone_sql(f"""
 , g AS (SELECT scene_id, count(*) FILTER (WHERE valid) * {ACRES_SQL} AS acres FROM ra GROUP BY 1),
 z AS (SELECT * FROM zs WHERE n_pixels >= greatest(1, ceil(1.0 / {ACRES_SQL})))
-SELECT g.scene_id, {r4('round(any_value(acres), 3)')} AS acres_analyzed, {r4(f'coalesce(round(sum(round(n_pixels * {ACRES_SQL}, 3)), 3), 0)')} AS acres_at_risk,
+SELECT g.scene_id, {r4('round(any_value(acres), 3)')} AS acres_analyzed, {r4(f'coalesce(round(sum(n_pixels * {ACRES_SQL}), 3), 0)')} AS acres_at_risk,
   CAST(count(*) FILTER (WHERE rc = 0) AS BIGINT) AS n_healthy, count(*) FILTER (WHERE rc = 1) AS n_early_stress, count(*) FILTER (WHERE rc = 2) AS n_high_blight_risk, count(*) FILTER (WHERE rc = 3) AS n_visible_disease
 FROM g LEFT JOIN z ON z.scene_id = g.scene_id GROUP BY g.scene_id""", ZS_SQL))
 def _(t):

@@ -183,15 +183,14 @@ def _(t):
 
 
 @query("p6_dark_object_subtraction", with_ctes(A.PX_SQL, A.LONG_SQL, body=f"""
-, dark AS (SELECT scene_id, band, quantile_cont(v, 0.005) AS d FROM long GROUP BY scene_id, band)
-SELECT l.scene_id, l."row", l.col, {r6('sum(greatest(0.0, v - d))')} AS total FROM long l JOIN dark USING (scene_id, band)
+, dark AS (SELECT scene_id, band, quantile_cont(v, 0.005) AS d FROM long WHERE scene_id = 'scn_0' GROUP BY scene_id, band)
+SELECT l.scene_id, l."row", l.col, {r6('sum(CASE WHEN d IS NULL THEN v ELSE greatest(0.0, v - d) END)')} AS total FROM long l LEFT JOIN dark USING (scene_id, band)
 GROUP BY l.scene_id, l."row", l.col"""))
 def _(t):
-    px = A.pixels(t).filter("spectrum IS NOT NULL")
-    d = ST.dark_values(px)
-    arrays = d.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("band", "dark")))["dark"].alias("dark"))
-    out = px.join(arrays, "scene_id").withColumn("c", S.subtract_dark("spectrum", F.col("dark")))
-    return out.select(*PK, rnd(F.aggregate("c", F.lit(0.0), lambda a, x: a + x)).alias("total"))
+    """Dark values of the first scene only: the other scene's pixels pass unchanged."""
+    px = A.pixels(t)
+    out = ST.subtract_dark_values(px, ST.dark_values(px.filter("scene_id = 'scn_0'")))
+    return out.filter("spectrum IS NOT NULL").select(*PK, rnd(F.aggregate("spectrum", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
 @query("p7_sensor_values", with_ctes(A.FAULTY_SQL, body=f"""
@@ -404,14 +403,15 @@ def _(t):
 
 
 @query("p22_robust_scaling", with_ctes(A.PX_SQL, A.LONG_SQL, body=f"""
-, st AS (SELECT scene_id, band, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM long GROUP BY scene_id, band)
+, st AS (SELECT scene_id, band, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM long WHERE scene_id = 'scn_0' GROUP BY scene_id, band)
 SELECT l.scene_id, l."row", l.col, CAST(l.band AS INTEGER) AS band,
-       {r6('greatest(0.0, least(1.0, (v - lo) / CASE WHEN hi - lo > 1e-6 THEN hi - lo ELSE 1.0 END))')} AS value
-FROM long l JOIN st USING (scene_id, band)"""))
+       {r6('CASE WHEN lo IS NULL THEN v ELSE greatest(0.0, least(1.0, (v - lo) / CASE WHEN hi - lo > 1e-6 THEN hi - lo ELSE 1.0 END)) END')} AS value
+FROM long l LEFT JOIN st USING (scene_id, band)"""))
 def _(t):
-    px = A.pixels(t).filter("spectrum IS NOT NULL")
-    scaled = ST.apply_scaling(px, ST.band_stats(px, keys=["scene_id"]))
-    return scaled.select(*PK, F.posexplode("spectrum").alias("band", "v")).select(*PK, "band", rnd("v").alias("value"))
+    """Statistics of the first scene only: the other scene's pixels pass unchanged."""
+    px = A.pixels(t)
+    scaled = ST.apply_scaling(px, ST.band_stats(px.filter("scene_id = 'scn_0'"), keys=["scene_id"]), keys=["scene_id"])
+    return scaled.filter("spectrum IS NOT NULL").select(*PK, F.posexplode("spectrum").alias("band", "v")).select(*PK, "band", rnd("v").alias("value"))
 
 
 @query("p23_nodata_mask", with_ctes(A.FAULTY_SQL, body=f"""
@@ -468,10 +468,12 @@ def _(t):
     return ST.valid_pixels(A.faulty_pixels(t)).select(*PK)
 
 
-@query("a1_band_percentiles", with_ctes(A.PX_SQL, A.LONG_SQL, body=f"""
+@query("a1_band_percentiles", with_ctes(A.FAULTY_SQL, body=f"""
+, ok AS (SELECT * FROM faulty WHERE len(list_filter(s, lambda x: {NOT_FINITE} OR x = -1.0)) = 0),
+long AS (SELECT i - 1 AS band, s[i] AS v FROM ok, range(1, 65) AS g(i))
 SELECT CAST(band AS INTEGER) AS band, {r6('quantile_cont(v, 0.02)')} AS low, {r6('quantile_cont(v, 0.98)')} AS high, count(*) AS n_pixels FROM long GROUP BY band"""))
 def _(t):
-    return ST.band_stats(A.pixels(t)).select("band", rnd("low").alias("low"), rnd("high").alias("high"), big("n_pixels").alias("n_pixels"))
+    return ST.band_stats(A.faulty_pixels(t)).select("band", rnd("low").alias("low"), rnd("high").alias("high"), big("n_pixels").alias("n_pixels"))
 
 
 @query("a2_dark_values", with_ctes(A.PX_SQL, A.LONG_SQL, body=f"""

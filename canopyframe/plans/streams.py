@@ -41,26 +41,39 @@ b AS (SELECT *, sum(CASE WHEN ps IS NULL OR ps <> status THEN 1 ELSE 0 END) OVER
 d AS (SELECT *, max(progress) OVER (PARTITION BY job_id, run ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM b)
 SELECT event_id, job_id, kind, status FROM d WHERE top IS NULL OR progress > top"""))
 def _(t):
-    """Per-job follower with value state: snapshot, changes, stop at a terminal event."""
+    """Per-job follower with one state row: snapshot, changes, stop at a terminal event."""
     e = A.events(live(t)).select("job_id", "event_id", "us", "kind", "status", "progress")
-    return JE.run_available(JE.follow_jobs(e), name="st2").select("event_id", "job_id", "kind", "status")
-
-
-@query("st3_progress_throttle")
+    return JE.run_rule(e, JE.follower(), "st2").select("event_id", "job_id", "kind", "status")
+
+
+@query("st3_progress_throttle", """
+WITH RECURSIVE ev AS (
+  SELECT event_id, user_id AS job_id, date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) AS us, event_type = 'purchase' AS forced,
+         CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'running' END AS status,
+         greatest(0.0, least(value / 100.0::DOUBLE, 1.0)) AS p FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY us, event_id) AS i FROM ev),
+w AS (
+  SELECT event_id, job_id, status, p, i, TRUE AS pass, us AS last_us, p AS top FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.event_id, n.job_id, n.status, n.p, n.i, n.forced OR n.us - w.last_us >= 86400000000 OR n.p - w.top >= 0.3,
+         CASE WHEN n.forced OR n.us - w.last_us >= 86400000000 OR n.p - w.top >= 0.3 THEN n.us ELSE w.last_us END,
+         CASE WHEN n.forced OR n.us - w.last_us >= 86400000000 OR n.p - w.top >= 0.3 THEN n.p ELSE w.top END
+  FROM w JOIN n ON n.job_id = w.job_id AND n.i = w.i + 1)
+SELECT event_id, job_id, status, round(p, 6) + 0.0 AS progress FROM w WHERE pass""")
 def _(t):
-    """Throttled progress (interval one day, step 0.3 on this sparse table); checked in the tests."""
+    """Throttled progress (interval one day, step 0.3 on this sparse table)."""
     e = A.events(live(t)).select("job_id", "event_id", "us", "kind", "status", "progress", (F.col("kind") == "complete").alias("forced"))
-    return JE.run_available(JE.throttle(e, 86400.0, 0.3), name="st3").select("event_id", "job_id", "status", rnd("progress").alias("progress"))
+    return JE.run_rule(e, JE.throttle(86400.0, 0.3), "st3").select("event_id", "job_id", "status", rnd("progress").alias("progress"))
 
 
 @query("st5_cancellation_flags", with_ctes(A.EVENTS_SQL, body="""
 , m AS (SELECT *, max(CASE WHEN kind = 'error' OR status = 'queued' THEN us * 100 + CASE WHEN kind = 'error' THEN 1 ELSE 0 END END) OVER (PARTITION BY job_id ORDER BY us, event_id) AS last FROM ev)
-SELECT event_id, job_id, coalesce(last % 100 = 1, FALSE) AS cancelled FROM m"""))
+SELECT event_id, job_id, coalesce(last % 100 = 1 AND us - last // 100 <= 604800000000, FALSE) AS cancelled FROM m"""))
 def _(t):
-    """Cancellation state with expiry; an error stands for a cancel request, a sign-up for a retry."""
+    """Cancellation state that expires after a week; an error stands for a cancel request, a sign-up for a retry."""
     action = F.when(F.col("kind") == "error", "cancel").when(F.col("status") == "queued", "retry").otherwise("none")
     e = A.events(live(t)).select("job_id", "event_id", "us", action.alias("action"))
-    return JE.run_available(JE.cancelled(e), name="st5").select("event_id", "job_id", "cancelled")
+    return JE.run_rule(e, JE.cancellations(7 * 86400.0), "st5").select("event_id", "job_id", "cancelled")
 
 
 @query("st6_keep_alives", with_ctes(A.EVENTS_SQL, body="""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +24,13 @@ def build_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where none is set, make one (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; only a ``local`` master without one gets a temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="canopyframe-ckpt-"))
 
 
@@ -37,7 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Checkpoint a side table and hint a broadcast only when its counted size allows it."""
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Checkpoint a side table and hint a broadcast only when its counted rows and measured bytes allow it.
+
+    Beyond either bound the side is returned without a hint and Spark shuffles it.
+    """
     side = cut(df)
-    return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
+    if side.count() > max_rows:
+        return side
+    size = side.agg(F.sum(F.length(F.to_json(F.struct("*"))).cast("bigint"))).first()[0]
+    return F.broadcast(side) if (size or 0) <= max_bytes else side

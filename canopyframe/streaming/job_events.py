@@ -1,32 +1,40 @@
 """Job-event streams: parsing, followers, throttling, cancellation, rate windows, auto-scoring.
 
-The stateful rules keep a few numbers per job. Rows of a job arrive in chunks and are handled
-chunk by chunk, so a job with very many events never has to fit in memory. Within a chunk the
-rows are ordered by event time; an event older than the newest one already handled is stale and
-does not move the state.
+The stateful rules run in micro-batches: each trigger hands its events, the events still waiting and
+one small state row per job to a batch rule, which orders them as a whole. Nothing depends on how
+rows are cut into chunks or files, and a job that owns most events is spread by the ordered scans.
+Events wait until the newest one seen is ``delay_s`` younger, so disorder of up to that much across
+files is put right; older ones that come later are stale. Every trigger writes its output, state and
+waiting events under its own number and overwrites them on a replay. State of jobs that have been
+silent for ``ttl_s`` (event time) expires.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from canopyframe.operators import events as EV
+from canopyframe.operators import ordered as O
 from canopyframe.session import ensure_checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Terminal event kinds, throttle steps, silence and timeout, seconds.
-TERMINAL = ("complete", "error", "cancelled")
+TERMINAL = EV.TERMINAL
 MIN_INTERVAL_S, MIN_STEP = 0.5, 0.02
 SILENCE_S, STREAM_TIMEOUT_S, CANCEL_TTL_S = 15, 3600, 3600
 
 PAYLOAD = "job_id string, status string, progress double, step string, timestamp timestamp"
+ORDER = ["us", "event_id"]
+DAY_S = 86400.0
 
 
 def read_job_events(stream: DataFrame, text: str = "value") -> DataFrame:
@@ -41,119 +49,180 @@ def format_message(kind: str = "kind") -> Any:
     return F.to_json(F.struct(F.col(kind).alias("event"), data.alias("data")))
 
 
-FOLLOW_SCHEMA = T.StructType([
-    T.StructField("job_id", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("kind", T.StringType()),
-    T.StructField("status", T.StringType()), T.StructField("progress", T.DoubleType()),
-])
+@dataclass
+class Rule:
+    """A batch rule: ``step(events, state, now_us) -> (output, new state)`` and the state's columns.
 
+    ``now_us`` is the clock in microseconds where keep-alives are wanted, else None.
+    """
+
+    step: Callable[[DataFrame, DataFrame, int | None], tuple[DataFrame, DataFrame]]
+    state: str
+
+
+# ------------------------------------------------------------------ rules
 
-class Follower(StatefulProcessor):
+FOLLOW_STATE = "job_id bigint, event_id bigint, us bigint, kind string, status string, progress double, done boolean, heard_us bigint, beats bigint"
+
+
+def follower(keep_alive: bool = False) -> Rule:
     """Snapshot first, then only status changes or higher progress; silent after a terminal event.
 
-    Processing-time timers emit a keep-alive after a silence, up to the stream timeout.
+    With ``keep_alive`` every trigger also emits the keep-alives due since a job was last heard, one
+    per silence, up to the stream timeout (``event_id`` -1).
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "status string, progress double, us bigint, done boolean, beats int")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        status, progress, us, done, _ = self.state.get() or (None, -1.0, -1, False, 0)
-        for pdf in rows:
-            out = []
-            for e in pdf.sort_values(["us", "event_id"]).itertuples(index=False):
-                if done or e.us < us:
+    def step(events: DataFrame, state: DataFrame, now_us: int | None) -> tuple[DataFrame, DataFrame]:
+        cols = ["job_id", "event_id", "us", "kind", "status", "progress"]
+        done = state.filter("done").select("job_id")
+        # The state row stands before the new events as the last one handled.
+        old = state.filter("not done").select(*cols, F.lit(True).alias("_old"))
+        fresh = events.select(*cols).join(done, "job_id", "left_anti").withColumn("_old", F.lit(False))
+        c = O.chunked(old.unionByName(fresh), ["job_id"], ORDER)
+        c = EV.until_terminal(c)
+        c = EV.scan_changes(c)
+        out = c.filter(EV.passed_on() & ~F.col("_old")).select("job_id", "event_id", "kind", "status", "progress")
+        last = F.struct(F.col("event_id"), F.col("us"), F.col("kind"), F.col("status"), F.greatest("progress", "_top").alias("progress"))
+        heard = c.groupBy("job_id").agg(
+            F.max_by(last, F.struct(*ORDER)).alias("s"), F.max(F.col("kind").isin(*TERMINAL) & ~F.col("_old")).alias("done"), F.max(~F.col("_old")).alias("_new"))
+        before = state.select("job_id", F.col("heard_us").alias("_h"), F.col("beats").alias("_b"))
+        clock = F.lit(now_us).cast("bigint") if now_us is not None else F.col("s.us")
+        new = heard.join(before, "job_id", "left").select(
+            "job_id", "s.*", "done", F.when(F.col("_new"), clock).otherwise(F.col("_h")).alias("heard_us"),
+            F.when(F.col("_new"), F.lit(0)).otherwise(F.col("_b")).cast("bigint").alias("beats"))
+        if keep_alive and now_us is not None:
+            silence = SILENCE_S * 1_000_000
+            due = F.least(F.lit(STREAM_TIMEOUT_S // SILENCE_S), F.floor((F.lit(now_us) - F.col("heard_us")) / silence)).cast("bigint")
+            timed = new.withColumn("_due", F.when(F.col("done"), F.col("beats")).otherwise(F.greatest(due, F.col("beats"))))
+            beats = timed.filter("_due > beats").withColumn("_n", F.explode(F.expr("sequence(beats + 1, _due)")))
+            out = out.unionByName(beats.select("job_id", F.lit(-1).cast("bigint").alias("event_id"), F.lit("keep-alive").alias("kind"), "status", "progress"))
+            new = timed.withColumn("beats", F.col("_due")).drop("_due")
+        return out, new.select(*[x.split()[0] for x in FOLLOW_STATE.split(", ")]).unionByName(state.filter("done"))
+
+    return Rule(step, FOLLOW_STATE)
+
+
+THROTTLE_STATE = "job_id bigint, us bigint, event_id bigint, progress double"
+
+
+def throttle(min_interval_s: float = MIN_INTERVAL_S, min_step: float = MIN_STEP) -> Rule:
+    """Drop an update that is both too soon and too small since the last one passed on.
+
+    ``forced`` rows always pass; progress is clamped to [0, 1]. Each decision needs the one before, so
+    a job's events are read in order by one task, as a stream of sorted batches with one row of memory.
+    """
+    gap = min_interval_s * 1e6
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, us, top = None, float("-inf"), 0.0
+        for pdf in parts:
+            keep = []
+            for e in pdf.itertuples(index=False):
+                if e.job_id != job:
+                    job, us, top = e.job_id, float("-inf"), 0.0
+                if e.old:  # the state row
+                    us, top = float(e.us), float(e.progress)
+                    keep.append(True)
                     continue
-                us = int(e.us)
-                if e.status != status or e.progress > progress:
-                    status, progress = e.status, float(e.progress)
-                    out.append((int(key[0]), int(e.event_id), e.kind, status, progress))
-                    done = e.kind in TERMINAL
-            if out:
-                yield pd.DataFrame(out, columns=["job_id", "event_id", "kind", "status", "progress"])
-        self.state.update((status, progress, us, done, 0))
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old if isinstance(old, int) else old[0])
-        if not done:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + SILENCE_S * 1000)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        status, progress, us, done, beats = self.state.get()
-        if not done and (beats + 1) * SILENCE_S <= STREAM_TIMEOUT_S:
-            self.state.update((status, progress, us, done, beats + 1))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + SILENCE_S * 1000)
-            yield pd.DataFrame([(int(key[0]), -1, "keep-alive", status, progress)], columns=["job_id", "event_id", "kind", "status", "progress"])
-
-    def close(self) -> None:
-        pass
-
-
-def follow_jobs(events: DataFrame) -> DataFrame:
-    """Follower rows per job from an event stream (job_id, event_id, us, kind, status, progress)."""
-    return events.groupBy("job_id").transformWithStateInPandas(Follower(), FOLLOW_SCHEMA, "Append", "ProcessingTime")
-
-
-class Throttle(StatefulProcessor):
-    """Drop an update that is both too soon and too small since the last one passed on."""
-
-    def __init__(self, min_interval_s: float, min_step: float) -> None:
-        self.min_us, self.min_step = min_interval_s * 1e6, min_step
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us double, progress double")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        us, top = self.last.get() or (float("-inf"), 0.0)
-        for pdf in rows:
-            out = []
-            for e in pdf.sort_values(["us", "event_id"]).itertuples(index=False):
                 p = min(max(float(e.progress), 0.0), 1.0)
-                if not e.forced and e.us - us < self.min_us and p - top < self.min_step:
-                    continue
-                us, top = float(e.us), p
-                out.append((int(key[0]), int(e.event_id), e.kind, e.status, p))
-            if out:
-                yield pd.DataFrame(out, columns=["job_id", "event_id", "kind", "status", "progress"])
-        self.last.update((us, top))
+                passes = bool(e.forced) or e.us - us >= gap or p - top >= min_step
+                if passes:
+                    us, top = float(e.us), p
+                keep.append(passes)
+            pdf = pdf[keep]
+            yield pdf.assign(progress=pdf["progress"].clip(0.0, 1.0))
+
+    def step(events: DataFrame, state: DataFrame, now_us: int | None) -> tuple[DataFrame, DataFrame]:
+        cols = ["job_id", "event_id", "us", "kind", "status", "progress", "forced"]
+        old = state.select("job_id", "event_id", "us", F.lit("").alias("kind"), F.lit("").alias("status"), "progress", F.lit(False).alias("forced"), F.lit(True).alias("old"))
+        rows = old.unionByName(events.select(*cols).withColumn("old", F.lit(False)))
+        schema = "job_id bigint, event_id bigint, us bigint, kind string, status string, progress double, forced boolean, old boolean"
+        passed = rows.repartition("job_id").sortWithinPartitions("job_id", F.desc("old"), *ORDER).mapInPandas(run, schema).checkpoint()
+        last = passed.groupBy("job_id").agg(F.max_by(F.struct("us", "event_id", "progress"), F.struct(*ORDER)).alias("s"))
+        return passed.filter("not old").select("job_id", "event_id", "kind", "status", "progress"), last.select("job_id", "s.us", "s.event_id", "s.progress")
 
-    def close(self) -> None:
-        pass
+    return Rule(step, THROTTLE_STATE)
 
 
-def throttle(events: DataFrame, min_interval_s: float = MIN_INTERVAL_S, min_step: float = MIN_STEP) -> DataFrame:
-    """Throttled progress; ``forced`` rows always pass; progress is clamped to [0, 1]."""
-    return events.groupBy("job_id").transformWithStateInPandas(Throttle(min_interval_s, min_step), FOLLOW_SCHEMA, "Append", "None")
+CANCEL_STATE = "job_id bigint, us bigint, event_id bigint, action string"
 
 
-CANCEL_SCHEMA = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("cancelled", T.BooleanType())])
+def cancellations(ttl_s: float = CANCEL_TTL_S) -> Rule:
+    """Per event whether its job is cancelled at that point; ``action`` is cancel, retry or other.
 
+    A cancellation holds for ``ttl_s`` and is cleared by a retry.
+    """
 
-class CancelFlags(StatefulProcessor):
-    """A cancellation flag per job that expires after an hour and is cleared by a retry."""
+    def step(events: DataFrame, state: DataFrame, now_us: int | None) -> tuple[DataFrame, DataFrame]:
+        rows = state.withColumn("_old", F.lit(True)).unionByName(
+            events.select("job_id", "us", "event_id", "action").withColumn("_old", F.lit(False)))
+        c = O.chunked(rows.withColumn("_said", F.when(F.col("action").isin("cancel", "retry"), F.struct("action", "us"))), ["job_id"], ORDER)
+        c = O.last_seen(c, ["job_id"], ORDER, "_said", "_last")
+        on = (F.col("_last.action") == "cancel") & (F.col("us") - F.col("_last.us") <= ttl_s * 1e6)
+        out = c.filter("not _old").select("job_id", "event_id", F.coalesce(on, F.lit(False)).alias("cancelled"))
+        said = c.filter(F.col("_said").isNotNull()).groupBy("job_id").agg(F.max_by(F.struct("us", "event_id", "action"), F.struct(*ORDER)).alias("s"))
+        return out, said.select("job_id", "s.us", "s.event_id", "s.action")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.flag = handle.getValueState("flag", "on boolean", CANCEL_TTL_S * 1000)
+    return Rule(step, CANCEL_STATE)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        on = self.flag.exists()
-        for pdf in rows:
-            out = []
-            for e in pdf.sort_values(["us", "event_id"]).itertuples(index=False):
-                on = e.action == "cancel" or (on and e.action != "retry")
-                out.append((int(key[0]), int(e.event_id), on))
-            yield pd.DataFrame(out, columns=["job_id", "event_id", "cancelled"])
-        if on:
-            self.flag.update((True,))
-        else:
-            self.flag.clear()
 
-    def close(self) -> None:
-        pass
+# ------------------------------------------------------------------ running
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the session's checkpoints, shared by all executors."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
 
+def run_rule(
+    events: DataFrame, rule: Rule, name: str = "rule", delay_s: float = DAY_S, ttl_s: float = 30 * DAY_S,
+    clock: Callable[[], int] | None = None,
+) -> DataFrame:
+    """Run a rule over all events available now and return its output table.
 
-def cancelled(events: DataFrame) -> DataFrame:
-    """Per event whether its job is cancelled at that point; ``action`` is cancel, retry or other."""
-    return events.groupBy("job_id").transformWithStateInPandas(CancelFlags(), CANCEL_SCHEMA, "Append", "ProcessingTime")
+    ``clock`` gives the time in microseconds for keep-alives (default: the system's).
+    """
+    spark = events.sparkSession
+    folder = work_folder(spark, name)
+    fields = events.schema
+    now = clock or (lambda: time.time_ns() // 1000)
+    done: list[int] = []
+
+    def table(kind: str, epoch: int, schema: Any) -> DataFrame:
+        if epoch < 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{folder}/{kind}/epoch={epoch}")
+
+    def handle(batch: DataFrame | None, epoch: int) -> None:
+        waiting, state = table("waiting", epoch - 1, fields), table("state", epoch - 1, rule.state)
+        marks = table("mark", epoch - 1, "newest bigint, released bigint").first()
+        newest, released = (marks.newest, marks.released) if marks else (None, None)
+        if batch is None:
+            ready, rest, bound = waiting, waiting.filter("false"), newest
+        else:
+            # What is older than the events already handled is stale.
+            fresh = batch if released is None else batch.filter(F.col("us") > released)
+            rows = waiting.unionByName(fresh)
+            top = fresh.agg(F.max("us")).first()[0]
+            newest = max(x for x in (newest, top) if x is not None) if (newest is not None or top is not None) else None
+            bound = None if newest is None else newest - int(delay_s * 1e6)
+            ready, rest = (rows.filter(F.col("us") <= bound), rows.filter(F.col("us") > bound)) if bound is not None else (rows, rows.filter("false"))
+            if released is not None and bound is not None:
+                bound = max(bound, released)
+        out, new = rule.step(ready, state, now())
+        out.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
+        if newest is not None:
+            new = new.filter(F.col("us") >= newest - int(ttl_s * 1e6))
+        new.write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}")
+        rest.write.mode("overwrite").parquet(f"{folder}/waiting/epoch={epoch}")
+        spark.createDataFrame([(newest, bound)], "newest bigint, released bigint").write.mode("overwrite").parquet(f"{folder}/mark/epoch={epoch}")
+        done.append(epoch)
+
+    q = events.writeStream.option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).foreachBatch(handle).start()
+    q.awaitTermination()
+    # Nothing more can come: release what still waits.
+    handle(None, max(done, default=-1) + 1)
+    return spark.read.parquet(f"{folder}/out/*")
 
 
 def rate_stream(events: DataFrame, limit: int, period: str = "1 minute", delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
@@ -168,28 +237,33 @@ def job_state(events: DataFrame) -> DataFrame:
         "job_id", "s.status", "s.progress", "s.kind")
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder next to the session's checkpoints, shared by all executors."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def _options(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session options for the start of one query (a running query keeps its own copy), then put back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_available(stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
     """Process everything available now into a Parquet table and return it."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    # Processing-time timers ask for batches for ever; a run over what is available must end.
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     folder = work_folder(spark, name)
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True)
-    if mode == "append":
-        q = writer.format("parquet").option("path", f"{folder}/out").outputMode("append").start()
-    else:
-        def upsert(batch: DataFrame, epoch: int) -> None:
-            batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
+    with _options(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+        if mode == "append":
+            q = writer.format("parquet").option("path", f"{folder}/out").outputMode("append").start()
+        else:
+            def upsert(batch: DataFrame, epoch: int) -> None:
+                batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
 
-        q = writer.outputMode("update").foreachBatch(upsert).start()
-    q.awaitTermination()
+            q = writer.outputMode("update").foreachBatch(upsert).start()
+        q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out") if mode == "append" else spark.read.parquet(f"{folder}/out/*")
 
 
@@ -202,15 +276,18 @@ def upsert_latest(table: DataFrame, keys: list[str]) -> DataFrame:
 def auto_score(scenes: DataFrame, process: Callable[[DataFrame], DataFrame], name: str = "auto-score") -> DataFrame:
     """New scenes from a stream run through ``process(new_scenes) -> zones``; returns the zone table.
 
-    Each micro-batch writes its own folder and overwrites it on a replay, so a restart neither
-    loses nor doubles zones.
+    Each micro-batch writes its own folder and overwrites it on a replay. A scene whose rows arrive in
+    several batches is scored again with what is known then; only its latest scoring is returned.
     """
     spark = scenes.sparkSession
     folder = work_folder(spark, name)
 
     def run(batch: DataFrame, epoch: int) -> None:
-        process(batch.select("scene_id").distinct()).write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
+        new = batch.select("scene_id").distinct()
+        new.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/scored/batch={epoch}")
+        process(new).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
 
     q = scenes.writeStream.option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).foreachBatch(run).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out/*")
+    latest = spark.read.parquet(f"{folder}/scored/*").groupBy("scene_id").agg(F.max("epoch").alias("epoch"))
+    return spark.read.parquet(f"{folder}/out/*").join(latest, ["scene_id", "epoch"], "left_semi").drop("epoch")

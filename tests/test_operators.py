@@ -258,9 +258,10 @@ def test_components_match_flood_fill(spark, density, iterations, block):
     assert {r.zone: r.area for r in rings} == {k: float(v) for k, v in sizes.items()}
 
 
-def test_connected_long_chain_and_star(spark):
+@pytest.mark.parametrize("small", [100_000, 20, 0])
+def test_connected_long_chain_and_star(spark, small):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5001)]
-    got = {r.node: r.root for r in connected(frame(spark, edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in connected(frame(spark, edges, "a long, b long"), small=small).collect()}
     assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 for i in range(200)) and got[5001] == 5000
 
 
