@@ -181,6 +181,7 @@ def cutting_stock(weight: np.ndarray, demand: np.ndarray, room: int, gap: float
     """
     columns, use = first_fit_basis(weight, demand, room)
     inverse = np.linalg.inv(columns)
+    sound = columns.copy(), use
     bound = weight @ demand / room
     for turn in range(1, rounds + 1):
         price = inverse.sum(axis=0)
@@ -201,10 +202,20 @@ def cutting_stock(weight: np.ndarray, demand: np.ndarray, room: int, gap: float
         row = inverse[out] / step[out]
         inverse = inverse - np.outer(step, row)
         inverse[out] = row
-        if turn % 50 == 0:
-            inverse = np.linalg.inv(columns)
-            use = inverse @ demand
-    return columns.astype(np.int64), np.maximum(use, 0.0)
+        if turn % 25 == 0:
+            # Start again from an exact inverse; a basis that has become singular is given up.
+            try:
+                inverse = np.linalg.inv(columns)
+            except np.linalg.LinAlgError:
+                return sound[0].astype(np.int64), sound[1]
+            use = np.maximum(inverse @ demand, 0.0)
+            if not np.allclose(columns @ use, demand, rtol=1e-6, atol=1e-6):
+                return sound[0].astype(np.int64), sound[1]
+            sound = columns.copy(), use
+    use = np.maximum(use, 0.0)
+    if not np.allclose(columns @ use, demand, rtol=1e-6, atol=1e-6):
+        columns, use = sound
+    return columns.astype(np.int64), use
 
 
 def best_fit(lengths: dict[int, int], room: int) -> Counter:
