@@ -245,15 +245,35 @@ def dominant_indicator(zones: DataFrame, reference: DataFrame) -> DataFrame:
     return j.withColumn("dominant_indicator", F.coalesce(best["name"], F.lit("red_edge_shift")))
 
 
+def label_indicators(px: DataFrame, wavelengths: Sequence[float], labelled: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(scene_id, risk_class, zone, dominant_indicator) of labelled pixels that have a spectrum in ``px``.
+
+    Band sums are combined per block-local label first, so a giant zone reaches the second step as one
+    row per block.
+    """
+    picks = {nm: bandmath.nearest_index(wavelengths, nm) for nm in bandmath.ZONE_BANDS_NM}
+    bands = px.filter(F.col("spectrum").isNotNull()).select(
+        "scene_id", "row", "col", *[F.get("spectrum", F.lit(i)).cast("double").alias(f"b{nm}") for nm, i in picks.items()])
+    sums = labelled.select(*KEYS, "row", "col", "label").join(bands, ["scene_id", "row", "col"]).groupBy(*KEYS, "label").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"b{nm}").alias(f"b{nm}") for nm in picks])
+    means = with_zone(sums, mapping).groupBy(*KEYS, "zone").agg(*[(F.sum(f"b{nm}") / F.sum("n")).alias(f"b{nm}") for nm in picks])
+    cols = bandmath.zone_index_columns(lambda nm: F.col(f"b{int(nm)}"))
+    zones = means.select(*KEYS, "zone", *[c.alias(n) for n, c in cols.items()])
+    return dominant_indicator(zones, scene_reference(px, wavelengths)).select(*KEYS, "zone", "dominant_indicator")
+
+
 def extract_zones(
     risk: DataFrame, scenes: DataFrame, min_prob: float = 0.4, min_acres: float = 1.0, iterations: int = 1,
     area: str = "pixels", simplify_px: float = 0.5, block: int = 256, indicators: DataFrame | None = None,
+    px: DataFrame | None = None, wavelengths: Sequence[float] | None = None,
 ) -> DataFrame:
     """Contract zones from a stitched risk table.
 
     ``risk``: scene_id, row, col, p0..p3, onset, valid. ``scenes``: scene_id, affine a..f, epsg.
     ``area="pixels"`` counts pixels; ``area="polygon"`` measures the simplified outline and adds
-    its WGS84 ``coordinates``. ``indicators`` optionally maps (scene_id, risk_class, zone) to names.
+    its WGS84 ``coordinates``. ``px`` (with a ``spectrum`` per pixel)
+    and its ``wavelengths`` give every zone its dominant indicator; ``indicators`` may bring ready names
+    per (scene_id, risk_class, zone) instead. Without either it is the red-edge shift.
     """
     mask = zone_candidates(risk, min_prob).select(*KEYS, "row", "col", "onset", "risk")
     labelled, mapping = label_zones(mask, iterations, block, ("onset", "risk"))
@@ -266,6 +286,8 @@ def extract_zones(
         z = z.withColumn("area", polygon_acres(F.col("rings_utm"))).withColumn("coordinates", P.to_wgs84(F.col("rings_utm"), F.col("epsg")))
     else:
         z = z.withColumn("area", F.col("n_pixels") * acres)
+    if indicators is None and px is not None:
+        indicators = label_indicators(px, wavelengths, labelled, mapping)
     if indicators is not None:
         z = z.join(indicators, [*KEYS, "zone"], "left")
     else:

@@ -13,6 +13,7 @@ from canopyframe.operators import shaping as SH
 from canopyframe.operators import stitch as SW
 from canopyframe.operators import zones as Z
 from canopyframe.plans import adapters as A
+from canopyframe.plans import spectral as SP
 from canopyframe.plans.adapters import big, rnd
 from canopyframe.plans.registry import query, r4, r6, with_ctes
 
@@ -248,13 +249,32 @@ def _zones(t, area="pixels"):
     return Z.extract_zones(A.raster(t), _grid(t), block=BLOCK, area=area)
 
 
-@query("zones_end_to_end", zone_sql(f"""SELECT scene_id, rc AS risk_class, zone, CAST(n_pixels AS BIGINT) AS n_pixels, {r4('risk')} AS risk_score, {r6(f'round(n_pixels * {ACRES_SQL}, 3)')} AS area_acres,
-  CASE rc WHEN 3 THEN '{rules.ACTION_VISIBLE}' WHEN 2 THEN '{rules.ACTION_HIGH}' || CASE WHEN onset < 7 THEN '48 hours' ELSE '7 days' END ELSE '{rules.ACTION_EARLY}' END AS recommended_action
-  FROM zs WHERE n_pixels >= greatest(1, ceil(1.0 / {ACRES_SQL}))""", ZS_SQL))
+def spectra(t):
+    """A spectrum for every raster cell: the embedding of the cell's key, counted round."""
+    values = F.transform("embedding", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * x.cast("double") + 0.5)))
+    e = t("embeddings")
+    return A.raster(t).withColumn("vec_id", F.col("k") % e.count()).join(e.select("vec_id", values.alias("spectrum")), "vec_id").select(*PK, "spectrum")
+
+
+INDICATOR_SQL = f"""rx AS (SELECT ra.scene_id, ra."row", ra.col, list_transform(e.embedding, lambda x: least(1.0, greatest(0.0, 2 * CAST(x AS DOUBLE) + 0.5))) AS s
+  FROM ra JOIN embeddings e ON e.vec_id = ra.k % (SELECT count(*) FROM embeddings)),
+med AS (SELECT scene_id, {SP._bands_agg('quantile_cont({}, 0.5)')} FROM rx GROUP BY scene_id),
+zm AS (SELECT lab.scene_id, lab.rc, lab.zone, {SP._bands_agg('avg({})')} FROM lab JOIN rx ON rx.scene_id = lab.scene_id AND rx."row" = lab."row" AND rx.col = lab.col GROUP BY lab.scene_id, lab.rc, lab.zone),
+mr AS (SELECT scene_id, {', '.join(f'{e} AS m_{n}' for n, e in SP.ZCOL.items())} FROM med),
+zr AS (SELECT scene_id, rc, zone, {', '.join(f'{e} AS z_{n}' for n, e in SP.ZCOL.items())} FROM zm),
+zi AS (SELECT zr.scene_id, rc, zone, list_max([{SP.DROPS}]).n AS ind FROM zr JOIN mr USING (scene_id))"""
+
+
+@query("zones_end_to_end", zone_sql(f"""SELECT zs.scene_id, zs.rc AS risk_class, zs.zone, CAST(n_pixels AS BIGINT) AS n_pixels, {r4('risk')} AS risk_score, {r6(f'round(n_pixels * {ACRES_SQL}, 3)')} AS area_acres,
+  {r6('round_even(greatest(0.0, least(30.0, onset)), 2)')} AS days_to_onset, ind AS dominant_indicator,
+  CASE zs.rc WHEN 3 THEN '{rules.ACTION_VISIBLE}' WHEN 2 THEN '{rules.ACTION_HIGH}' || CASE WHEN onset < 7 THEN '48 hours' ELSE '7 days' END ELSE '{rules.ACTION_EARLY}' END
+    || CASE WHEN ind = 'water_stress' THEN '{rules.ACTION_IRRIGATION}' ELSE '' END AS recommended_action
+  FROM zs JOIN zi ON zi.scene_id = zs.scene_id AND zi.rc = zs.rc AND zi.zone = zs.zone WHERE n_pixels >= greatest(1, ceil(1.0 / {ACRES_SQL}))""", ZS_SQL, INDICATOR_SQL))
 def zones_end_to_end(t):
-    """Scored raster to contract zones: candidates, opening, components, statistics, actions."""
-    z = _zones(t)
-    return z.select("scene_id", "risk_class", "zone", "n_pixels", rnd("risk_score", 4).alias("risk_score"), rnd("area_acres").alias("area_acres"), "recommended_action")
+    """Scored raster and spectra to contract zones: candidates, opening, components, statistics, indicator, actions."""
+    z = Z.extract_zones(A.raster(t), _grid(t), block=BLOCK, px=spectra(t), wavelengths=A.FX_WAVELENGTHS)
+    return z.select("scene_id", "risk_class", "zone", "n_pixels", rnd("risk_score", 4).alias("risk_score"), rnd("area_acres").alias("area_acres"),
+                    rnd("days_to_onset").alias("days_to_onset"), "dominant_indicator", "recommended_action")
 
 
 @query("a7_job_summary", zone_sql(f"""
