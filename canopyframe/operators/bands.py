@@ -107,10 +107,12 @@ def response_weights(
 
     ``overlap`` integrates source and target responses and needs a minimum coverage; ``point``
     samples the target response at the source wavelengths. Each source band explodes into the
-    fixed target list; the only shuffle is by (sensor, dst), both bounded by the instruments.
+    fixed target list; the only shuffle is that of the band rows by sensor.
     """
     s_dst = target_fwhm * SIGMA
+    # Dealt by sensor before the explode, which the window and the join below then need not shuffle.
     w = Window.partitionBy("sensor_id", "dst")
+    bands = bands.repartition("sensor_id")
     flat = bands.select("*", _targets(targets)).select("*", "d.dst", "d.dst_wl").drop("d")
     diff2 = F.pow(F.col("dst_wl") - F.col("wavelength_nm"), F.lit(2.0))
     if mode == "point":

@@ -8,6 +8,7 @@ neighbour offset.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,16 +35,20 @@ def with_halo(px: DataFrame, block: int, halo: int) -> DataFrame:
     return px.withColumn("br", ids("row")).withColumn("bc", ids("col")).filter((F.col("br") >= 0) & (F.col("bc") >= 0))
 
 
-def smooth(px: DataFrame, value: str, sizes: DataFrame, sigma: float = 1.0, block: int = 256) -> DataFrame:
-    """Gaussian smoothing of a map with replicated edges; missing values count as 0 before it.
+def smooth(px: DataFrame, values: str | Sequence[str], sizes: DataFrame, sigma: float = 1.0, block: int = 256) -> DataFrame:
+    """Gaussian smoothing of one or several maps in one halo shuffle, with replicated edges; missing values count as 0 before it.
 
-    Returns ``scene_id, row, col, smoothed`` for every raster position of the blocks that a pixel row of
-    ``px`` lies in or near; a block far from any pixel row yields nothing.
+    Returns ``scene_id, row, col`` and ``smoothed`` (for one name) or the names given, for every raster
+    position of the blocks that a pixel row of ``px`` lies in or near; a block far from any pixel row
+    yields nothing.
     """
+    names = [values] if isinstance(values, str) else list(values)
+    outs = ["smoothed"] if isinstance(values, str) else names
     radius = int(4.0 * sigma + 0.5)
     w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
     weights = [v / sum(w) for v in w]
-    rows = px.join(broadcast_if_small(sizes), "scene_id").select("scene_id", "row", "col", "height", "width", F.col(value).cast("double").alias("v"))
+    rows = px.join(broadcast_if_small(sizes), "scene_id").select(
+        "scene_id", "row", "col", "height", "width", *[F.col(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         br, bc = int(pdf.br.iloc[0]), int(pdf.bc.iloc[0])
@@ -51,21 +56,43 @@ def smooth(px: DataFrame, value: str, sizes: DataFrame, sigma: float = 1.0, bloc
         top, left = max(0, br * block - radius), max(0, bc * block - radius)
         bottom, right = min(height, (br + 1) * block + radius), min(width, (bc + 1) * block + radius)
         if br * block >= height or bc * block >= width:
-            return pd.DataFrame({"scene_id": [], "row": [], "col": [], "smoothed": []}).astype({"scene_id": str, "row": np.int32, "col": np.int32, "smoothed": float})
-        a = np.zeros((bottom - top, right - left))
-        a[pdf.row.to_numpy() - top, pdf.col.to_numpy() - left] = np.nan_to_num(pdf.v.to_numpy(float))
-        pad = ((top - (br * block - radius), (br + 1) * block + radius - bottom), (left - (bc * block - radius), (bc + 1) * block + radius - right))
-        a = np.pad(a, pad, mode="edge")
-        a = sum(c * a[k : k + block, :] for k, c in enumerate(weights))
-        a = sum(c * a[:, k : k + block] for k, c in enumerate(weights))
+            none = pd.DataFrame({"scene_id": [], "row": [], "col": [], **{o: [] for o in outs}})
+            return none.astype({"scene_id": str, "row": np.int32, "col": np.int32, **{o: float for o in outs}})
         h, wd = min(block, height - br * block), min(block, width - bc * block)
         r, c = np.mgrid[0:h, 0:wd]
-        return pd.DataFrame({
-            "scene_id": pdf.scene_id.iloc[0], "row": (r.ravel() + br * block).astype(np.int32),
-            "col": (c.ravel() + bc * block).astype(np.int32), "smoothed": a[:h, :wd].ravel()})
+        res = {"scene_id": pdf.scene_id.iloc[0], "row": (r.ravel() + br * block).astype(np.int32), "col": (c.ravel() + bc * block).astype(np.int32)}
+        pad = ((top - (br * block - radius), (br + 1) * block + radius - bottom), (left - (bc * block - radius), (bc + 1) * block + radius - right))
+        at = (pdf.row.to_numpy() - top, pdf.col.to_numpy() - left)
+        for i, o in enumerate(outs):
+            a = np.zeros((bottom - top, right - left))
+            a[at] = np.nan_to_num(pdf[f"v{i}"].to_numpy(float))
+            a = np.pad(a, pad, mode="edge")
+            a = sum(x * a[k : k + block, :] for k, x in enumerate(weights))
+            a = sum(x * a[:, k : k + block] for k, x in enumerate(weights))
+            res[o] = a[:h, :wd].ravel()
+        return pd.DataFrame(res)
 
     halo = with_halo(rows, block, radius)
-    return halo.groupBy("scene_id", "br", "bc").applyInPandas(run, "scene_id string, row int, col int, smoothed double")
+    return halo.groupBy("scene_id", "br", "bc").applyInPandas(run, "scene_id string, row int, col int, " + ", ".join(f"{o} double" for o in outs))
+
+
+def neighbour_counts(mask: DataFrame, keys: tuple[str, ...] = ("scene_id", "risk_class"), block: int = 256) -> DataFrame:
+    """True pixels of the same keys in the 3x3 surroundings of every true pixel, itself included: column ``n``."""
+    fields = [f for f in mask.schema.fields if f.name in keys]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in fields), "row int", "col int", "n bigint"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        br, bc = int(pdf.br.iloc[0]), int(pdf.bc.iloc[0])
+        a = np.zeros((block + 2, block + 2), np.int64)
+        a[pdf.row.to_numpy() - br * block + 1, pdf.col.to_numpy() - bc * block + 1] = 1
+        n = sum(a[i : i + block, j : j + block] for i in range(3) for j in range(3))
+        r, c = np.nonzero(a[1:-1, 1:-1])
+        res = pd.DataFrame({"row": (r + br * block).astype(np.int32), "col": (c + bc * block).astype(np.int32), "n": n[r, c]})
+        for k in keys:
+            res[k] = pdf[k].iloc[0]
+        return res[[*keys, "row", "col", "n"]]
+
+    return with_halo(mask.select(*keys, "row", "col"), block, 1).groupBy(*keys, "br", "bc").applyInPandas(run, schema)
 
 
 def open_and_label(

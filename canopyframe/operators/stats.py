@@ -54,6 +54,12 @@ def long_bands(px: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys, "band", F.col("_v").cast("double").alias("v"))
 
 
+def picked_bands(px: DataFrame, keys: Sequence[str], bands: Sequence[int]) -> DataFrame:
+    """(keys, band, v) of a few bands only: they are picked before the spectrum is unpivoted."""
+    cells = F.array(*[F.struct(F.lit(int(b)).alias("band"), F.get("spectrum", F.lit(int(b))).cast("double").alias("v")) for b in sorted(bands)])
+    return px.filter(F.col("spectrum").isNotNull()).select(*keys, F.explode(cells).alias("_p")).select(*keys, "_p.band", "_p.v")
+
+
 def band_stats(px: DataFrame, fractions: Sequence[float] = (0.02, 0.98), keys: Sequence[str] = ()) -> DataFrame:
     """Low and high percentile per band over the valid pixels, with the pixel count."""
     out = exact_percentiles(long_bands(valid_pixels(px), keys), [*keys, "band"], "v", list(fractions))
@@ -181,11 +187,11 @@ def vote_labels(px: DataFrame, cfg: dict = PROXY) -> DataFrame:
 
 def proxy_labels(
     px: DataFrame, wavelengths: Sequence[float] | None = None, dialect: str = "interp",
-    keys: Sequence[str] = ("scene_id",), cfg: dict = PROXY, smooth_sigma: float = 0.0, block: int = 256,
+    keys: Sequence[str] = ("scene_id",), cfg: dict = PROXY, smooth_sigma: float = 1.0, block: int = 256,
 ) -> DataFrame:
     """Stress labels per pixel from indices against the scene's own vegetation baseline.
 
-    With ``smooth_sigma`` the index maps are smoothed first (one halo-block shuffle per index).
+    With ``smooth_sigma`` above 0 the index maps are smoothed first, all in one halo-block shuffle.
     """
     ix = bandmath.with_indices(px, tuple(DEFICIT_OF.values()), dialect, wavelengths)
     ix = ix.withColumn("valid", F.col("spectrum").isNotNull())
@@ -194,8 +200,7 @@ def proxy_labels(
         from canopyframe.operators.blocks import smooth
         from canopyframe.operators.grid import scene_sizes
 
-        sizes = scene_sizes(px)
-        for name in DEFICIT_OF.values():
-            s = smooth(ix.select("scene_id", "row", "col", name), name, sizes, smooth_sigma, block)
-            ix = ix.drop(name).join(s.withColumnRenamed("smoothed", name), ["scene_id", "row", "col"])
+        names = list(DEFICIT_OF.values())
+        smoothed = smooth(ix.select("scene_id", "row", "col", *names), names, scene_sizes(px), smooth_sigma, block)
+        ix = ix.drop(*names).join(smoothed, ["scene_id", "row", "col"])
     return vote_labels(deficits(ix, index_baselines(ix, keys, cfg["baseline"]), keys), cfg)

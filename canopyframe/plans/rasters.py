@@ -199,12 +199,8 @@ def _(t):
 SELECT m.scene_id, m."row", m.col, m.rc AS risk_class, count(*) AS n FROM mk m JOIN mk n ON n.scene_id = m.scene_id AND n.rc = m.rc
  AND n."row" BETWEEN m."row" - 1 AND m."row" + 1 AND n.col BETWEEN m.col - 1 AND m.col + 1 GROUP BY ALL"""))
 def _(t):
-    """Same-class pixels in the 3x3 neighbourhood: scatter to neighbours, then one aggregation."""
-    m = Z.zone_candidates(A.raster(t)).select("scene_id", "risk_class", "row", "col")
-    near = F.array(*[F.struct((F.col("row") + a).alias("row"), (F.col("col") + b).alias("col"), F.lit(int(a == 0 and b == 0)).alias("own")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    s = m.select("scene_id", "risk_class", F.explode(near).alias("n")).select("scene_id", "risk_class", "n.*")
-    g = s.groupBy("scene_id", "row", "col", "risk_class").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
-    return g.filter("own = 1").drop("own")
+    """Same-class pixels in the 3x3 neighbourhood, in halo blocks."""
+    return BL.neighbour_counts(Z.zone_candidates(A.raster(t)), Z.KEYS, BLOCK).select(*PK, "risk_class", "n")
 
 
 @query("g21_connected_components", zone_sql(f"SELECT {PKQ}, rc AS risk_class, zone FROM lab"))

@@ -84,8 +84,7 @@ def _(t):
 SELECT {PKQ}, CAST(band AS INTEGER) AS band, {r6('v')} AS value FROM long WHERE band IN (7, 8, 13, 15, 42)"""))
 def _(t):
     """Only the diagnostic bands of every pixel."""
-    long = ST.long_bands(A.pixels(t), PK)
-    picked = cubes.band_filter(long, WL, [531, 550, 570, 670, 700, 1240])
+    picked = ST.picked_bands(A.pixels(t), PK, {B.nearest_index(WL, nm) for nm in (531, 550, 570, 670, 700, 1240)})
     return picked.select(*PK, "band", rnd("v").alias("value"))
 
 
@@ -589,7 +588,32 @@ def _(t):
 
 @query("a12_proxy_labels", with_ctes(A.PX_SQL, IX_SQL, LABEL_SQL, body=f"SELECT {PKQ}, CAST(cls AS INTEGER) AS cls, {r6('confidence')} AS confidence, {r6('onset')} AS onset FROM lb"))
 def _(t):
-    lab = ST.proxy_labels(A.pixels(t), WL)
+    lab = ST.proxy_labels(A.pixels(t), WL, smooth_sigma=0.0)
+    return lab.select(*PK, F.col("cls").cast("int").alias("cls"), rnd("confidence").alias("confidence"), rnd("onset").alias("onset"))
+
+
+_GAUSS = [math.exp(-0.5 * k * k) for k in range(-4, 5)]
+_INDEX_NAMES = ("rep", "ndre", "pri", "cci", "ndvi")
+SMOOTH_SQL = f"""
+ix AS (SELECT {PKQ}, vec_id, s IS NOT NULL AS valid, {', '.join(f'{INTERP[n]} AS {n}' for n in _INDEX_NAMES)} FROM px),
+sz AS (SELECT scene_id, max("row") + 1 AS h, max(col) + 1 AS w FROM px GROUP BY scene_id),
+kn(o, g) AS (VALUES {', '.join(f'({i - 4}, {x / sum(_GAUSS)!r})' for i, x in enumerate(_GAUSS))}),
+u AS ({' UNION ALL '.join(f"SELECT {PKQ}, '{n}' AS name, CASE WHEN {n} IS NULL OR isnan({n}) THEN 0.0 ELSE {n} END AS v FROM ix" for n in _INDEX_NAMES)}),
+u1 AS (SELECT a.scene_id, a."row", a.col, a.name, sum(kn.g * b.v) AS v FROM u a JOIN sz ON sz.scene_id = a.scene_id, kn, u b
+  WHERE b.scene_id = a.scene_id AND b.name = a.name AND b.col = a.col AND b."row" = greatest(0, least(sz.h - 1, a."row" + o)) GROUP BY 1, 2, 3, 4),
+u2 AS (SELECT a.scene_id, a."row", a.col, a.name, sum(kn.g * b.v) AS v FROM u1 a JOIN sz ON sz.scene_id = a.scene_id, kn, u1 b
+  WHERE b.scene_id = a.scene_id AND b.name = a.name AND b."row" = a."row" AND b.col = greatest(0, least(sz.w - 1, a.col + o)) GROUP BY 1, 2, 3, 4),
+sm AS (SELECT {PKQ}, {', '.join(f"max(CASE WHEN name = '{n}' THEN v END) AS {n}" for n in _INDEX_NAMES)} FROM u2 GROUP BY 1, 2, 3),
+veg AS (SELECT ix.scene_id, ix."row", ix.col, vec_id, valid, {', '.join(f'sm.{n}' for n in _INDEX_NAMES)}, valid AND coalesce(ix.ndvi >= 0.4, FALSE) AS vegetation
+  FROM ix JOIN sm ON sm.scene_id = ix.scene_id AND sm."row" = ix."row" AND sm.col = ix.col),
+base AS (SELECT scene_id, {', '.join(f'quantile_cont({n}, 0.5) AS b_{n}' for n in _INDEX_NAMES)} FROM veg WHERE vegetation GROUP BY scene_id),
+df AS (SELECT veg.*, {', '.join(f'coalesce(b_{i}, 0.0) - {i} AS {d}' for d, i in ST.DEFICIT_OF.items())} FROM veg LEFT JOIN base USING (scene_id))"""
+
+
+@query("a12_smoothed_labels", with_ctes(A.PX_SQL, SMOOTH_SQL, LABEL_SQL, body=f"SELECT {PKQ}, CAST(cls AS INTEGER) AS cls, {r6('confidence')} AS confidence, {r6('onset')} AS onset FROM lb"))
+def _(t):
+    """Proxy labels with the default smoothing of the index maps."""
+    lab = ST.proxy_labels(A.pixels(t), WL, block=16)
     return lab.select(*PK, F.col("cls").cast("int").alias("cls"), rnd("confidence").alias("confidence"), rnd("onset").alias("onset"))
 
 
@@ -598,7 +622,7 @@ SELECT scene_id, CAST(cls AS INTEGER) AS risk_class, count(*) AS n_pixels, {r4('
 FROM lb WHERE cls IS NOT NULL GROUP BY scene_id, cls"""))
 def flagship(t):
     """For each scene: pixels and acres in every vegetation-stress class."""
-    lab = ST.proxy_labels(A.pixels(t), WL).filter(F.col("cls").isNotNull())
+    lab = ST.proxy_labels(A.pixels(t), WL, smooth_sigma=0.0).filter(F.col("cls").isNotNull())
     n = F.count(F.lit(1))
     return lab.groupBy("scene_id", F.col("cls").cast("int").alias("risk_class")).agg(
         n.alias("n_pixels"), rnd(n * (900.0 / K.SQM_PER_ACRE), 4).alias("acres"), rnd(F.avg("confidence")).alias("mean_confidence"))
