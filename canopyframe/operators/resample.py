@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canopyframe import constants as K
-from canopyframe.operators.bands import SIGMA
+from canopyframe.operators import bands as BD
 from canopyframe.session import broadcast_if_small
 
 
@@ -33,6 +33,11 @@ def apply_matrix(px: DataFrame, matrix: np.ndarray, spectrum: str = "spectrum",
         for batch in batches:
             arr = batch.column(batch.schema.get_field_index(spectrum))
             live = np.asarray(arr.is_valid())
+            sizes = np.asarray(arr.value_lengths().fill_null(n_src))
+            if (sizes != n_src).any():
+                at = int(np.flatnonzero(sizes != n_src)[0])
+                row = {n: batch.column(batch.schema.get_field_index(n))[at].as_py() for n in names}
+                raise ValueError(f"a spectrum of {sizes[at]} values where {n_src} are needed, in row {row}")
             flat = np.asarray(arr.drop_null().flatten().cast(pa.float64()).to_numpy(zero_copy_only=False))
             res = flat.reshape(-1, n_src) @ weights
             ends = np.concatenate([[0], np.cumsum(np.where(live, n_dst, 0))]).astype(np.int32)
@@ -110,29 +115,20 @@ def savgol(px: DataFrame, bands: int, window: int = 7, order: int = 2, spectrum:
     return px if bands < window else apply_matrix(px, savgol_matrix(bands, window, order), spectrum)
 
 
-def overlap_matrix(
-    src_wl: Sequence[float], src_fwhm: Sequence[float], src_bad: Sequence[bool], dst_wl: Sequence[float],
-    dst_fwhm: float = K.CANONICAL_FWHM_NM, min_coverage: float = 0.25,
+def _band_table(spark: SparkSession, wl: Sequence[float], fwhm: Sequence[float], bad: Sequence[bool]) -> DataFrame:
+    rows = [(0, i, float(w), float(f), bool(b)) for i, (w, f, b) in enumerate(zip(wl, fwhm, bad))]
+    return spark.createDataFrame(rows, "sensor_id int, band int, wavelength_nm double, fwhm_nm double, bad boolean")
+
+
+def weight_matrix(
+    spark: SparkSession, wl: Sequence[float], fwhm: Sequence[float], bad: Sequence[bool], targets: Sequence[float],
+    target_fwhm: float = K.CANONICAL_FWHM_NM, mode: str = "overlap",
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Weight matrix and covered flags of one sensor, for the Arrow path (metadata-sized)."""
-    src, dst = np.asarray(src_wl, float), np.asarray(dst_wl, float)
-    var = (dst_fwhm * SIGMA) ** 2 + (np.asarray(src_fwhm, float) * SIGMA) ** 2
-    shape = np.exp(-0.5 * np.subtract.outer(dst, src) ** 2 / var) / np.sqrt(2 * np.pi * var)
-    shape *= ~np.asarray(src_bad, bool)
-    mass = shape.sum(axis=1)
-    spacing = float(np.median(np.diff(np.sort(src)))) if src.size > 1 else 1.0
-    covered = mass * spacing >= min_coverage
-    scale = np.zeros_like(mass)
-    scale[covered] = 1.0 / mass[covered]
-    return shape * scale[:, None], covered
-
-
-def point_matrix(src_wl: Sequence[float], dst_wl: Sequence[float], dst_fwhm: float = K.CANONICAL_FWHM_NM_MEAN) -> np.ndarray:
-    """Target response sampled at the source wavelengths, rows normalised (zero if no support)."""
-    diff = np.subtract.outer(np.asarray(dst_wl, float), np.asarray(src_wl, float))
-    shape = np.exp(-0.5 * (diff / (dst_fwhm * SIGMA)) ** 2)
-    mass = shape.sum(axis=1, keepdims=True)
-    return np.divide(shape, mass, out=np.zeros_like(shape), where=mass > 1e-12)
+    """``bands.response_weights`` of one sensor as a dense matrix, with its covered flags (bands x targets rows at most)."""
+    m, covered = np.zeros((len(targets), len(wl))), np.zeros(len(targets), bool)
+    for r in BD.response_weights(_band_table(spark, wl, fwhm, bad), targets, target_fwhm, mode).collect():
+        m[r.dst, r.band], covered[r.dst] = r.weight, r.covered
+    return m, covered
 
 
 def _in_water(wl: np.ndarray) -> np.ndarray:
@@ -159,7 +155,7 @@ def resample(
     bad = _in_water(src) | (src < lo) | (src > hi) | ~np.isfinite(src)
     if src_bad is not None:
         bad |= np.asarray(src_bad, bool)
-    weights, covered = overlap_matrix(src, src_fwhm, bad, dst, dst_fwhm)
+    weights, covered = weight_matrix(px.sparkSession, src, src_fwhm, bad, dst, dst_fwhm)
     fill = ~covered | _in_water(dst)
     weights[fill] = 0.0
     matrix = plan_matrix(interpolation_plan(list(dst), list(fill))) @ weights
@@ -171,41 +167,35 @@ def resample(
     return apply_matrix(px.withColumn(spectrum, clean), matrix, spectrum)
 
 
-def linear_matrix(src_wl: Sequence[float], dst_wl: Sequence[float]) -> np.ndarray:
-    """Linear interpolation from sorted source wavelengths, edges repeated, as a matrix."""
-    src = np.asarray(src_wl, float)
-    m = np.zeros((len(dst_wl), src.size))
-    for row, w in enumerate(dst_wl):
-        i = int(np.clip(np.searchsorted(src, w) - 1, 0, src.size - 2))
-        t = float(np.clip((w - src[i]) / max(src[i + 1] - src[i], 1e-12), 0.0, 1.0))
-        m[row, i] += 1.0 - t
-        m[row, i + 1] += t
-    return m
-
-
 def resample_canonical(
     px: DataFrame, src_wl: Sequence[float], method: str = "linear", fill: str = "edge",
     dst_wl: Sequence[float] | None = None, spectrum: str = "spectrum",
 ) -> tuple[DataFrame, list[bool]]:
-    """Linear or Gaussian resampling with linear bridging of gaps; returns pixels and coverage."""
+    """Resampling by ``bands.brackets`` (linear) or point responses, as one matrix; returns pixels and coverage.
+
+    With point responses, targets far from every source band are bridged linearly. Targets beyond the
+    source's range take the nearest covered target's value, or zero.
+    """
     if method not in ("linear", "gaussian") or fill not in ("edge", "zero"):
-        raise ValueError(f"unknown method or fill: {method!r}, {fill!r}")
-    dst = np.asarray(dst_wl if dst_wl is not None else K.canonical_wavelengths(), float)
-    order = np.argsort(np.asarray(src_wl, float), kind="stable")
-    src = np.asarray(src_wl, float)[order]
-    half = K.CANONICAL_FWHM_NM_MEAN / 2
-    covered = (src[0] - half <= dst) & (src[-1] + half >= dst)
-    m = linear_matrix(src, dst)
+        raise ValueError(f"method is linear or gaussian and fill edge or zero, not {method!r} and {fill!r}")
+    targets = [float(w) for w in (dst_wl if dst_wl is not None else K.canonical_wavelengths())]
+    bands = len(src_wl)
+    table = _band_table(px.sparkSession, src_wl, [1.0] * bands, [False] * bands)
+    rows = sorted(BD.brackets(table, targets).collect(), key=lambda r: r.dst)
+    bridge = np.zeros((len(targets), bands))
+    for r in rows:
+        bridge[r.dst, r.lo_band] += 1.0 - r.t
+        bridge[r.dst, r.hi_band] += r.t
+    covered = [bool(r.covered) for r in rows]
+    matrix = bridge
     if method == "gaussian":
-        near = np.abs(np.subtract.outer(dst, src)).min(axis=1)
-        gaps = covered & (near > K.CANONICAL_FWHM_NM_MEAN)
-        m = np.where(gaps[:, None], m, point_matrix(src, dst))
+        matrix = weight_matrix(px.sparkSession, src_wl, [1.0] * bands, [False] * bands, targets, K.CANONICAL_FWHM_NM_MEAN, "point")[0]
+        for r in rows:
+            if r.covered and r.nearest_nm > K.CANONICAL_FWHM_NM_MEAN:
+                matrix[r.dst] = bridge[r.dst]
+    known = [i for i, c in enumerate(covered) if c]
     if fill == "zero":
-        m[~covered] = 0.0
-    elif covered.any() and not covered.all():
-        inside = np.flatnonzero(covered)
-        m[: inside[0]] = m[inside[0]]
-        m[inside[-1] + 1 :] = m[inside[-1]]
-    unsorted = np.zeros_like(m)
-    unsorted[:, order] = m
-    return apply_matrix(px, unsorted, spectrum), [bool(c) for c in covered]
+        matrix[[i for i, c in enumerate(covered) if not c]] = 0.0
+    elif known:
+        matrix = matrix[np.clip(np.arange(len(targets)), known[0], known[-1])]
+    return apply_matrix(px, matrix, spectrum), covered

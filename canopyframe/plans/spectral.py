@@ -11,6 +11,7 @@ from canopyframe.functions import bandmath as B
 from canopyframe.functions import rules
 from canopyframe.functions import spectral as S
 from canopyframe.operators import bands as BD
+from canopyframe.operators import reflectance as RF
 from canopyframe.operators import resample as R
 from canopyframe.operators import stats as ST
 from canopyframe.operators import zones as Z
@@ -278,7 +279,7 @@ SELECT {PKQ}, dst, {r6('sum(v * CASE WHEN tot > 1e-12 THEN o / tot ELSE 0.0 END)
 FROM long JOIN w USING (band) GROUP BY {PKQ}, dst"""))
 def _(t):
     """Matrix product per spectrum in Arrow batches (no shuffle)."""
-    m = R.point_matrix(WL, DST20)
+    m = R.weight_matrix(t.spark, WL, [A.FX_FWHM] * 64, [False] * 64, DST20, K.CANONICAL_FWHM_NM_MEAN, "point")[0]
     px = R.apply_matrix(A.pixels(t).filter("spectrum IS NOT NULL").select(*PK, "spectrum"), m)
     return px.select(*PK, F.posexplode("spectrum").alias("dst", "v")).select(*PK, "dst", rnd("v").alias("value"))
 
@@ -431,16 +432,12 @@ def _(t):
 
 @query("p25_scene_transform_chain")
 def _(t):
-    """Counts to canonical reflectance in one narrow chain: radiometry, clip, resample, smooth, clip, mask."""
-    px = A.faulty_pixels(t)
-    good = [not b for b in SRC_BAD]
-    px = px.withColumn("_bad", S.all_bands_nodata("spectrum", -1.0, good))
-    px = px.withColumn("spectrum", S.clip_reflectance(S.radiance("spectrum", 1.0, 0.0), F.col("_bad")))
-    px = R.resample(px, WL, [A.FX_FWHM] * 64, SRC_BAD, dst_wl=K.canonical_wavelengths()[:120])
-    px = R.savgol(px, 120).withColumn("spectrum", S.clip("spectrum"))
-    px = ST.cloud_shadow(px, K.canonical_wavelengths()[:120])
-    gone = ST.combine_masks(F.col("cloud"), F.col("shadow"))
-    px = px.withColumn("spectrum", F.when(~gone, F.col("spectrum")))
+    """Counts to canonical reflectance: gains, sun angle, dark values, resampling, smoothing, masks."""
+    targets = K.canonical_wavelengths()[:120]
+    sensor = RF.Sensor(
+        WL, [A.FX_FWHM] * 64, SRC_BAD, gain=0.9, offset=0.01, quantity=F.when(F.col("scene_id") == "scn_0", "radiance").otherwise("reflectance"),
+        esun=[3.0] * 64, sun_elevation=F.lit(55.0), day_of_year=F.lit(120))
+    px = RF.to_reflectance(A.faulty_pixels(t), sensor, RF.Steps(dark_fraction=0.005, targets=targets, smooth=True, outside=F.col("row") < 1))
     return px.select(*PK, F.col("spectrum").isNotNull().alias("kept"), rnd(F.aggregate("spectrum", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 

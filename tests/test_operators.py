@@ -508,3 +508,51 @@ def test_metadata_files(spark, tmp_path):
     (tmp_path / "f.geojson").write_text('{"type":"Feature","properties":{"name":"n"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}}')
     g = MD.read_geojson(spark, str(tmp_path / "f.geojson")).first()
     assert g.properties == {"name": "n"} and g.polygons[0][0][1] == [1.0, 0.0] and g.error is None
+
+
+def test_percentiles_ignore_nan_and_keep_infinity(spark):
+    rows = [("a", float(v)) for v in range(1, 11)] + [("a", float("nan"))] * 4 + [("a", None)]
+    rows += [("b", v) for v in (float("-inf"), 1.0, 2.0, float("inf"), float("inf"))] + [("c", float("nan"))]
+    got = {r.k: r for r in Q.exact_percentiles(frame(spark, rows, "k string, v double"), ["k"], "v", [0.0, 0.5, 1.0]).collect()}
+    assert (got["a"].n, got["a"].q1) == (10, 5.5) and set(got) == {"a", "b"}
+    assert (got["b"].q0, got["b"].q1, got["b"].q2) == (float("-inf"), 2.0, float("inf"))
+
+
+def test_missing_statistics_leave_pixels_unchanged(spark):
+    px = frame(spark, [("s", 0, 0, [0.2, 0.4]), ("s", 0, 1, [0.6, 0.8]), ("t", 0, 0, [5.0, 7.0])], "scene_id string, row int, col int, spectrum array<double>")
+    stats = ST.band_stats(px.filter("scene_id = 's'"), keys=["scene_id"])
+    got = {(r.scene_id, r.col): r.spectrum for r in ST.apply_scaling(px, stats, ["scene_id"]).collect()}
+    assert len(got) == 3 and got["t", 0] == [5.0, 7.0] and got["s", 0] == [0.0, 0.0]
+    dark = ST.dark_values(px.filter("scene_id = 's'"), fraction=0.0)
+    got = {(r.scene_id, r.col): r.spectrum for r in ST.subtract_dark_values(px, dark).collect()}
+    assert got["t", 0] == [5.0, 7.0] and got["s", 0] == [0.0, 0.0]
+    assert ST.apply_scaling(px, ST.band_stats(px)).count() == 3
+
+
+def test_wide_halo_reaches_over_small_blocks(spark):
+    a = RNG.random((40, 33))
+    px = frame(spark, [("s", r, c, float(a[r, c])) for r in range(40) for c in range(33)], "scene_id string, row int, col int, v double")
+    maps = {}
+    for block in (16, 256):
+        maps[block] = {(r.row, r.col): r.smoothed for r in BL.smooth(px, "v", GR.scene_sizes(px), 5.0, block).collect()}
+    assert maps[16].keys() == maps[256].keys() and max(abs(maps[16][k] - maps[256][k]) for k in maps[16]) < 1e-12
+
+
+def test_ragged_spectra_are_named(spark):
+    px = frame(spark, [(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0])], "id int, spectrum array<double>")
+    with pytest.raises(Exception, match="a spectrum of 1 values where 2 are needed"):
+        R.apply_matrix(px.coalesce(1), np.eye(2)).collect()
+
+
+def test_canonical_resampling_of_unsorted_bands(spark):
+    wl = [700.0, 500.0, 900.0, 600.0]
+    x = [0.7, 0.5, 0.9, 0.6]
+    px = frame(spark, [(1, x)], "id int, spectrum array<double>")
+    for fill, outer in (("edge", None), ("zero", 0.0)):
+        out, covered = R.resample_canonical(px, wl, "linear", fill, [450.0, 500.0, 550.0, 800.0, 1000.0])
+        v = out.first().spectrum
+        assert covered == [False, True, True, True, False]
+        assert v[1:4] == pytest.approx([0.5, 0.55, 0.8])
+        assert (v[0], v[4]) == ((v[1], v[3]) if outer is None else (0.0, 0.0))
+    bridged, _ = R.resample_canonical(px, wl, "gaussian", "edge", [500.0, 550.0])
+    assert bridged.first().spectrum == pytest.approx([0.5, 0.55], abs=1e-3)
