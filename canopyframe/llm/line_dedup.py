@@ -60,7 +60,7 @@ def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
-def _pack(table: np.ndarray) -> bytes:
+def pack_table(table: np.ndarray) -> bytes:
     return zlib.compress(table.tobytes(), 1)
 
 
@@ -91,8 +91,8 @@ def partial_filters(hashes: DataFrame, bits: int) -> DataFrame:
             part = once[i * step : (i + 1) * step]
             if part.any():
                 yield pa.RecordBatch.from_pydict({
-                    "piece": pa.array([i], pa.int32()), "once": pa.array([_pack(part)], pa.binary()),
-                    "twice": pa.array([_pack(twice[i * step : (i + 1) * step])], pa.binary())})
+                    "piece": pa.array([i], pa.int32()), "once": pa.array([pack_table(part)], pa.binary()),
+                    "twice": pa.array([pack_table(twice[i * step : (i + 1) * step])], pa.binary())})
 
     return hashes.select("h").mapInArrow(build, "piece int, once binary, twice binary")
 
@@ -103,14 +103,13 @@ def _merge(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
         a, b = np.frombuffer(zlib.decompress(a), np.uint8), np.frombuffer(zlib.decompress(b), np.uint8)
         twice |= b | (once & a)
         once |= a
-    return pd.DataFrame({"piece": [key[0]], "once": [_pack(once)], "twice": [_pack(twice)]})
+    return pd.DataFrame({"piece": [key[0]], "once": [pack_table(once)], "twice": [pack_table(twice)]})
 
 
-def seen_again(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The filter of hashes that occur more than once, merged in two steps; ``bits`` / 8 bytes."""
+def merged_table(parts: DataFrame, bits: int) -> np.ndarray:
+    """The filter of places seen again, ``bits`` / 8 bytes, from (piece, once, twice) rows, merged in two steps."""
     schema = "piece int, once binary, twice binary"
-    parts = partial_filters(hashes, bits).withColumn("_some", F.expr("cast(rand(7) * 64 as int)"))
-    some = parts.groupBy("piece", "_some").applyInPandas(_merge, schema)
+    some = parts.withColumn("_some", F.expr("cast(rand(7) * 64 as int)")).groupBy("piece", "_some").applyInPandas(_merge, schema)
     whole = some.groupBy("piece").applyInPandas(_merge, schema).select("piece", "twice")
     table = np.zeros(bits // 8, np.uint8)
     for r in whole.toLocalIterator():
@@ -118,6 +117,11 @@ def seen_again(hashes: DataFrame, bits: int) -> np.ndarray:
     return table
 
 
+def seen_again(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The filter of hashes that occur more than once."""
+    return merged_table(partial_filters(hashes, bits), bits)
+
+
 def shared_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, salts: int = 16) -> DataFrame:
     """(doc_id, keys): the keys that each document loses."""
     spark = docs.sparkSession
