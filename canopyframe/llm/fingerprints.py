@@ -33,6 +33,8 @@ from canopyframe.llm.text import _powers_at_least, mix
 GRAM, WINDOW = 32, 96
 #: Documents of one range, on average.
 RANGE_ROWS = 500
+#: Code points that one step of a task handles (plus one text).
+CHUNK = 1 << 18
 
 
 def winnow(points: list[np.ndarray], gram: int = GRAM, window: int = WINDOW) -> list[np.ndarray]:
@@ -156,7 +158,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
             columns = [b.column(i) for i in range(4)]
             for i in range(b.num_rows):
                 row = (columns[0][i].as_py(), columns[1][i].as_py(), columns[2][i].as_py(), columns[3][i].as_py() or "")
-                if size > 1 << 20:
+                if size > CHUNK:
                     out = flush(held, row)
                     held, size = [], 0
                     if out is not None:
