@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(tokenizer)
         for b in batches:
-            for lo, hi, data, bounds in chunks(b.column(1)):
+            for lo, hi, data, bounds in chunks(b.column(1), 1 << 21):
                 start, end, row = words(data, bounds)
                 ids, count = encode(data, start, end)
                 per_row = np.bincount(row, weights=count, minlength=hi - lo).astype(np.int64) if len(row) else np.zeros(hi - lo, np.int64)

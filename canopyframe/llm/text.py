@@ -41,12 +41,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=4)
+_powers: list[np.ndarray] = []
+
+
 def _powers_at_least(log_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least 2 ** ``log_n`` of each; a worker keeps one pair."""
     n = 1 << log_n
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, _BASE_INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    if not _powers or len(_powers[0]) < n:
+        up, down = np.full(n, _BASE, np.uint64), np.full(n, _BASE_INVERSE, np.uint64)
+        up[0] = down[0] = 1
+        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+    return _powers[0], _powers[1]
 
 
 @lru_cache(maxsize=2)
@@ -64,7 +69,7 @@ def _space() -> np.ndarray:
     return table
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, size: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array | pa.ChunkedArray, size: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row bounds) for runs of rows of about ``size`` bytes.
 
     ``bounds`` has one more entry than rows and counts from the start of the bytes.
