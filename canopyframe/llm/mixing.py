@@ -3,7 +3,8 @@
 Every source has a target repetition rate (target size over available size). A document's copies
 are drawn by inverting the Poisson distribution of that mean at a uniform number hashed from a seed
 and the document's key; the row is exploded by its count, and all rows are shuffled by a second
-hash, so that each output partition is an even mixture in random order.
+hash, so that each output partition is an even mixture in random order. A rate above ``STEP`` is drawn
+as the sum of independent draws of equal rates of at most ``STEP``, which has the same distribution.
 
 Defined results: NULL sources are one source of their own. A NULL key, and rows that repeat a key,
 draw the same count for equal keys; copies of repeated rows share their place by hash and keep both
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 from canopyframe.llm.text import fresh
 from canopyframe.session import broadcast_if_small
 
-#: Rates above this would need a longer table than is kept per source.
-MAX_RATE = 64.0
+#: The highest rate of one draw.
+STEP = 64.0
+#: Rates above this are taken for a mistake. Those of ``temperature_rates`` with exponent 0.7 and one epoch are
+#: at most (all characters) ** 0.3, which is below it for every size that a bigint holds.
+MAX_RATE = float(1 << 19)
 
 
 def uniform(seed: int, *key: Column) -> Column:
@@ -41,15 +45,17 @@ def temperature_rates(docs: DataFrame, exponent: float = 0.7, epochs: float = 1.
 
 
 def with_cdf(rates: DataFrame) -> DataFrame:
-    """Adds ``cdf``: P(X <= k) for k = 0, 1, ... until it no longer grows (mean + 12 deviations + 20)."""
+    """Adds ``draws``, the number of draws, and ``cdf``: one draw's P(X <= k) for k = 0, 1, ... until it no
+    longer grows (mean + 12 deviations + 20)."""
     bad = F.raise_error(F.lit(f"a repetition rate is negative, not a number or above {MAX_RATE}"))
     ok = (F.col("rate") >= 0) & (F.col("rate") <= MAX_RATE)
     checked = rates.withColumn("rate", F.when(ok, F.col("rate")).otherwise(bad.cast("double")))
-    return checked.withColumn("cdf", F.expr("""
-        aggregate(sequence(1, cast(ceil(rate + 12 * sqrt(rate) + 20) as int)),
-          named_struct('p', exp(-rate), 'c', exp(-rate), 'all', array(exp(-rate))),
-          (s, k) -> named_struct('p', s.p * rate / k, 'c', s.c + s.p * rate / k, 'all', array_append(s.all, s.c + s.p * rate / k)),
-          s -> s.all)"""))
+    counted = checked.withColumn("draws", F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")).withColumn("part", F.col("rate") / F.col("draws"))
+    return counted.withColumn("cdf", F.expr("""
+        aggregate(sequence(1, cast(ceil(part + 12 * sqrt(part) + 20) as int)),
+          named_struct('p', exp(-part), 'c', exp(-part), 'all', array(exp(-part))),
+          (s, k) -> named_struct('p', s.p * part / k, 'c', s.c + s.p * part / k, 'all', array_append(s.all, s.c + s.p * part / k)),
+          s -> s.all)""")).drop("part")
 
 
 def poisson_count(cdf: Column, u: Column) -> Column:
@@ -64,9 +70,12 @@ def replicate(docs: DataFrame, rates: DataFrame, key: str = "doc_id", seed: int
     ``copy`` (from 0) and ``place`` (the hash that rows are ordered by inside a partition) name
     optional extra columns.
     """
-    src, cdf, n, c, p = (fresh(docs, x) for x in ("_mx_source", "_mx_cdf", "_mx_n", "_mx_copy", "_mx_place"))
-    table = broadcast_if_small(with_cdf(rates).select(F.col("source").alias(src), F.col("cdf").alias(cdf)), 10_000)
-    drawn = docs.join(table, F.col("source").eqNullSafe(F.col(src))).withColumn(n, poisson_count(F.col(cdf), uniform(seed, F.col(key))))
+    src, cdf, m, n, c, p = (fresh(docs, x) for x in ("_mx_source", "_mx_cdf", "_mx_draws", "_mx_n", "_mx_copy", "_mx_place"))
+    table = broadcast_if_small(with_cdf(rates).select(F.col("source").alias(src), F.col("cdf").alias(cdf), F.col("draws").alias(m)), 10_000)
+    more = F.transform(F.sequence(F.lit(1), F.col(m) - 1), lambda i: uniform(seed, F.col(key), i))
+    rest = F.aggregate(more, F.lit(0), lambda s, u: s + poisson_count(F.col(cdf), u))
+    count = poisson_count(F.col(cdf), uniform(seed, F.col(key))) + F.when(F.col(m) > 1, rest).otherwise(0)
+    drawn = docs.join(table, F.col("source").eqNullSafe(F.col(src))).withColumn(n, count)
     copies = drawn.filter(F.col(n) > 0).withColumn(c, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     placed = copies.withColumn(p, F.xxhash64(F.lit(seed), F.col(key), F.col(c)))
     extra = [F.col(a).alias(b) for a, b in ((c, copy), (p, place)) if b]

@@ -165,6 +165,20 @@ def test_mixing(spark, odd_docs, no_docs):
     assert mixing.replicate(no_docs, mixing.temperature_rates(no_docs)).count() == 0
 
 
+def test_mixing_at_high_rates(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "if(id % 4 = 0, 'tiny', 'small') as source", "'x' as text")
+    rates = spark.createDataFrame([("tiny", 150.0), ("small", 64.5)], "source string, rate double")
+    counts = mixing.replicate(docs, rates).groupBy("source", "doc_id").count().collect()
+    for source, rate, n in (("tiny", 150.0, 1000), ("small", 64.5, 3000)):
+        c = np.array([r["count"] for r in counts if r.source == source])
+        assert len(c) == n and abs(c.mean() - rate) < 5 * math.sqrt(rate / n) and abs(c.var() / rate - 1) < 0.25
+    huge = spark.createDataFrame([("tiny", 20_000.0)], "source string, rate double")
+    assert abs(mixing.replicate(docs.filter("doc_id < 8"), huge).count() / 2 - 20_000) < 700
+    # A source of one short text beside a large corpus.
+    one = spark.range(3).selectExpr("id as doc_id", "if(id = 0, 'short', 'long' || id) as source", "if(id = 0, 'x', repeat('long text ', 1000000)) as text")
+    assert mixing.replicate(one, mixing.temperature_rates(one)).filter("source = 'short'").count() > 64
+
+
 def test_mixing_hits_its_rates(spark):
     docs = spark.range(40_000).selectExpr("id as doc_id", "if(id % 4 = 0, 'rare', 'common') as source", "'x' as text")
     rates = spark.createDataFrame([("rare", 3.0), ("common", 0.5)], "source string, rate double")
