@@ -42,13 +42,13 @@ coalesce(element_at(transform(array(sort_array(transform(_win, (x, i) -> named_s
     aggregate(transform(p, (v, j) -> least(3, coalesce(get(p, j + 1) - v, 3))), 0L, (s, v) -> s + v)), 1)), 1), 0L)"""
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """One row per document: base counts and the two histograms."""
+def features(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: base counts and the two histograms, and the ``carried`` columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", "lang", text.alias("_text"), F.btrim(text, F.lit(SPACE_CHARS)).alias("_trim"))
+    base = docs.select(*carried, "doc_id", "lang", text.alias("_text"), F.btrim(text, F.lit(SPACE_CHARS)).alias("_trim"))
     common = F.element_at(F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("lang"))
     base = base.select(
-        "doc_id", "lang", "_text",
+        *carried, "doc_id", "lang", "_text",
         F.expr(r"if(_trim = '', cast(array() as array<string>), split(_trim, '[\\x20\\x09-\\x0D]+'))").alias("_words"),
         F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
         # All that is neither a-z nor white space; the classes below only look at this.
@@ -56,7 +56,7 @@ def features(docs: DataFrame) -> DataFrame:
         common.alias("_common"),
     )
     base = base.select(
-        "doc_id", "lang", "_text", "_rest", "_common", "_words",
+        *carried, "doc_id", "lang", "_text", "_rest", "_common", "_words",
         F.size("_words").cast("bigint").alias("n_words"),
         F.char_length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         (F.char_length("_rest") - F.char_length(F.regexp_replace("_rest", r"[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
@@ -69,7 +69,7 @@ def features(docs: DataFrame) -> DataFrame:
         (F.char_length("_rest") - F.char_length(F.regexp_replace("_rest", c, ""))).cast("bigint")
         for c in ("[A-Z]+", "[0-9]+", r"[!\"'()+,\-./:;=?@\[\\\]^_`{}~]+"))
     out = base.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        *carried, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.expr(f"CASE WHEN size(array_distinct(_win)) = size(_win) THEN 0L ELSE {_REPEATS} END").alias("n_repeat_words"),
         F.char_length("_text").cast("bigint").alias("_chars"), F.char_length("_rest").cast("bigint").alias("_nrest"),
         upper.alias("_upper"), digits.alias("_digits"), punct.alias("_punct"),
@@ -80,7 +80,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.col("_chars") - space - F.col("_nrest"), F.col("_upper"), F.col("_digits"), F.col("_punct"), F.col("n_symbols"),
         F.col("_nrest") - F.col("_upper") - F.col("_digits") - F.col("_punct") - F.col("n_symbols"), space)
     return out.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *carried, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         classes.alias("classes"),
         # The common words' counts, then all other words'.
@@ -108,14 +108,14 @@ def distance(p: str, q: str) -> Column:
         f"(x, y) -> {part.format(x='x', y='y')} + {part.format(x='y', y='x')}), 0D, (s, v) -> s + v)))")
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Features with both distances and ``kept``."""
-    feats = cut(features(docs))
+def judged(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Features with both distances and ``kept``, and the ``carried`` columns."""
+    feats = cut(features(docs, carried))
     # One row per listed language at most.
     both = feats.join(F.broadcast(references(feats)), "lang", "left")
     sums = both.withColumn("_c", F.expr("aggregate(classes, 0L, (s, v) -> s + v)"))
     dist = sums.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        *carried, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(F.col("_c") >= MIN_CHARS_FOR_CLASSES, distance("classes", "ref_classes")).alias("class_distance"),
         F.when(F.col("n_words") >= MIN_WORDS_FOR_COMMON, distance("common", "ref_common")).alias("word_distance"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
@@ -123,11 +123,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
-
-    Rows that share a ``doc_id`` stay if one of them is kept; rows with a NULL ``doc_id`` go, since
-    no verdict can be tied to them.
-    """
-    other = fresh(docs, "_qr_doc")
-    good = judged(docs).filter("kept").select(F.col("doc_id").alias(other)).distinct()
-    return docs.join(good, F.col("doc_id") == F.col(other), "left_semi")
+    """The rows of ``docs`` that the rules keep, with all their columns, each by its own verdict whatever its ``doc_id``."""
+    whole = fresh(docs, "_qr_row")
+    rows = docs.withColumn(whole, F.struct(*docs.columns))
+    return judged(rows, (whole,)).filter("kept").select(f"{whole}.*")

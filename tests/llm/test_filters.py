@@ -107,6 +107,14 @@ def test_rules(docs, odd_docs, no_docs):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def test_rules_judge_rows_not_keys(spark, docs):
+    """Rows without a key stay if they are clean; of rows that repeat a key only the clean ones stay."""
+    clean = docs.filter("lang = 'en'").join(quality_rules.accepted(docs).select("doc_id"), "doc_id", "left_semi").select("text").first().text
+    rows = [(None, clean, "en"), (None, "short", "en"), (None, None, "en"), (1, clean, "en"), (1, "short", "en"), (1, "again and again " * 60, "en"), (2, "short", "en")]
+    got = quality_rules.accepted(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert Counter(tuple(r) for r in got) == Counter([rows[0], rows[3]])
+
+
 def test_rules_are_native(docs):
     plan = quality_rules.judged(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
