@@ -2,12 +2,13 @@
 
 The background model counts the words and word pairs of all documents, the target model those of the
 documents of a target set. Both use one vocabulary, the words seen at least ``MIN_COUNT`` times in
-the background (all others are one unknown word), one hashed table layout and one smoothing: pairs
-are interpolated with single words and these with the uniform distribution. A document's score is
-the mean over its tokens of target loss minus background loss, in nats: the lower, the closer to the
-target. Counts cover all documents; each task sends its own table in compressed blocks, blocks are
-merged in two steps, so what is gathered grows with the input while the model stays at
-``WORD_CELLS`` + ``PAIR_CELLS`` cells.
+the background (all others are one unknown word), and one smoothing: pairs are interpolated with
+single words and these with the uniform distribution. A document's score is the mean over its tokens
+of target loss minus background loss, in nats: the lower, the closer to the target. Counts cover all
+documents and are exact: both models are tables with a row for each distinct word and pair, which grow
+with the corpus, and a document's distinct pairs are joined to them. Words and pairs are told apart by
+62-bit hashes: among n of them any two share one with a chance below n * n / 2 ** 63. A word seen once
+stands in one document only, so each document gets the list of its own unknown words.
 
 Defined results: a NULL or empty text has no tokens and score 0.0. Rows with a NULL ``doc_id`` count as
 background and are scored. A document listed several times in the target counts once; repeated rows
@@ -17,132 +18,123 @@ distribution. Empty tables give empty results. Other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyframe.llm.text import chunks, mix, span_hashes, words
-from canopyframe.session import broadcast_if_small
+from canopyframe.llm.text import SPACE_CLASS, chunks, mix, span_hashes, words
+from canopyframe.session import broadcast_if_small, cut
 
-WORD_CELLS, PAIR_CELLS = 1 << 19, 1 << 20
-BLOCK = 1 << 15
+#: Not a table's size: the range of the hashes. The last is the unknown word, the one after it the start of a text.
+WORD_CELLS = 1 << 62
+UNKNOWN, START = WORD_CELLS - 1, WORD_CELLS
+#: Unknown words are found by their only occurrence, so this is not free.
 MIN_COUNT = 2
 #: Weights of pair, word and uniform distribution.
 WEIGHTS = (0.5, 0.4, 0.1)
+#: Bytes of text whose words or pairs are counted together before they are sent.
+CHUNK = 1 << 21
 
 
-def _word_cells(data: np.ndarray, bounds: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, row) of every word; with ``known`` unknown words fall into the last cell."""
+def _word_cells(data: np.ndarray, bounds: np.ndarray, rare: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word; those in ``rare`` become the unknown word."""
     start, end, row = words(data, bounds)
     cell = (span_hashes(data, start, end, lower=True) % np.uint64(WORD_CELLS - 1)).astype(np.int64) if len(start) else start
-    return (cell if known is None else np.where(known[cell], cell, WORD_CELLS - 1)), row
+    return (cell if rare is None else np.where(np.isin(cell, rare), UNKNOWN, cell)), row
 
 
-def _pair_cells(cell: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Cell of (previous word, word); the first word of a row follows a start mark."""
+def _before(cell: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The previous word; before the first of a row stands the start mark."""
     before = np.empty_like(cell)
     if len(cell):
-        before[0] = WORD_CELLS
-        before[1:] = np.where(row[1:] == row[:-1], cell[:-1], WORD_CELLS)
-    return (mix(before.astype(np.uint64) * np.uint64(1 << 20) + cell.astype(np.uint64)) % np.uint64(PAIR_CELLS)).astype(np.int64)
+        before[0] = START
+        before[1:] = np.where(row[1:] == row[:-1], cell[:-1], START)
+    return before
+
+
+def _pair_cells(cell: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Hash of (previous word, word)."""
+    return (mix(mix(_before(cell, row).astype(np.uint64)) + cell.astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
 
 
-def _merge(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(2 * BLOCK, np.int64)
-    for raw in part["counts"]:
-        total += np.frombuffer(zlib.decompress(raw), np.int64)
-    return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+def _sums(key: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of an occurrence, count, count in the target) of each distinct key."""
+    _, index, group, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    return index, n, np.bincount(group, weights=target, minlength=len(n)).astype(np.int64)
 
 
-def _counted(rows: DataFrame, cells: int, cells_of) -> np.ndarray:
-    """Background and target counts (2 x ``cells``) of what ``cells_of(data, bounds)`` finds in (text, target)."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n, nt, id) of (id, text, target): counts of every word, and one row that has it."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, cells), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            target = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, data, bounds in chunks(b.column(0)):
-                cell, row = cells_of(data, bounds)
-                total[0] += np.bincount(cell, minlength=cells)
-                mine = target[lo:hi][row]
-                if mine.any():
-                    total[1] += np.bincount(cell[mine], minlength=cells)
-        for i in range(cells // BLOCK):
-            part = np.ascontiguousarray(total[:, i * BLOCK : (i + 1) * BLOCK])
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
-
-    schema = "block int, counts binary"
-    parts = rows.select("text", "target").mapInArrow(count, schema).withColumn("_some", F.expr("cast(rand(11) * 32 as int)"))
-    some = parts.groupBy("block", "_some").applyInPandas(_merge, schema)
-    whole = some.groupBy("block").applyInPandas(_merge, schema)
-    table = np.zeros((2, cells), np.int64)
-    for r in whole.toLocalIterator():
-        table[:, r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), np.int64).reshape(2, BLOCK)
-    return table
-
-
-class Models:
-    """Both models over one vocabulary."""
-
-    def __init__(self, words_: np.ndarray, pairs: np.ndarray) -> None:
-        self.known = words_[0] >= MIN_COUNT
-        rare = np.where(self.known, 0, words_).sum(axis=1)
-        self.words = np.where(self.known, words_, 0).astype(np.float64)
-        self.words[:, -1] += rare
-        self.pairs = pairs.astype(np.float32)
-        self.total = self.words.sum(axis=1)
-        self.size = int(self.known.sum()) + 1
-
-    def differences(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mean target loss minus background loss, and tokens, of each row."""
-        cell, row = _word_cells(data, bounds, self.known)
-        n = np.bincount(row, minlength=len(bounds) - 1)
-        if not len(cell):
-            return np.zeros(len(bounds) - 1), n
-        pair = _pair_cells(cell, row)
-        before = np.concatenate([[-1], cell[:-1]])
-        first = np.concatenate([[True], row[1:] != row[:-1]])
-        a, b, c = WEIGHTS
-        loss = []
-        for k in (1, 0):
-            word = self.words[k][cell] / max(self.total[k], 1.0)
-            history = np.where(first, max(self.total[k], 1.0), self.words[k][before])
-            # Hashed pair counts may exceed the history's count; the cap keeps a probability.
-            p = np.minimum(self.pairs[k][pair] / np.maximum(history, 1.0), 1.0)
-            loss.append(-np.log(a * p + b * word + c / self.size))
-        return np.bincount(row, weights=loss[0] - loss[1], minlength=len(n)) / np.maximum(n, 1), n
-
-
-def build_models(docs: DataFrame, target_ids: DataFrame) -> Models:
-    """Models of all ``docs`` and of those listed in ``target_ids(doc_id)``."""
-    ids = broadcast_if_small(target_ids.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("_t", F.lit(True)), 1_000_000)
-    rows = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("_t", F.lit(False)).alias("target"))
-    counts = _counted(rows, WORD_CELLS, lambda data, bounds: _word_cells(data, bounds, None))
-    known = docs.sparkSession.sparkContext.broadcast(counts[0] >= MIN_COUNT)
-
-    def pairs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell, row = _word_cells(data, bounds, known.value)
-        return _pair_cells(cell, row), row
-
-    return Models(counts, _counted(rows, PAIR_CELLS, pairs))
+            ids, target = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi, data, bounds in chunks(b.column(1), CHUNK):
+                cell, row = _word_cells(data, bounds, None)
+                if len(cell):
+                    i, n, nt = _sums(cell, target[lo:hi][row])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[i]), pa.array(n), pa.array(nt), pa.array(ids[lo:hi][row[i]])], ["word", "n", "nt", "id"])
 
+    parts = rows.select("id", "text", "target").mapInArrow(run, "word bigint, n bigint, nt bigint, id bigint")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("nt").alias("nt"), F.min("id").alias("id"))
 
-def scored(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ce_difference) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(build_models(docs, target_ids))
+
+def _pairs(rows: DataFrame, by_row: bool) -> DataFrame:
+    """(before, word, n, nt) of (id, text, target, rare), counted in part; or (id, before, word, n) of each row."""
+    names = ["id", "before", "word", "n"] if by_row else ["before", "word", "n", "nt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, bounds in chunks(b.column(1)):
-                d, n = shared.value.differences(data, bounds)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n), pa.array(d)], ["doc_id", "n_tokens", "ce_difference"])
+            ids, target = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi, data, bounds in chunks(b.column(1), CHUNK):
+                cell, row = _word_cells(data, bounds, b.column(3).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False))
+                if not len(cell):
+                    continue
+                pair, before = _pair_cells(cell, row), _before(cell, row)
+                key = mix(mix(row.astype(np.uint64)) + pair.astype(np.uint64)) if by_row else pair
+                i, n, nt = _sums(key, target[lo:hi][row])
+                columns = [ids[lo:hi][row[i]], before[i], cell[i], n] if by_row else [before[i], cell[i], n, nt]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return rows.select("id", "text", "target", "rare").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def pair_differences(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(before, word, difference): target loss minus background loss of every pair of the corpus."""
+    # One row of totals.
+    whole = counts.agg(
+        F.sum("n"), F.sum("nt"), F.sum(F.when(F.col("n") < MIN_COUNT, F.col("n"))), F.sum(F.when(F.col("n") < MIN_COUNT, F.col("nt"))),
+        F.count(F.when(F.col("n") >= MIN_COUNT, 1))).first()
+    total, target_total, rare, target_rare, known = (x or 0 for x in whole)
+    extra = rows.sparkSession.createDataFrame([(UNKNOWN, rare, target_rare), (START, total, target_total)], "word bigint, n bigint, nt bigint")
+    model = broadcast_if_small(counts.filter(F.col("n") >= MIN_COUNT).select("word", "n", "nt").unionByName(extra), 1_000_000)
+    pairs = _pairs(rows, by_row=False).groupBy("before", "word").agg(F.sum("n").alias("pn"), F.sum("nt").alias("pnt"))
+    both = pairs.join(model, "word").join(
+        model.select(F.col("word").alias("before"), F.col("n").alias("hn"), F.col("nt").alias("hnt")), "before")
+    a, b, c = WEIGHTS
+
+    def loss(pair: str, history: str, word: str, all_words: int):
+        p = F.col(pair) / F.greatest(F.col(history), F.lit(1))
+        return -F.log(a * p + b * F.col(word) / float(max(all_words, 1)) + c / (known + 1))
+
+    return both.select("before", "word", (loss("pnt", "hnt", "nt", target_total) - loss("pn", "hn", "n", total)).alias("difference"))
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ce_difference double")
+def scored(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ce_difference) of every row."""
+    listed = broadcast_if_small(target_ids.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("target", F.lit(True)), 1_000_000)
+    # Equal rows share an id and have equal scores.
+    own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("id"))
+    rows = own.join(listed, "doc_id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    counts = cut(word_counts(rows))
+    rare = counts.filter(F.col("n") < MIN_COUNT).groupBy("id").agg(F.collect_list("word").alias("rare"))
+    marked = cut(rows.join(rare, "id", "left"))
+    means = _pairs(marked, by_row=True).join(pair_differences(marked, counts), ["before", "word"]).groupBy("id").agg(
+        (F.sum(F.col("difference") * F.col("n")) / F.sum("n")).alias("mean"))
+    text = F.coalesce("text", F.lit(""))
+    n_tokens = F.size(F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: w != "")).cast("bigint")
+    return own.select("doc_id", "id", n_tokens.alias("n_tokens")).join(means, "id", "left").select(
+        "doc_id", "n_tokens", F.coalesce("mean", F.lit(0.0)).alias("ce_difference"))

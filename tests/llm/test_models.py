@@ -187,6 +187,36 @@ def test_lm_scores(spark, odd_docs, no_docs, docs, folder):
     assert lm_scoring.scored(odd_docs, listed.filter("false")).filter("ce_difference is null or isnan(ce_difference)").count() == 0
 
 
+def test_lm_counts_are_exact(spark):
+    """Against dictionaries of the words themselves, with far more pairs than the 2^20 cells kept before."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 60_000, 2000))) for i in range(800)]
+    ids = set(range(0, 800, 9))
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t in rows:
+        w = words(t)
+        for k in ([0, 1] if i in ids else [1]):
+            one[k].update(w)
+            two[k].update(zip([None, *w], w))
+    assert len(two[1]) > 1 << 20
+    known = {w for w, n in one[1].items() if n >= 2}
+    assert len(known) == len(one[1])
+    a, b, c = lm_scoring.WEIGHTS
+    want = {}
+    for i, t in rows:
+        w = words(t)
+        loss = [0.0, 0.0]
+        for k in (0, 1):
+            total = sum(one[k].values())
+            for x, y in zip([None, *w], w):
+                history = total if x is None else one[k][x]
+                loss[k] -= math.log(a * two[k][x, y] / max(1, history) + b * one[k][y] / total + c / (len(known) + 1))
+        want[i] = (loss[0] - loss[1]) / len(w)
+    listed = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    got = {r.doc_id: r.ce_difference for r in lm_scoring.scored(spark.createDataFrame(rows, "doc_id bigint, text string"), listed).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_pipeline(spark, folder, docs, ids_of):
     """Every stage by the operators' own brute force; here their order, columns and counts."""
     import corpus_pipeline as C
