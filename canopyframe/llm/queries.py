@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyframe.llm import (
-    fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup,
+    byte_bpe, fingerprints, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup,
     url_filters,
 )
 
@@ -18,6 +18,7 @@ SQL: dict[str, str] = {}
 
 #: Where the tokenizer files of the installation lie.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 _LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -144,6 +145,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(docs, mixing.temperature_rates(docs, exponent=0.7), copy="copy")
 
 
+@_query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_RANKS, public_tokenizers.PATTERN)
+    decoded = byte_bpe.ids_sha256(byte_bpe.decode(encoded.select("doc_id", "ids"), BYTE_RANKS, public_tokenizers.PATTERN))
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
