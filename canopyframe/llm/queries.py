@@ -240,9 +240,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op13_byte_bpe")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_RANKS, public_tokenizers.PATTERN)
-    decoded = byte_bpe.ids_sha256(byte_bpe.decode(encoded.select("doc_id", "ids"), BYTE_RANKS, public_tokenizers.PATTERN))
-    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN, packed=True, keep=["doc_id"])
+    return byte_bpe.decode(encoded, BYTE_RANKS).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

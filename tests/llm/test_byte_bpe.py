@@ -43,7 +43,7 @@ def test_random_strings_and_code_points(other):
 def test_odd_rows_keep_other_columns(spark, odd_docs, other):
     df = odd_docs.withColumn("IDS", F.lit("old")).withColumn("bytes", F.lit("old"))
     encoded = byte_bpe.encode(df, RANKS, PATTERN, spans=("first", "last"))
-    rows = byte_bpe.decode(encoded, RANKS, PATTERN, text="again").collect()
+    rows = byte_bpe.decode(encoded, RANKS, text="again").collect()
     assert len(rows) == odd_docs.count()
     assert sorted(c.lower() for c in encoded.columns).count("ids") == 1
     for r in rows:
@@ -62,30 +62,45 @@ def test_odd_rows_keep_other_columns(spark, odd_docs, other):
 
 def test_empty_table(spark, no_docs):
     encoded = byte_bpe.encode(no_docs, RANKS, PATTERN)
-    assert byte_bpe.decode(encoded, RANKS, PATTERN).count() == 0
+    assert byte_bpe.decode(encoded, RANKS).count() == 0
 
 
 def test_split_characters(spark, other):
     text = "x\U0001f9e8y あ\U0001f468‍\U0001f469 end"
     ids = other.encode_ordinary(text)
     df = spark.createDataFrame([(1, ids), (2, ids[:2]), (3, []), (4, None)], "k int, ids array<int>")
-    whole = {r.k: r for r in byte_bpe.decode(df, RANKS, PATTERN, text="t").collect()}
+    whole = {r.k: r for r in byte_bpe.decode(df, RANKS, text="t").collect()}
     assert whole[1].t == text and whole[3].t == "" and whole[4].t is None and whole[4]["bytes"] is None
     assert bytes(whole[2]["bytes"]) == b"".join(other.decode_single_token_bytes(i) for i in ids[:2])
     assert "�" in whole[2].t
     for size in (1, 2, 3, 100):
-        got = {r.k: r.texts for r in byte_bpe.decode_windows(df, RANKS, PATTERN, size).collect()}
+        got = {r.k: r.texts for r in byte_bpe.decode_windows(df, RANKS, size).collect()}
         assert "".join(got[1]) == text and len(got[1]) == -(-len(ids) // size)
         assert not any("�" in t for t in got[1])
         assert got[4] is None and got[3] == []
     with pytest.raises(Exception, match="not in the vocabulary"):
-        byte_bpe.decode(spark.createDataFrame([(1, [60000])], "k int, ids array<int>"), RANKS, PATTERN).collect()
-
-
-def test_long_texts_are_cut_where_matches_end(other):
-    text = ("some words, 12 more - and   wide  gaps\n\n'tis é \U0001f600 " * 3000) + "z" * 5000
-    cut = byte_bpe.parts(text, 1000)
-    assert len(cut) > 50 and "".join(cut) == text
-    mine = byte_bpe.model(RANKS, PATTERN)
-    assert [i for p in cut for i in mine.encode(p, add_special_tokens=False).ids] == other.encode_ordinary(text)
-    assert byte_bpe.parts("y" * 5000, 1000) == ["y" * 5000]
+        byte_bpe.decode(spark.createDataFrame([(1, [60000])], "k int, ids array<int>"), RANKS).collect()
+
+
+def test_pieces_encode_separately(other):
+    draw = random.Random(9)
+    texts = ["some words, 12 more - and   wide  gaps\n\n'tis é \U0001f600 " * 300 + "z" * 5000, "", "é \u3000 x\u00a0 y\u2003 z 中文 字", "y" * 5000]
+    texts += ["".join(draw.choices(PIECES, k=60)) for _ in range(2000)]
+    raw = [t.encode() for t in texts]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    start, row = byte_bpe.segments(data, bounds)
+    assert len(start) > 10_000
+    encoder = byte_bpe.SegmentIds(RANKS, PATTERN, limit=500)
+    for _ in range(2):
+        tokens, count = encoder(data, start)
+        ends = np.cumsum(np.bincount(row, weights=count, minlength=len(texts)).astype(int))
+        for t, part in zip(texts, np.split(tokens[:, 0], ends[:-1])):
+            assert part.tolist() == other.encode_ordinary(t), t
+
+
+def test_packed_ids(spark, odd_docs, other):
+    packed = byte_bpe.encode(odd_docs, RANKS, PATTERN, packed=True, keep=["doc_id", "text"])
+    assert packed.columns == ["doc_id", "text", "ids"]
+    for r in byte_bpe.decode(packed, RANKS).collect():
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == other.encode_ordinary(r.text or "")
+        assert bytes(r["bytes"]) == (r.text or "").encode()
