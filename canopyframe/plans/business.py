@@ -558,12 +558,3 @@ def _(t):
 @query("st8_rate_windows", with_ctes(A.EVENTS_SQL, body='SELECT job_id, us // 86400000000 AS "window", count(*) AS n, greatest(0, count(*) - 2) AS rejected FROM ev GROUP BY 1, 2'))
 def _(t):
     return EV.rate_counts(A.events(t), 2, 86400)
-
-
-@query("x4_reader_registry", "SELECT count(*) AS n_pixels FROM embeddings")
-def _(t):
-    """A registered reader opened by sensor name."""
-    MD.register_source("embedded", lambda spark, path: A.pixels(t))
-    return MD.open_scene(t.spark, t.folder, "embedded").agg(F.count(F.lit(1)).alias("n_pixels"))
-
-

@@ -14,6 +14,7 @@ from canopyframe.plans import evaluation as EVAL
 from canopyframe.plans import spectral as SP
 from canopyframe.plans.adapters import rnd
 from canopyframe.plans.registry import query, r4, r6, with_ctes
+from canopyframe.sources import chunk_store as CS
 from canopyframe.sources import cubes, sinks
 from canopyframe.sources import metadata as MD
 from canopyframe.streaming.job_events import work_folder
@@ -98,3 +99,52 @@ def _(t):
     px = px.join(GR.scene_sizes(px), "scene_id")
     tiles = SH.window_tiles(px, 16, 4)
     return tiles.groupBy("scene_id").agg(F.bool_or(F.exists("cells", lambda c: c.valid)).alias("any_valid"))
+
+
+def _written_chunks(t, chunk=8):
+    path = work_folder(t.spark, "chunks")
+    scenes = A.scenes(t).withColumns({"a": F.lit(30.0), "b": F.lit(0.0), "c": F.col("west") * 1000.0, "d": F.lit(0.0), "e": F.lit(-30.0), "f": F.col("north") * 1000.0})
+    CS.export_chunks(A.pixels(t), path, bands=64, chunk=chunk, attributes=CS.cube_attributes(scenes, WL))
+    return path
+
+
+@query("x4_reader_registry", with_ctes(A.PX_SQL, body=f"""
+SELECT {PKQ}, CAST("row" // 8 AS INTEGER) AS block_r, CAST(col // 8 AS INTEGER) AS block_c, {r4("CAST(s[14] AS FLOAT)")} AS red, {r4("CAST(s[21] AS FLOAT)")} AS nir
+FROM px WHERE scene_id = 'scn_1' AND "row" >= 3 AND "row" < 14 AND col >= 6 AND col < 19"""))
+def _(t):
+    """A cube of chunks written, then opened by sensor name: scene, window and two bands are pushed into the data source."""
+    path = _written_chunks(t)
+    MD.register_source("chunked", CS.ChunkSource, t.spark, pattern=r"/runs/.*[.]f32$")
+    px = MD.open_scene(t.spark, path, "chunked", scene_id="scn_1", window=(3, 6, 11, 13), bands=[13, 20])
+    seen = F.get("spectrum", F.lit(0)) != -1
+    value = lambda i: F.when(seen, rnd(F.get("spectrum", F.lit(i)), 4))
+    return px.select(*PK, "block_r", "block_c", value(0).alias("red"), value(1).alias("nir"))
+
+
+@query("s1_chunk_window_scan", with_ctes(A.PX_SQL, body=f"""
+SELECT {PKQ}, {r4(FLOATS)} AS total FROM px WHERE scene_id = 'scn_0' AND "row" >= 5 AND "row" < 17 AND col >= 7 AND col < 16"""))
+def _(t):
+    """Window filters on a chunked cube reach the data source, which opens only the blocks they touch."""
+    px = CS.read_chunks(t.spark, _written_chunks(t))
+    inside = (F.col("row") >= 5) & (F.col("row") < 17) & (F.col("col") >= 7) & (F.col("col") < 16)
+    return px.filter(inside & (F.col("scene_id") == "scn_0")).select(*PK, rnd(SUM("spectrum"), 4).alias("total"))
+
+
+@query("s17_chunk_export", with_ctes(A.PX_SQL, body=f'SELECT {PKQ}, {r4(FLOATS)} AS total FROM px'))
+def _(t):
+    """All pixels exported in chunks by a committed write and read back."""
+    return CS.read_chunks(t.spark, _written_chunks(t)).select(*PK, rnd(SUM("spectrum"), 4).alias("total"))
+
+
+@query("s17_chunk_attributes", with_ctes(A.SCENES_SQL, body="""
+SELECT scene_id, contract_version, source, 'EPSG:' || epsg AS crs, 30.0::DOUBLE AS a, west * 1000.0 AS c, north * 1000.0 AS f,
+       -1.0::DOUBLE AS nodata, CAST(64 AS INTEGER) AS n_bands, 1660.0::DOUBLE AS last_nm FROM sn"""))
+def _(t):
+    """The scenes' attributes, written with the chunks and read back."""
+    found = CS.read_attributes(t.spark, _written_chunks(t))
+    kind = "tags map<string,string>, crs string, transform array<double>, nodata double, wavelength_nm array<double>"
+    at = found.select("scene_id", F.from_json("attributes", kind).alias("j"))
+    number = lambda i: F.get("j.transform", F.lit(i))
+    return at.select("scene_id", F.element_at("j.tags", F.lit("contract_version")).alias("contract_version"), F.element_at("j.tags", F.lit("source")).alias("source"),
+                     "j.crs", number(0).alias("a"), number(2).alias("c"), number(5).alias("f"), "j.nodata",
+                     F.size("j.wavelength_nm").alias("n_bands"), F.element_at("j.wavelength_nm", -1).alias("last_nm"))

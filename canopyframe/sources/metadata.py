@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,21 +145,47 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return parse_geojson(t, "path")
 
 
-# Reader registry: a site with a raster codec adds a function (spark, path) -> pixels DataFrame,
-# or registers a Python data source and names its format here.
-_READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# Reader registry: a site with a raster codec adds a function (spark, path) -> pixels DataFrame, or
+# names a Python data source, which then gets scene, window and bands as options of its reads.
+_READERS: dict[str, Callable[..., DataFrame]] = {}
+_PATTERNS: dict[str, str] = {}
 
 
-def register_source(name: str, reader: Callable[[SparkSession, str], DataFrame] | type, spark: SparkSession | None = None) -> None:
-    """Add a reader by sensor name; a Python ``DataSource`` class is registered with the session."""
+def register_source(name: str, reader: Callable[[SparkSession, str], DataFrame] | type, spark: SparkSession | None = None, pattern: str | None = None) -> None:
+    """Add a reader by sensor name; ``pattern`` is a regular expression that a path of its products matches.
+
+    A Python ``DataSource`` class is registered with the session, and reads get the options ``scene``,
+    ``row_off``, ``col_off``, ``height``, ``width`` and ``bands``, so that it opens no more than is asked for.
+    """
     if isinstance(reader, type):
         if spark is None:
             raise ValueError("a DataSource class needs the session")
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         spark.dataSource.register(reader)
         fmt = reader.name()
-        _READERS[name] = lambda s, path: s.read.format(fmt).load(path)
+
+        def load(s: SparkSession, path: str, scene_id: str | None, window: Sequence[int] | None, bands: Sequence[int] | None) -> DataFrame:
+            options = {} if scene_id is None else {"scene": scene_id}
+            if window is not None:
+                options |= dict(zip(("row_off", "col_off", "height", "width"), map(str, window)))
+            if bands is not None:
+                options["bands"] = ",".join(map(str, bands))
+            return s.read.format(fmt).options(**options).load(path)
     else:
-        _READERS[name] = reader
+        def load(s: SparkSession, path: str, scene_id: str | None, window: Sequence[int] | None, bands: Sequence[int] | None) -> DataFrame:
+            px = reader(s, path)
+            if scene_id is not None:
+                px = px.filter(F.col("scene_id") == scene_id)
+            if window is not None:
+                r, c, h, w = window
+                px = px.filter((F.col("row") >= r) & (F.col("row") < r + h) & (F.col("col") >= c) & (F.col("col") < c + w))
+            if bands is not None:
+                px = px.withColumn("spectrum", F.when(F.col("spectrum").isNotNull(), F.array(*[F.get("spectrum", F.lit(b)) for b in bands])))
+            return px
+    _READERS[name] = load
+    _PATTERNS.pop(name, None)
+    if pattern is not None:
+        _PATTERNS[name] = pattern
 
 
 def available_sources() -> list[str]:
@@ -167,7 +193,22 @@ def available_sources() -> list[str]:
     return sorted(_READERS, key=lambda n: (n == "generic", n))
 
 
-def open_scene(spark: SparkSession, path: str, sensor: str) -> DataFrame:
-    if sensor not in _READERS:
-        raise KeyError(f"unknown sensor {sensor!r}; available: {available_sources()}")
-    return _READERS[sensor](spark, path)
+def detect_source(spark: SparkSession, path: str) -> str | None:
+    """The first registered sensor whose pattern a file below ``path`` matches, the generic one last; no file is opened."""
+    names = [n for n in available_sources() if n in _PATTERNS]
+    if not names:
+        return None
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    found = files.agg(*[F.bool_or(F.col("path").rlike(_PATTERNS[n])).alias(n) for n in names]).first()
+    return next((n for n in names if found[n]), None)
+
+
+def open_scene(spark: SparkSession, path: str, sensor: str | None = None, scene_id: str | None = None,
+               window: Sequence[int] | None = None, bands: Sequence[int] | None = None) -> DataFrame:
+    """Pixels of ``path`` by the named reader, or the one its files tell; scene, window (row, col, height, width) and bands prune the read."""
+    name = sensor or detect_source(spark, path)
+    if name is None:
+        raise ValueError(f"could not detect the sensor of {path}; pass sensor")
+    if name not in _READERS:
+        raise KeyError(f"unknown sensor {name!r}; available: {available_sources()}")
+    return _READERS[name](spark, path, scene_id, window, bands)
