@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe import constants as K
@@ -15,6 +14,7 @@ from canopyframe.functions.geometry import polygon_acres
 from canopyframe.operators.blocks import border_pairs, open_and_label
 from canopyframe.operators.components import connected
 from canopyframe.operators.ordered import ordinal
+from canopyframe.operators.outlines import zone_rings
 from canopyframe.operators.quantiles import exact_percentiles
 from canopyframe.session import broadcast_if_small, cut
 
@@ -99,100 +99,6 @@ def zone_edges(labelled: DataFrame, mapping: DataFrame) -> DataFrame:
     return flat.select(*KEYS, "zone", "s.x0", "s.y0", "s.x1", "s.y1")
 
 
-def straight_runs(edges: DataFrame) -> DataFrame:
-    """Merge unit edges that continue in a line: one row per straight side of an outline."""
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    along = F.when(dx != 0, F.col("x0") * dx).otherwise(F.col("y0") * dy)
-    across = F.when(dx != 0, F.col("y0")).otherwise(F.col("x0"))
-    e = edges.withColumns({"dx": dx, "dy": dy, "along": along, "across": across})
-    # One row or column of one zone's outline: bounded by the raster's width or height.
-    w = Window.partitionBy(*KEYS, "zone", "dx", "dy", "across").orderBy("along")
-    e = e.withColumn("run", F.col("along") - F.row_number().over(w))
-    g = e.groupBy(*KEYS, "zone", "dx", "dy", "across", "run").agg(
-        F.min_by(F.struct("x0", "y0"), "along").alias("s"), F.max_by(F.struct("x1", "y1"), "along").alias("t"))
-    return g.select(*KEYS, "zone", "s.x0", "s.y0", "t.x1", "t.y1")
-
-
-def zone_rings(edges: DataFrame, simplify_px: float = 0.5) -> DataFrame:
-    """Outline rings per zone, simplified; columns ``rings`` (outer first) in pixel corners.
-
-    Straight runs are merged before, so a row holds only the corners of one zone, which is the
-    size of the geometry its output row carries anyway.
-    """
-    schema = "scene_id string, risk_class int, zone bigint, rings array<array<array<double>>>"
-
-    def outline(corners) -> list:
-        nxt: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for a, b, c, d in corners:
-            nxt.setdefault((int(a), int(b)), []).append((int(c), int(d)))
-
-        def sign(v):
-            return (v > 0) - (v < 0)
-
-        def trace(start):
-            ring, at, heading = [start], start, None
-            while True:
-                options = nxt[at]
-                pick = 0
-                if len(options) > 1 and heading is not None:
-                    # Two outlines meet in a corner: stay with the same pixel by turning right.
-                    right = (-heading[1], heading[0])
-                    for n, (x, y) in enumerate(options):
-                        if (sign(x - at[0]), sign(y - at[1])) == right:
-                            pick = n
-                to = options.pop(pick)
-                if not options:
-                    del nxt[at]
-                heading = (sign(to[0] - at[0]), sign(to[1] - at[1]))
-                if to == start:
-                    return ring
-                ring.append(to)
-                at = to
-
-        def distance(p, a, b):
-            vx, vy = b[0] - a[0], b[1] - a[1]
-            if vx == 0 and vy == 0:
-                return ((p[0] - a[0]) ** 2 + (p[1] - a[1]) ** 2) ** 0.5
-            t = max(0.0, min(1.0, ((p[0] - a[0]) * vx + (p[1] - a[1]) * vy) / (vx * vx + vy * vy)))
-            return ((p[0] - a[0] - t * vx) ** 2 + (p[1] - a[1] - t * vy) ** 2) ** 0.5
-
-        def thin(line, tol):
-            keep, todo = {0, len(line) - 1}, [(0, len(line) - 1)]
-            while todo:
-                lo, hi = todo.pop()
-                best, far = -1, tol
-                for k in range(lo + 1, hi):
-                    gap = distance(line[k], line[lo], line[hi])
-                    if gap > far:
-                        best, far = k, gap
-                if best > 0:
-                    keep.add(best)
-                    todo += [(lo, best), (best, hi)]
-            return [line[k] for k in sorted(keep)]
-
-        def area(ring):
-            return sum(ring[i - 1][0] * ring[i][1] - ring[i][0] * ring[i - 1][1] for i in range(len(ring))) / 2.0
-
-        rings = []
-        while nxt:
-            ring = trace(min(nxt))
-            closed = [*ring, ring[0]]
-            if simplify_px > 0:
-                slim = thin(closed, simplify_px)
-                closed = slim if len(slim) >= 4 else closed
-            rings.append(closed)
-        rings.sort(key=lambda r: -abs(area(r[:-1])))
-        return [[[float(x), float(y)] for x, y in r] for r in rings]
-
-    def run(parts):
-        for pdf in parts:
-            rings = [outline(zip(*cols, strict=True)) for cols in pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)]
-            yield pd.DataFrame({"scene_id": pdf.scene_id, "risk_class": pdf.risk_class, "zone": pdf.zone, "rings": rings})
-
-    sides = straight_runs(edges).groupBy(*KEYS, "zone").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("s"))
-    return sides.select(*KEYS, "zone", "s.x0", "s.y0", "s.x1", "s.y1").mapInPandas(run, schema)
-
-
 def largest_part(parts: DataFrame, keys: Sequence[str], area: str) -> DataFrame:
     """The part with the largest area per key; smaller ``part`` wins a tie."""
     return parts.groupBy(*keys).agg(F.max_by(F.struct("*"), F.struct(area, -F.col("part"))).alias("_b")).select("_b.*")
@@ -281,7 +187,7 @@ def extract_zones(
     stats = zone_stats(labelled, mapping).join(broadcast_if_small(scenes.select("scene_id", *"abcdef", "epsg")), "scene_id")
     z = min_size(stats, acres, min_acres)
     if area == "polygon":
-        rings = zone_rings(zone_edges(labelled, mapping), simplify_px)
+        rings = zone_rings(zone_edges(labelled, mapping), simplify_px, block)
         z = to_map_coordinates(z.join(rings, [*KEYS, "zone"]))
         z = z.withColumn("area", polygon_acres(F.col("rings_utm"))).withColumn("coordinates", P.to_wgs84(F.col("rings_utm"), F.col("epsg")))
     else:

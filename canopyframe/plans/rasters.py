@@ -298,19 +298,30 @@ def _(t):
     return Z.sort_zones(s).select("scene_id", "risk_class", rnd("risk_score", 4).alias("risk_score"), "zone")
 
 
-@query("g23_zone_edges", zone_sql("""
-, sd AS (SELECT lab.*, d FROM lab, (SELECT unnest([0, 1, 2, 3]) AS d)),
-nb AS (SELECT *, "row" + CASE d WHEN 0 THEN -1 WHEN 2 THEN 1 ELSE 0 END AS nr, col + CASE d WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS nc FROM sd)
-SELECT scene_id, rc AS risk_class, zone, CAST(CASE d WHEN 0 THEN col WHEN 1 THEN col + 1 WHEN 2 THEN col + 1 ELSE col END AS INTEGER) AS x0,
-  CAST(CASE d WHEN 0 THEN "row" WHEN 1 THEN "row" WHEN 2 THEN "row" + 1 ELSE "row" + 1 END AS INTEGER) AS y0,
-  CAST(CASE d WHEN 0 THEN col + 1 WHEN 1 THEN col + 1 WHEN 2 THEN col ELSE col END AS INTEGER) AS x1,
-  CAST(CASE d WHEN 0 THEN "row" WHEN 1 THEN "row" + 1 WHEN 2 THEN "row" + 1 ELSE "row" END AS INTEGER) AS y1
-FROM nb WHERE NOT EXISTS (SELECT 1 FROM lab o WHERE o.scene_id = nb.scene_id AND o.rc = nb.rc AND o."row" = nr AND o.col = nc)"""))
+# Unit edges with the zone on the right hand, by direction 0 right, 1 down, 2 left, 3 up.
+EDGES_SQL = """sd AS (SELECT lab.*, d FROM lab, (SELECT unnest([0, 1, 2, 3]) AS d)),
+nb AS (SELECT *, "row" + CASE d WHEN 0 THEN -1 WHEN 2 THEN 1 ELSE 0 END AS nr, col + CASE d WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS nc FROM sd),
+ed AS (
+  SELECT scene_id, rc, zone, d, row_number() OVER () AS e, CASE d WHEN 0 THEN col WHEN 1 THEN col + 1 WHEN 2 THEN col + 1 ELSE col END AS x0,
+    CASE d WHEN 0 THEN "row" WHEN 1 THEN "row" WHEN 2 THEN "row" + 1 ELSE "row" + 1 END AS y0,
+    CASE d WHEN 0 THEN col + 1 WHEN 1 THEN col + 1 WHEN 2 THEN col ELSE col END AS x1,
+    CASE d WHEN 0 THEN "row" WHEN 1 THEN "row" + 1 WHEN 2 THEN "row" + 1 ELSE "row" END AS y1
+  FROM nb WHERE NOT EXISTS (SELECT 1 FROM lab o WHERE o.scene_id = nb.scene_id AND o.rc = nb.rc AND o."row" = nr AND o.col = nc))"""
+# The edge after each edge (a right turn if there is one), and rings as all edges that one reaches.
+RINGS_SQL = """nx AS (
+  SELECT a.e, b.e AS f, row_number() OVER (PARTITION BY a.e ORDER BY b.d = (a.d + 1) % 4 DESC) AS pick
+  FROM ed a JOIN ed b ON b.scene_id = a.scene_id AND b.rc = a.rc AND b.zone = a.zone AND b.x0 = a.x1 AND b.y0 = a.y1),
+rch(e, f) AS (SELECT e, e FROM ed UNION SELECT rch.e, nx.f FROM rch JOIN nx ON nx.e = rch.f AND nx.pick = 1),
+rg AS (SELECT e, min(f) AS ring FROM rch GROUP BY e),
+ra2 AS (SELECT scene_id, rc, zone, ring, sum(x0 * y1 - x1 * y0) / 2.0 AS area, count(*) AS n FROM ed JOIN rg USING (e) GROUP BY ALL)"""
+
+
+@query("g23_zone_edges", zone_sql("""SELECT scene_id, rc AS risk_class, zone, CAST(x0 AS INTEGER) AS x0, CAST(y0 AS INTEGER) AS y0, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1 FROM ed""", EDGES_SQL))
 def _(t):
     return Z.zone_edges(*_labelled(t, ()))
 
 
-@query("g23_zone_rings")
+@query("g23_zone_rings", zone_sql(f"SELECT scene_id, rc AS risk_class, zone, count(*) AS n_rings, {r6('sum(area)')} AS area_px FROM ra2 GROUP BY 1, 2, 3", EDGES_SQL, RINGS_SQL))
 def _(t):
     """Outline rings per zone, unsimplified: ring count, corner count, exact area."""
     rings = Z.zone_rings(Z.zone_edges(*_labelled(t, ())), 0.0)
@@ -332,7 +343,7 @@ def _(t):
     return z.select(*Z.KEYS, "zone", "area_acres", big(F.size(ring)).alias("n_points"), F.get(F.get(ring, F.lit(0)), F.lit(0)).alias("lon"))
 
 
-@query("t6_largest_part")
+@query("t6_largest_part", zone_sql(f"SELECT scene_id, rc AS risk_class, zone, CAST(0 AS INTEGER) AS part, {r6('max(abs(area))')} AS area FROM ra2 GROUP BY 1, 2, 3", EDGES_SQL, RINGS_SQL))
 def _(t):
     """Largest ring of every zone's outline."""
     rings = Z.zone_rings(Z.zone_edges(*_labelled(t, ())), 0.0)
