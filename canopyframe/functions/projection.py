@@ -170,6 +170,50 @@ def lonlat_point(x: Column, y: Column, epsg: Column) -> Column:
     return _bound({"x": x, "y": y, "epsg": epsg}, INVERSE)
 
 
+# Positions in any of the grids' systems: UTM zones, or longitude and latitude themselves.
+GEOGRAPHIC = 4326
+
+
+def is_geographic(epsg: Column) -> Column:
+    return F.coalesce(epsg == GEOGRAPHIC, F.lit(False))
+
+
+def has_utm(lat: Column) -> Column:
+    """UTM is defined from 80 degrees south to 84 north."""
+    return lat.between(-80.0, 84.0)
+
+
+def _pair(point: Column, first: str, second: str) -> Column:
+    """Two fields of a struct, which is computed once."""
+    return F.get(F.transform(F.array(point), lambda p: F.struct(p[first].cast("double").alias(first), p[second].cast("double").alias(second))), F.lit(0))
+
+
+def to_lonlat(x: Column, y: Column, epsg: Column) -> Column:
+    """Struct ``lon, lat`` of a grid position, for points inside arrays."""
+    return F.when(is_geographic(epsg), F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat"))).otherwise(_pair(lonlat_point(x, y, epsg), "lon", "lat"))
+
+
+def from_lonlat(lon: Column, lat: Column, epsg: Column) -> Column:
+    """Struct ``x, y`` of a grid position, for points inside arrays."""
+    return F.when(is_geographic(epsg), F.struct(lon.cast("double").alias("x"), lat.cast("double").alias("y"))).otherwise(_pair(utm_point(lon, lat, epsg), "x", "y"))
+
+
+def _either(df: DataFrame, staged: Callable[..., DataFrame], first: Column, second: Column, epsg: Column, out: tuple[str, str]) -> DataFrame:
+    d = staged(df.withColumns({"_g1": first, "_g2": second, "_ge": epsg}), F.col("_g1"), F.col("_g2"), F.col("_ge"), "_o1", "_o2")
+    plain = is_geographic(F.col("_ge"))
+    return d.withColumns({o: F.when(plain, F.col(f"_g{i}")).otherwise(F.col(f"_o{i}")) for i, o in enumerate(out, 1)}).drop("_g1", "_g2", "_ge", "_o1", "_o2")
+
+
+def with_grid_lonlat(df: DataFrame, x: Column, y: Column, epsg: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Append longitude and latitude of positions in UTM or geographic grids."""
+    return _either(df, with_lonlat, x, y, epsg, (lon, lat))
+
+
+def with_grid_position(df: DataFrame, lon: Column, lat: Column, epsg: Column, x: str = "x", y: str = "y") -> DataFrame:
+    """Append the position of points in UTM or geographic grids."""
+    return _either(df, with_utm, lon, lat, epsg, (x, y))
+
+
 def to_wgs84(rings: Column, epsg: Column, digits: int = 7) -> Column:
     """Polygon rings from UTM metres to rounded longitude/latitude."""
     points = F.transform(rings, lambda r: F.transform(r, lambda p: lonlat_point(F.get(p, F.lit(0)), F.get(p, F.lit(1)), epsg)))

@@ -166,13 +166,16 @@ def _edge_points(w: Column, h: Column, steps: int = 21) -> Column:
 
 
 def lonlat_bounds(grids: DataFrame) -> DataFrame:
-    """West, south, east, north of UTM grids with densified edges, and the centre."""
+    """West, south, east, north of UTM or geographic grids with densified edges, and the centre.
+
+    ``no_utm`` tells that the centre lies beyond the latitudes that UTM covers.
+    """
     pts = _edge_points(F.col("width"), F.col("height"))
 
     def lonlat(p: Column) -> Column:
         x = F.col("a") * p.c + F.col("b") * p.r + F.col("c")
         y = F.col("d") * p.c + F.col("e") * p.r + F.col("f")
-        return P.lonlat_point(x, y, F.col("epsg"))
+        return P.to_lonlat(x, y, F.col("epsg"))
 
     g = grids.withColumn("_p", F.transform(pts, lonlat))
     out = g.withColumns({
@@ -180,13 +183,17 @@ def lonlat_bounds(grids: DataFrame) -> DataFrame:
         "east": F.array_max(F.transform("_p", lambda p: p.lon)), "north": F.array_max(F.transform("_p", lambda p: p.lat)),
     }).drop("_p")
     return out.withColumns({
-        "centre_lon": (F.col("west") + F.col("east")) / 2.0, "centre_lat": (F.col("south") + F.col("north")) / 2.0})
+        "centre_lon": (F.col("west") + F.col("east")) / 2.0, "centre_lat": (F.col("south") + F.col("north")) / 2.0}).withColumn(
+        "no_utm", ~P.has_utm(F.col("centre_lat")))
 
 
 def plan_grid(grids: DataFrame, epsg: int | None = None, resolution: float | None = None) -> DataFrame:
-    """Target grid per scene: unchanged if zone and resolution already match, else a UTM grid around it.
+    """Target grid per scene: unchanged if system and resolution already match, else a north-up grid around it.
 
-    Adds ``dst`` = struct(epsg, a..f, width, height) and ``unchanged``.
+    The system is ``epsg`` or the UTM zone of the scene's centre; sources may be UTM or geographic. Without
+    a ``resolution`` a changed grid's pixels are such that its diagonal has as many of them as the source's.
+    Adds ``dst`` = struct(epsg, a..f, width, height), ``unchanged``, and the columns of ``lonlat_bounds``; a scene
+    with ``no_utm`` gets the grid of its nominal zone.
     """
     g = lonlat_bounds(grids)
     target = F.lit(epsg) if epsg else P.utm_epsg(F.col("centre_lon"), F.col("centre_lat"))
@@ -197,20 +204,24 @@ def plan_grid(grids: DataFrame, epsg: int | None = None, resolution: float | Non
     def project(p: Column) -> Column:
         x = F.col("a") * p.c + F.col("b") * p.r + F.col("c")
         y = F.col("d") * p.c + F.col("e") * p.r + F.col("f")
-        return P.lonlat_point(x, y, F.col("epsg"))
+        return P.to_lonlat(x, y, F.col("epsg"))
 
-    g = g.withColumn("_q", F.transform(F.transform(pts, project), lambda p: P.utm_point(p.lon, p.lat, F.col("_t"))))
+    g = g.withColumn("_q", F.transform(F.transform(pts, project), lambda p: P.from_lonlat(p.lon, p.lat, F.col("_t"))))
     xs, ys = F.transform("_q", lambda p: p.x), F.transform("_q", lambda p: p.y)
-    res = F.lit(float(resolution)) if resolution else F.abs(F.col("a"))
+    g = g.withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys)})
+    dx, dy = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+    diagonal = F.sqrt(dx * dx + dy * dy) / F.sqrt((F.col("width") * F.col("width") + F.col("height") * F.col("height")).cast("double"))
+    g = g.withColumn("_s", F.lit(float(resolution)) if resolution else diagonal)
+    res = F.col("_s")
+    # A given size covers everything; the default one is rounded to whole pixels.
+    count = (lambda span: F.ceil(span / res - 1e-6)) if resolution else (lambda span: F.greatest(F.lit(1), F.floor(span / res + 0.5)))
     made = F.struct(
-        F.col("_t").cast("int").alias("epsg"), res.alias("a"), F.lit(0.0).alias("b"), F.array_min(xs).alias("c"),
-        F.lit(0.0).alias("d"), (-res).alias("e"), F.array_max(ys).alias("f"),
-        F.ceil((F.array_max(xs) - F.array_min(xs)) / res - 1e-9).cast("int").alias("width"),
-        F.ceil((F.array_max(ys) - F.array_min(ys)) / res - 1e-9).cast("int").alias("height"))
+        F.col("_t").cast("int").alias("epsg"), res.alias("a"), F.lit(0.0).alias("b"), F.col("_x0").alias("c"),
+        F.lit(0.0).alias("d"), (-res).alias("e"), F.col("_y1").alias("f"), count(dx).cast("int").alias("width"), count(dy).cast("int").alias("height"))
     kept = F.struct(*[F.col(n).cast("double").alias(n) if n in "abcdef" else F.col(n).cast("int").alias(n)
                       for n in ("epsg", "a", "b", "c", "d", "e", "f", "width", "height")])
     same = (F.col("_t") == F.col("epsg")) & same_res
-    return g.withColumn("dst", F.when(same, kept).otherwise(made)).withColumn("unchanged", same).drop("_t", "_q")
+    return g.withColumn("dst", F.when(same, kept).otherwise(made)).withColumn("unchanged", same).drop("_t", "_q", "_s", "_x0", "_x1", "_y0", "_y1")
 
 
 def source_window(win: DataFrame, pad: int = 2) -> DataFrame:
@@ -227,8 +238,8 @@ def source_window(win: DataFrame, pad: int = 2) -> DataFrame:
         return F.struct(x.alias("x"), y.alias("y"))
 
     def moved(p: Column) -> Column:
-        ll = P.lonlat_point(p.x, p.y, d.epsg)
-        return P.utm_point(ll.lon, ll.lat, s.epsg)
+        ll = P.to_lonlat(p.x, p.y, d.epsg)
+        return P.from_lonlat(ll.lon, ll.lat, s.epsg)
 
     g = win.withColumn("_p", F.transform(pts, project))
     g = g.withColumn("_q", F.when(d.epsg == s.epsg, F.col("_p")).otherwise(
@@ -241,7 +252,7 @@ def source_window(win: DataFrame, pad: int = 2) -> DataFrame:
 
 
 def reproject(px: DataFrame, plans: DataFrame) -> DataFrame:
-    """Nearest-neighbour gather of pixels onto a target grid.
+    """Nearest-neighbour gather of pixels onto a target grid; both may be UTM or geographic.
 
     ``plans`` has one row per scene with structs ``src`` and ``dst``. Destination pixels are
     generated per scene row by row (the explode is spread before it), each computes its source
@@ -255,9 +266,9 @@ def reproject(px: DataFrame, plans: DataFrame) -> DataFrame:
         "_x": d.a * (F.col("col") + 0.5) + d.b * (F.col("row") + 0.5) + d.c,
         "_y": d.d * (F.col("col") + 0.5) + d.e * (F.col("row") + 0.5) + d.f})
     if not plans.filter("src.epsg <> dst.epsg").isEmpty():
-        # Only when some scene changes zone: through longitude and latitude.
-        grid = P.with_lonlat(grid, F.col("_x"), F.col("_y"), d.epsg, "_lon", "_lat")
-        grid = P.with_utm(grid, F.col("_lon"), F.col("_lat"), s.epsg, "_ux", "_uy")
+        # Only when some scene changes its system: through longitude and latitude.
+        grid = P.with_grid_lonlat(grid, F.col("_x"), F.col("_y"), d.epsg, "_lon", "_lat")
+        grid = P.with_grid_position(grid, F.col("_lon"), F.col("_lat"), s.epsg, "_ux", "_uy")
         same = d.epsg == s.epsg
         grid = grid.withColumns({
             "_x": F.when(same, F.col("_x")).otherwise(F.col("_ux")), "_y": F.when(same, F.col("_y")).otherwise(F.col("_uy"))})

@@ -1,4 +1,4 @@
-"""Blending of overlapping window predictions, overviews, re-chunking and web-map tiles."""
+"""Blending of overlapping window predictions, overviews and re-chunking."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyframe.functions import projection as P
-from canopyframe.functions.rules import colorize
-
 
 def stitch(preds: DataFrame, values: Sequence[str] = ("p0", "p1", "p2", "p3", "onset"), keys: Sequence[str] = ("scene_id", "row", "col")) -> DataFrame:
     """Weighted mean per pixel, with ``covered``; NULL where no weight arrived.
@@ -46,18 +43,3 @@ def rechunk(px: DataFrame, value: str, chunk: int = 256) -> DataFrame:
     g = px.withColumns({"chunk_r": F.expr(f"row div {chunk}").cast("int"), "chunk_c": F.expr(f"col div {chunk}").cast("int")})
     return g.groupBy("scene_id", "chunk_r", "chunk_c").agg(
         F.array_sort(F.collect_list(F.struct("row", "col", F.col(value).alias("value")))).alias("cells"))
-
-
-def build_tiles(risk: DataFrame, zooms: Sequence[int]) -> DataFrame:
-    """Web-map tile pixels (z, x, y, px, py) with mean healthy probability and colour.
-
-    ``risk`` carries ``x, y`` in UTM metres, ``epsg``, ``p0`` and ``valid``. Rows outside the
-    world's tile range are dropped; tile pixels without data simply do not exist (transparent).
-    """
-    placed = P.with_lonlat(risk.select("p0", "valid", "x", "y", "epsg"), F.col("x"), F.col("y"), F.col("epsg"))
-    pts = placed.select("p0", "valid", "lon", "lat", F.explode(F.array(*[F.lit(z) for z in zooms])).alias("z"))
-    n = F.pow(F.lit(2.0), F.col("z"))
-    cells = P.with_mercator_tile(pts, F.col("lon"), F.col("lat"), F.col("z")).filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < n) & (F.col("y") < n))
-    agg = cells.groupBy("z", "x", "y", "px", "py").agg(F.avg(F.when(F.col("valid"), F.col("p0"))).alias("p_healthy"))
-    ok = F.col("p_healthy").isNotNull()
-    return agg.withColumns(colorize(1.0 - F.coalesce("p_healthy", F.lit(0.0)), ok))

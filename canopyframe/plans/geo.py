@@ -9,7 +9,7 @@ from canopyframe.functions import projection as P
 from canopyframe.operators import aoi as AO
 from canopyframe.operators import blocks as BL
 from canopyframe.operators import grid as GR
-from canopyframe.operators import stitch as SW
+from canopyframe.operators import tiles as TL
 from canopyframe.plans import adapters as A
 from canopyframe.plans.adapters import rnd
 from canopyframe.plans.registry import query, r4, r6, with_ctes
@@ -172,32 +172,132 @@ def _(t):
     return A.scenes(t).select("scene_id", P.utm_epsg(F.col("west"), F.col("south")).cast("int").alias("zone_epsg"), P.is_utm(F.col("epsg")).alias("tagged_utm"))
 
 
+SCALE = repr(P.K0 * P.RECTIFYING)
+
+
+def _terms(fn: str, hyper: str, coefficients, sign: str) -> str:
+    return "".join(f" {sign} {c!r} * {fn}({2 * j} * xi) * {hyper}({2 * j} * eta)" for j, c in enumerate(coefficients, 1))
+
+
+def sql_lonlat(name: str, source: str, x: str, y: str, epsg: str, lon: str = "lon", lat: str = "lat") -> str:
+    """CTEs that add longitude and latitude of grid positions to ``source`` (4326: they are the position)."""
+    return f"""{name}_1 AS (SELECT *, ({y} - CASE WHEN {epsg} >= 32700 THEN 1e7 ELSE 0.0 END) / {SCALE} AS xi, ({x} - 500000.0) / {SCALE} AS eta FROM {source}),
+{name}_2 AS (SELECT * EXCLUDE (xi, eta), xi{_terms('sin', 'cosh', P.BETA, '-')} AS xi0, eta{_terms('cos', 'sinh', P.BETA, '-')} AS eta0 FROM {name}_1),
+{name}_3 AS (SELECT * EXCLUDE (xi0, eta0), asinh(sin(xi0) / sqrt(sinh(eta0) * sinh(eta0) + cos(xi0) * cos(xi0))) AS psi, atan2(sinh(eta0), cos(xi0)) AS dl FROM {name}_2),
+{name}_4 AS (SELECT *, tanh(psi) AS s0 FROM {name}_3),
+""" + "".join(f"{name}_{5 + i} AS (SELECT * EXCLUDE (s{i}), tanh(psi + {P.ECC!r} * atanh({P.ECC!r} * s{i})) AS s{i + 1} FROM {name}_{4 + i}),\n" for i in range(5)) + f"""{name} AS (
+  SELECT * EXCLUDE (psi, dl, s5), CASE WHEN {epsg} = 4326 THEN {x} ELSE ({epsg} % 100) * 6.0 - 183.0 + degrees(dl) END AS {lon},
+    CASE WHEN {epsg} = 4326 THEN {y} ELSE degrees(asin(s5)) END AS {lat} FROM {name}_9)"""
+
+
+def sql_utm(name: str, source: str, lon: str, lat: str, epsg: str, x: str = "x", y: str = "y") -> str:
+    """CTEs that add grid positions of longitudes and latitudes to ``source``."""
+    return f"""{name}_1 AS (SELECT *, radians({lon} - (({epsg} % 100) * 6.0 - 183.0)) AS lam, sin(radians({lat})) AS sn_ FROM {source}),
+{name}_2 AS (SELECT * EXCLUDE (sn_), sinh(atanh(sn_) - {P.ECC!r} * atanh({P.ECC!r} * sn_)) AS tt FROM {name}_1),
+{name}_3 AS (SELECT * EXCLUDE (lam, tt), atan2(tt, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + tt * tt)) AS eta FROM {name}_2),
+{name} AS (
+  SELECT * EXCLUDE (xi, eta), CASE WHEN {epsg} = 4326 THEN {lon} ELSE 500000.0 + {SCALE} * (eta{_terms('cos', 'sinh', P.ALPHA, '+')}) END AS {x},
+    CASE WHEN {epsg} = 4326 THEN {lat} ELSE CASE WHEN {epsg} >= 32700 THEN 1e7 ELSE 0.0 END + {SCALE} * (xi{_terms('sin', 'cosh', P.ALPHA, '+')}) END AS {y} FROM {name}_3)"""
+
+
+def zone_of(lon: str, lat: str) -> str:
+    return f"CAST(CASE WHEN {lat} >= 0 THEN 32600 ELSE 32700 END + CAST(floor(({lon} + 180.0) / 6.0) AS INTEGER) % 60 + 1 AS INTEGER)"
+
+
+# Points along the edges of a grid (w x h pixels from c0, r0), 22 on each side.
+EDGE_SQL = """(SELECT k / 21.0 AS v, side FROM range(22) AS g(k), (VALUES (0), (1), (2), (3)) AS s(side)) AS ep"""
+
+
+def edge_points(source: str, w: str = "width", h: str = "height", c0: str = "0", r0: str = "0", grid: str = "") -> str:
+    """``source`` with 88 points ``ex, ey`` of each row's grid."""
+    g = {n: f"{grid}{n}" for n in "abcdef"}
+    c = f"({c0} + CASE side WHEN 0 THEN v * {w} WHEN 1 THEN v * {w} WHEN 2 THEN 0.0 ELSE CAST({w} AS DOUBLE) END)"
+    r = f"({r0} + CASE side WHEN 0 THEN 0.0 WHEN 1 THEN CAST({h} AS DOUBLE) ELSE v * {h} END)"
+    return f"SELECT q.*, {g['a']} * {c} + {g['b']} * {r} + {g['c']} AS ex, {g['d']} * {c} + {g['e']} * {r} + {g['f']} AS ey FROM {source} q, {EDGE_SQL}"
+
+
+#: The catalogue's scenes on 30 m grids around their own corner.
+GRIDS_SQL = ",\n".join([
+    A.SCENES_SQL, f"g0 AS (SELECT scene_id, k, west + 0.3 AS lon0, south + 0.4 AS lat0, {zone_of('west + 0.3', 'south')} AS epsg, width, height FROM sn)",
+    sql_utm("g1", "g0", "lon0", "lat0", "epsg", "c", "f"),
+    "gr AS (SELECT scene_id, k, epsg, 30.0::DOUBLE AS a, 0.0::DOUBLE AS b, c, 0.0::DOUBLE AS d, -30.0::DOUBLE AS e, f, width, height FROM g1)"])
+
+
+def bounds_sql(source: str, name: str = "bo") -> str:
+    """Bounds in longitude and latitude of the grids of ``source``."""
+    return ",\n".join([f"{name}p AS ({edge_points(source)})", sql_lonlat(f"{name}q", f"{name}p", "ex", "ey", "epsg"), f"""{name} AS (
+  SELECT * EXCLUDE (ex, ey, lon, lat), min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north, (min(lon) + max(lon)) / 2.0 AS centre_lon, (min(lat) + max(lat)) / 2.0 AS centre_lat
+  FROM {name}q GROUP BY ALL)"""])
+
+
 def utm_grids(t):
     """Every scene of the catalogue on a 30 m grid around its own corner."""
-    s = A.scenes(t).filter(F.abs("south") < 80).withColumn("epsg", P.utm_epsg(F.col("west") + 0.3, F.col("south")).cast("int"))
+    s = A.scenes(t).withColumn("epsg", P.utm_epsg(F.col("west") + 0.3, F.col("south")).cast("int"))
     s = P.with_utm(s, F.col("west") + 0.3, F.col("south") + 0.4, F.col("epsg"), "c", "f")
     return s.select("scene_id", "k", "epsg", F.lit(30.0).alias("a"), F.lit(0.0).alias("b"), "c", F.lit(0.0).alias("d"), F.lit(-30.0).alias("e"), "f", "width", "height")
 
 
-@query("g6_lonlat_bounds")
+@query("g6_lonlat_bounds", with_ctes(GRIDS_SQL, bounds_sql("gr"), body=f"""
+SELECT scene_id, {', '.join(f'round({c}, 7) + 0.0 AS {c}' for c in ('west', 'south', 'east', 'north', 'centre_lon', 'centre_lat'))}, NOT centre_lat BETWEEN -80.0 AND 84.0 AS no_utm FROM bo"""))
 def _(t):
+    """Bounds of every scene; those beyond the latitudes of UTM are flagged."""
     b = GR.lonlat_bounds(utm_grids(t))
-    return b.select("scene_id", *[rnd(c, 7).alias(c) for c in ("west", "south", "east", "north", "centre_lon", "centre_lat")])
+    return b.select("scene_id", *[rnd(c, 7).alias(c) for c in ("west", "south", "east", "north", "centre_lon", "centre_lat")], "no_utm")
+
+
+def plan_sql(source: str, target: str | None, resolution: float | None) -> str:
+    """Target grids ``pl`` of the grids of ``source``; ``target`` is an EPSG code or NULL for the centre's zone."""
+    span = lambda hi, lo, size: f"({hi} - {lo}) / {size}"
+    count = (lambda d: f"ceil({d} - 1e-6)") if resolution else (lambda d: f"greatest(1, floor({d} + 0.5))")
+    res = repr(float(resolution)) if resolution else "sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) / sqrt(CAST(width * width + height * height AS DOUBLE))"
+    same = f"(te = epsg AND abs(abs(a) - {resolution}) <= 1e-8 + 1e-5 * {resolution})" if resolution else "(te = epsg)"
+    return ",\n".join([
+        bounds_sql(source), f"pt AS (SELECT *, {target or zone_of('centre_lon', 'centre_lat')} AS te FROM bo)", f"pp AS ({edge_points('pt')})",
+        sql_lonlat("pq", "pp", "ex", "ey", "epsg", "plon", "plat"), sql_utm("pr", "pq", "plon", "plat", "te", "tx", "ty"),
+        "ps AS (SELECT * EXCLUDE (ex, ey, plon, plat, tx, ty), min(tx) AS x0, max(tx) AS x1, min(ty) AS y0, max(ty) AS y1 FROM pr GROUP BY ALL)",
+        f"pu AS (SELECT *, {res} AS res, {same} AS unchanged FROM ps)",
+        f"""pl AS (SELECT *, CASE WHEN unchanged THEN a ELSE res END AS da, CASE WHEN unchanged THEN c ELSE x0 END AS dc, CASE WHEN unchanged THEN f ELSE y1 END AS df,
+  CAST(CASE WHEN unchanged THEN width ELSE {count(span('x1', 'x0', 'res'))} END AS INTEGER) AS dw, CAST(CASE WHEN unchanged THEN height ELSE {count(span('y1', 'y0', 'res'))} END AS INTEGER) AS dh FROM pu)"""])
+
+
+PLAN_BODY = f"""SELECT scene_id, unchanged, CAST(te AS INTEGER) AS epsg, {r4('da')} AS resolution, {r4('dc')} AS x0, {r4('df')} AS y0, dw AS width, dh AS height FROM pl"""
+
+
+def _plan_rows(p):
+    return p.select("scene_id", "unchanged", "dst.epsg", rnd("dst.a", 4).alias("resolution"), rnd("dst.c", 4).alias("x0"), rnd("dst.f", 4).alias("y0"), "dst.width", "dst.height")
+
+
+@query("g7_target_grid_plan", with_ctes(GRIDS_SQL, plan_sql("gr", None, 20.0), body=PLAN_BODY))
+def _(t):
+    """A 20 m grid in the zone of every scene's centre."""
+    return _plan_rows(GR.plan_grid(utm_grids(t), resolution=20.0))
+
+
+#: Catalogue scenes on geographic grids of about 30 m.
+GEO_SQL = A.SCENES_SQL + """,
+gg AS (SELECT scene_id, 4326 AS epsg, 0.0003::DOUBLE AS a, 0.0::DOUBLE AS b, west + 0.3 AS c, 0.0::DOUBLE AS d, -0.0003::DOUBLE AS e, south + 0.4 AS f, width, height FROM sn)"""
+
 
+def geographic_grids(t):
+    return A.scenes(t).select("scene_id", F.lit(4326).alias("epsg"), F.lit(0.0003).alias("a"), F.lit(0.0).alias("b"), (F.col("west") + 0.3).alias("c"), F.lit(0.0).alias("d"),
+                              F.lit(-0.0003).alias("e"), (F.col("south") + 0.4).alias("f"), "width", "height")
 
-@query("g7_target_grid_plan")
+
+@query("g7_geographic_plan", with_ctes(GEO_SQL, plan_sql("gg", None, None), body=PLAN_BODY))
 def _(t):
-    p = GR.plan_grid(utm_grids(t), resolution=30.0)
-    return p.select("scene_id", "unchanged", "dst.epsg", "dst.width", "dst.height")
+    """Geographic scenes planned to UTM without a resolution: the diagonal keeps its number of pixels."""
+    return _plan_rows(GR.plan_grid(geographic_grids(t)))
 
 
-@query("g7_projection_round_trip", with_ctes(A.SCENES_SQL, body="SELECT scene_id, TRUE AS exact FROM sn WHERE abs(south) < 80"))
+@query("g7_projection_round_trip", with_ctes(
+    A.SCENES_SQL, f"t0 AS (SELECT scene_id, west + 0.3 AS lon0, south + 0.4 AS lat0, {zone_of('west + 0.3', 'south + 0.4')} AS zn FROM sn)", sql_utm("t1", "t0", "lon0", "lat0", "zn"),
+    body=f"SELECT scene_id, {r4('x')} AS x, {r4('y')} AS y, round(lon0, 7) + 0.0 AS lon, round(lat0, 7) + 0.0 AS lat FROM t1"))
 def _(t):
-    """Longitude/latitude to UTM and back stays within a micrometre-scale angle."""
+    """Longitude/latitude to UTM and back, every scene."""
     lon, lat = F.col("west") + 0.3, F.col("south") + 0.4
-    s = A.scenes(t).filter(F.abs("south") < 80).withColumn("zone", P.utm_epsg(lon, lat))
+    s = A.scenes(t).withColumn("zone", P.utm_epsg(lon, lat))
     s = P.with_lonlat(P.with_utm(s, lon, lat, F.col("zone")), F.col("x"), F.col("y"), F.col("zone"))
-    return s.select("scene_id", ((F.abs(lon - F.col("lon")) < 1e-11) & (F.abs(lat - F.col("lat")) < 1e-11)).alias("exact"))
+    return s.select("scene_id", rnd("x", 4).alias("x"), rnd("y", 4).alias("y"), rnd("lon", 7).alias("lon"), rnd("lat", 7).alias("lat"))
 
 
 @query("g8_polygons_to_wgs84")
@@ -241,7 +341,22 @@ def _(t):
     return GR.reproject(A.raster(t).select(*PK, "k"), _plans(t, (90.0, 60.0))).select(*PK, "k")
 
 
-@query("g13_reprojection")
+#: Height and width of the raster's scenes, and reprojection of raster values onto the grids of ``pl``.
+SIZE_SQL = 'sz AS (SELECT scene_id, CAST(max("row") + 1 AS INTEGER) AS height, CAST(max(col) + 1 AS INTEGER) AS width FROM ra GROUP BY scene_id)'
+
+
+def gather_sql(source: str) -> str:
+    """(scene_id, row, col, k) of destination grids de, da, dc, df, dw, dh from sources epsg, a, c, e, f."""
+    return ",\n".join([
+        f"""dp AS (SELECT q.*, r.r AS drow, cc.c AS dcol, da * (cc.c + 0.5) + dc AS gx, -da * (r.r + 0.5) + df AS gy FROM {source} q, unnest(range(dh)) AS r(r), unnest(range(dw)) AS cc(c))""",
+        sql_lonlat("dq", "dp", "gx", "gy", "te", "glon", "glat"), sql_utm("dr", "dq", "glon", "glat", "epsg", "sx", "sy"),
+        """out AS (SELECT dr.scene_id, CAST(drow AS INTEGER) AS "row", CAST(dcol AS INTEGER) AS col, ra.k FROM dr
+  LEFT JOIN ra ON ra.scene_id = dr.scene_id AND ra.col = CAST(floor((sx - dr.c) / dr.a) AS BIGINT) AND ra."row" = CAST(floor((sy - dr.f) / dr.e) AS BIGINT))"""])
+
+
+@query("g13_reprojection", with_ctes(
+    A.RASTER_SQL, SIZE_SQL, "u0 AS (SELECT scene_id, 32643 AS epsg, 32644 AS te, 500000.0::DOUBLE AS c, 3420000.0::DOUBLE AS f, 30.0::DOUBLE AS a, -30.0::DOUBLE AS e, 30.0::DOUBLE AS da, width AS dw, height AS dh FROM sz)",
+    sql_lonlat("u1", "u0", "c", "f", "epsg", "ulon", "ulat"), sql_utm("u2", "u1", "ulon", "ulat", "te", "dc", "df"), gather_sql("u2"), body="SELECT * FROM out"))
 def _(t):
     """Raster on zone 43 seen from a zone 44 grid over the same place: nearest source pixel."""
     p = _plans(t)
@@ -252,6 +367,18 @@ def _(t):
     return GR.reproject(A.raster(t).select(*PK, "k"), p).select(*PK, "k")
 
 
+RASTER_GRID = "rgd AS (SELECT scene_id, 4326 AS epsg, 0.0003::DOUBLE AS a, 0.0::DOUBLE AS b, 75.0::DOUBLE AS c, 0.0::DOUBLE AS d, -0.0003::DOUBLE AS e, 31.0::DOUBLE AS f, width, height FROM sz)"
+
+
+@query("g13_geographic_source", with_ctes(A.RASTER_SQL, SIZE_SQL, RASTER_GRID, plan_sql("rgd", None, None), gather_sql("pl"), body="SELECT * FROM out"))
+def _(t):
+    """The raster on a geographic grid, planned to its UTM zone and reprojected."""
+    g = GR.scene_sizes(A.raster(t)).select("scene_id", F.lit(4326).alias("epsg"), F.lit(0.0003).alias("a"), F.lit(0.0).alias("b"), F.lit(75.0).alias("c"), F.lit(0.0).alias("d"),
+                                           F.lit(-0.0003).alias("e"), F.lit(31.0).alias("f"), "width", "height")
+    p = GR.plan_grid(g).select("scene_id", F.struct("epsg", *"abcdef", "width", "height").alias("src"), "dst")
+    return GR.reproject(A.raster(t).select(*PK, "k"), p).select(*PK, "k")
+
+
 @query("g12_source_windows")
 def _(t):
     """Source window of every 48-pixel destination block, padded by two pixels."""
@@ -259,12 +386,48 @@ def _(t):
     return GR.source_window(win).select("scene_id", "row_off", "col_off", "src_row_off", "src_col_off", "src_h", "src_w")
 
 
-@query("g26_web_map_tiles")
+def _tile_scenes(t):
+    return GR.scene_sizes(A.raster(t)).select("scene_id", F.lit(32643).alias("epsg"), F.lit(30.0).alias("a"), F.lit(0.0).alias("b"), F.lit(500000.0).alias("c"), F.lit(0.0).alias("d"),
+                                              F.lit(-30.0).alias("e"), F.lit(3420000.0).alias("f"), "width", "height")
+
+
+def tiles_sql(zooms, means) -> str:
+    """Tile pixels of the raster; ``means`` are the zooms far below the native one."""
+    zs = ", ".join(f"({z})" for z in zooms)
+    far = ", ".join(map(str, means)) or "-1"
+    merc = lambda lat: f"(1.0 - asinh(tan(radians({lat}))) / pi()) / 2.0"
+    return ",\n".join([
+        A.RASTER_SQL, SIZE_SQL,
+        "tg AS (SELECT scene_id, 32643 AS epsg, 30.0::DOUBLE AS a, 0.0::DOUBLE AS b, 500000.0::DOUBLE AS c, 0.0::DOUBLE AS d, -30.0::DOUBLE AS e, 3420000.0::DOUBLE AS f, width, height FROM sz)",
+        bounds_sql("tg"), f"""tr AS (SELECT bo.*, zz.z, pow(2.0, zz.z) * 256 AS n, CAST(floor((west + 180.0) / 360.0 * n) AS BIGINT) AS u0, CAST(floor((east + 180.0) / 360.0 * n) AS BIGINT) AS u1,
+  CAST(floor({merc('north')} * n) AS BIGINT) AS v0, CAST(floor({merc('south')} * n) AS BIGINT) AS v1 FROM bo, (VALUES {zs}) AS zz(z))""",
+        "tp AS (SELECT tr.*, u.u, v.v, (u.u + 0.5) / n * 360.0 - 180.0 AS mlon, degrees(atan(sinh(pi() * (1.0 - 2.0 * (v.v + 0.5) / n)))) AS mlat FROM tr, unnest(range(u0, u1 + 1)) AS u(u), unnest(range(v0, v1 + 1)) AS v(v) "
+        f"WHERE z NOT IN ({far}))",
+        sql_utm("tu", "tp", "mlon", "mlat", "epsg", "sx", "sy"),
+        """tb AS (SELECT z, u, v, p0, valid FROM tu JOIN ra ON ra.scene_id = tu.scene_id AND ra.col = CAST(floor((sx - tu.c) / tu.a) AS BIGINT) AND ra."row" = CAST(floor((sy - tu.f) / tu.e) AS BIGINT))""",
+        'fp AS (SELECT tg.*, p0, valid, c + a * (ra.col + 0.5) AS fx, f + e * (ra."row" + 0.5) AS fy FROM tg JOIN ra USING (scene_id))', sql_lonlat("fq", "fp", "fx", "fy", "epsg", "flon", "flat"),
+        f"""tf AS (SELECT zz.z, CAST(floor((flon + 180.0) / 360.0 * pow(2.0, zz.z) * 256) AS BIGINT) AS u, CAST(floor({merc('flat')} * pow(2.0, zz.z) * 256) AS BIGINT) AS v, p0, valid
+  FROM fq, (VALUES {zs}) AS zz(z) WHERE zz.z IN ({far}))""",
+        "tm AS (SELECT z, u, v, avg(CASE WHEN valid THEN p0 END) AS p FROM (SELECT * FROM tb UNION ALL SELECT * FROM tf) GROUP BY z, u, v)"])
+
+
+TILES_BODY = f"""SELECT CAST(z AS INTEGER) AS z, CAST(u // 256 AS INTEGER) AS x, CAST(v // 256 AS INTEGER) AS y, CAST(u % 256 AS INTEGER) AS px, CAST(v % 256 AS INTEGER) AS py, {r6('p')} AS p_healthy, CAST(CASE WHEN p IS NOT NULL THEN 210 ELSE 0 END AS INTEGER) AS alpha FROM tm"""
+
+
+def _tile_rows(t, zooms):
+    return TL.render_tiles(A.raster(t), _tile_scenes(t), zooms).select("z", "x", "y", "px", "py", rnd("p_healthy").alias("p_healthy"), "alpha")
+
+
+@query("g26_web_map_tiles", with_ctes(tiles_sql((11, 12), (11,)), body=TILES_BODY))
+def _(t):
+    """Risk raster as web-map tile pixels: means of source pixels at zoom 11, every tile pixel filled at 12."""
+    return _tile_rows(t, [11, 12])
+
+
+@query("g26_tiles_above_native_zoom", with_ctes(tiles_sql((13, 14), ()), body=TILES_BODY))
 def _(t):
-    """Risk raster as coloured web-map tile pixels at two zoom levels."""
-    px = A.raster(t).withColumns({"x": 500000.0 + 30.0 * (F.col("col") + 0.5), "y": 3420000.0 - 30.0 * (F.col("row") + 0.5), "epsg": F.lit(32643)})
-    tiles = SW.build_tiles(px, [11, 12])
-    return tiles.select("z", "x", "y", "px", "py", "p_healthy", *[F.col(c).cast("int").alias(c) for c in ("red", "green", "blue", "alpha")])
+    """Zooms whose tile pixels are smaller than the raster's: all of them filled."""
+    return _tile_rows(t, [13, 14])
 
 
 @query("x3_block_transform", with_ctes(A.RASTER_SQL, body=f"""

@@ -183,13 +183,13 @@ def _(t):
 
 
 @query("p6_dark_object_subtraction", with_ctes(A.PX_SQL, A.LONG_SQL, body=f"""
-, dark AS (SELECT scene_id, band, quantile_cont(v, 0.005) AS d FROM long WHERE scene_id = 'scn_0' GROUP BY scene_id, band)
+, dark AS (SELECT scene_id, band, quantile_cont(v, 0.005) AS d FROM long GROUP BY scene_id, band)
 SELECT l.scene_id, l."row", l.col, {r6('sum(CASE WHEN d IS NULL THEN v ELSE greatest(0.0, v - d) END)')} AS total FROM long l LEFT JOIN dark USING (scene_id, band)
 GROUP BY l.scene_id, l."row", l.col"""))
 def _(t):
-    """Dark values of the first scene only: the other scene's pixels pass unchanged."""
+    """Every scene's own dark values."""
     px = A.pixels(t)
-    out = ST.subtract_dark_values(px, ST.dark_values(px.filter("scene_id = 'scn_0'")))
+    out = ST.subtract_dark_values(px, ST.dark_values(px))
     return out.filter("spectrum IS NOT NULL").select(*PK, rnd(F.aggregate("spectrum", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
@@ -403,14 +403,14 @@ def _(t):
 
 
 @query("p22_robust_scaling", with_ctes(A.PX_SQL, A.LONG_SQL, body=f"""
-, st AS (SELECT scene_id, band, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM long WHERE scene_id = 'scn_0' GROUP BY scene_id, band)
+, st AS (SELECT scene_id, band, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM long GROUP BY scene_id, band)
 SELECT l.scene_id, l."row", l.col, CAST(l.band AS INTEGER) AS band,
        {r6('CASE WHEN lo IS NULL THEN v ELSE greatest(0.0, least(1.0, (v - lo) / CASE WHEN hi - lo > 1e-6 THEN hi - lo ELSE 1.0 END)) END')} AS value
 FROM long l LEFT JOIN st USING (scene_id, band)"""))
 def _(t):
-    """Statistics of the first scene only: the other scene's pixels pass unchanged."""
+    """Every scene's own statistics."""
     px = A.pixels(t)
-    scaled = ST.apply_scaling(px, ST.band_stats(px.filter("scene_id = 'scn_0'"), keys=["scene_id"]), keys=["scene_id"])
+    scaled = ST.apply_scaling(px, ST.band_stats(px, keys=["scene_id"]), keys=["scene_id"])
     return scaled.filter("spectrum IS NOT NULL").select(*PK, F.posexplode("spectrum").alias("band", "v")).select(*PK, "band", rnd("v").alias("value"))
 
 
