@@ -112,7 +112,8 @@ def response_weights(
     s_dst = target_fwhm * SIGMA
     # Dealt by sensor before the explode, which the window and the join below then need not shuffle.
     w = Window.partitionBy("sensor_id", "dst")
-    bands = bands.repartition("sensor_id")
+    # With their number given, few and small band rows are not put together again before they are blown up.
+    bands = bands.repartition(int(bands.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sensor_id")
     flat = bands.select("*", _targets(targets)).select("*", "d.dst", "d.dst_wl").drop("d")
     diff2 = F.pow(F.col("dst_wl") - F.col("wavelength_nm"), F.lit(2.0))
     if mode == "point":

@@ -92,21 +92,37 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], o
     return res.drop("_r", "_carried", CHUNK, "_all")
 
 
-def smallest(df: DataFrame, n: int, rank: Column, order: Sequence[Column | str], cells: int = 65536) -> DataFrame:
-    """Exactly the ``n`` rows of lowest (``rank``, ``order``); ``rank`` is a non-negative BIGINT.
+#: Rows of the cell that holds the cut from which on it is ordered instead of being cut again.
+EDGE = 100_000
 
-    Rows are counted by the high bits of the rank; cells before the cut are kept whole and only
-    the one cell that straddles the cut is ordered, so no task holds ``n`` rows.
+
+def smallest(df: DataFrame, n: int, rank: Column, order: Sequence[Column | str], bits: int = 16) -> DataFrame:
+    """Exactly the ``n`` rows of lowest (``rank``, ``order``), or all if fewer; ``rank`` is a non-negative BIGINT.
+
+    Radix selection: rows are counted by the next ``bits`` of their rank (at most 2 ** ``bits`` counts), and
+    only the cell that holds the cut is looked at again, until it is small or its ranks are all equal.
+    Its rows are then numbered over range partitions of (rank, order), so that no task holds them, however
+    many ranks are equal. Rows with a NULL rank are never taken.
     """
-    shift = 63 - (cells.bit_length() - 1)
-    c = df.withColumn("_k", rank).withColumn("_cell", F.shiftright("_k", shift))
-    counts = c.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    c = df.withColumn("_k", rank).filter("_k IS NOT NULL")
+    if n <= 0:
+        return c.filter("false").drop("_k")
+    low, width, left = 0, 63, n
     upto = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``cells`` rows pass through this one window.
-    marks = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).filter(F.col("_before") < n)
-    kept = c.join(F.broadcast(marks), "_cell")
-    whole = kept.filter(F.col("_before") + F.col("_n") <= n)
-    edge = kept.filter(F.col("_before") + F.col("_n") > n)
-    w = Window.partitionBy("_cell").orderBy("_k", *order)
-    edge = edge.withColumn("_r", F.row_number().over(w)).filter(F.col("_before") + F.col("_r") <= n).drop("_r")
-    return whole.unionByName(edge).drop("_k", "_cell", "_n", "_before")
+    while True:
+        width = max(0, width - bits)
+        inside = c.filter(F.col("_k") >= low) if width + bits >= 63 else c.filter(F.col("_k").between(low, low + (1 << (width + bits)) - 1))
+        counts = inside.groupBy(F.shiftright(F.col("_k") - low, width).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+        # At most 2 ** bits rows pass through this one window.
+        marks = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+        cut_cell = marks.filter((F.col("_before") < left) & (F.col("_before") + F.col("_n") >= left)).first()
+        if cut_cell is None:
+            return c.drop("_k")
+        low += cut_cell["_cell"] << width
+        left -= cut_cell["_before"]
+        if width == 0 or cut_cell["_n"] <= EDGE:
+            break
+    top = low + (1 << width) - 1
+    whole, edge = c.filter(F.col("_k") < low), c.filter(F.col("_k").between(low, top))
+    numbered = ordinal(edge, [], ["_k", *order], "_r").filter(F.col("_r") <= left).drop("_r")
+    return whole.unionByName(numbered).drop("_k")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopyframe.session import cut
+
 # Which job states allow which action.
 ALLOWED = {
     "cancel": ("queued", "running"),
@@ -75,7 +78,55 @@ def job_counts(jobs: DataFrame, keys: Sequence[str] = ("status",)) -> DataFrame:
     return jobs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def register_scenes(inventory: DataFrame, registered_at: Column | None = None) -> DataFrame:
-    """Manifest rows for detected scenes, ready to append to the ``scenes`` table."""
+def register_scenes(inventory: DataFrame, registered_at: Column | None = None, acquired_at: Column | None = None) -> DataFrame:
+    """Manifest rows for detected scenes (dir, sensor), with their time of acquisition where it is given."""
     when = registered_at if registered_at is not None else F.current_timestamp()
-    return inventory.select(F.col("dir").alias("scene_dir"), F.element_at(F.split("dir", "/"), -1).alias("scene_id"), "sensor", when.alias("registered_at"))
+    rows = inventory.select("*", F.col("dir").alias("scene_dir"), F.element_at(F.split("dir", "/"), -1).alias("scene_id"), when.alias("registered_at"))
+    if acquired_at is None:
+        return rows.select("scene_dir", "scene_id", "sensor", "registered_at")
+    return rows.select("scene_dir", "scene_id", "sensor", "registered_at", acquired_at.cast("timestamp").alias("acquired_at"))
+
+
+CATALOGUE = "scene_dir string, scene_id string, sensor string, registered_at timestamp, acquired_at timestamp, content_hash string"
+
+
+def _content(manifest: DataFrame) -> DataFrame:
+    """A hash of what a manifest row says about its scene; the time of registration is no part of it."""
+    told = F.to_json(F.struct("scene_dir", "scene_id", "sensor", F.unix_micros("acquired_at").alias("acquired_at")))
+    return manifest.withColumn("content_hash", F.sha2(told, 256))
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """All registrations; a catalogue that does not exist yet is empty."""
+    try:
+        return spark.read.schema(CATALOGUE).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CATALOGUE)
+
+
+def append_scenes(manifest: DataFrame, path: str) -> int:
+    """Insert the manifest rows whose scene and content the catalogue does not hold yet; returns their number.
+
+    Insert-only, so a job that is run again (or was lost after its write) adds nothing twice. A scene whose
+    content has changed gets a further row; ``current_scenes`` gives the last.
+    """
+    spark = manifest.sparkSession
+    if "acquired_at" not in manifest.columns:
+        manifest = manifest.withColumn("acquired_at", F.lit(None).cast("timestamp"))
+    rows = _content(manifest).groupBy("scene_id", "content_hash").agg(*[F.min(c).alias(c) for c in ("scene_dir", "sensor", "registered_at", "acquired_at")])
+    known = read_catalogue(spark, path).select("scene_id", "content_hash").distinct()
+    # Materialised before the write, which changes what the anti-join would see.
+    new = cut(rows.join(known, ["scene_id", "content_hash"], "left_anti").select("scene_dir", "scene_id", "sensor", "registered_at", "acquired_at", "content_hash"))
+    n = new.count()
+    if n:
+        new.write.mode("append").parquet(path)
+    return n
+
+
+def current_scenes(spark: SparkSession, path: str) -> DataFrame:
+    """The last registration of every scene."""
+    rows = read_catalogue(spark, path)
+    last = F.max_by(F.struct("*"), F.struct("registered_at", "content_hash")).alias("r")
+    return rows.groupBy("scene_id").agg(last).select("r.*")

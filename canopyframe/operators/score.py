@@ -107,3 +107,26 @@ def apply_pixel_model(model, px: DataFrame) -> DataFrame:
 
     live = px.filter(F.col("spectrum").isNotNull()).withColumn("features", array_to_vector("spectrum"))
     return model.transform(live).withColumn("probs", vector_to_array("probability")).drop("features", "rawPrediction", "probability")
+
+
+def fit_onset_model(px: DataFrame, onset: str = "onset", max_iter: int = 100, epsilon: float = 1.35, reg: float = 0.0):
+    """Fit days to onset on labelled pixel spectra by linear regression with Huber loss.
+
+    Gradients are summed over partitions in a tree; outliers beyond ``epsilon`` deviations count linearly.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+
+    known = px.filter(F.col("spectrum").isNotNull() & F.col(onset).isNotNull() & ~F.isnan(F.col(onset)))
+    data = known.select(array_to_vector("spectrum").alias("features"), F.col(onset).cast("double").alias("label"))
+    return LinearRegression(loss="huber", epsilon=epsilon, maxIter=max_iter, regParam=reg, aggregationDepth=3).fit(data)
+
+
+def apply_onset_model(model, px: DataFrame, out: str = "onset_days") -> DataFrame:
+    """Adds the fitted days to onset, clipped to the horizon; NULL where there is no spectrum."""
+    from pyspark.ml.functions import array_to_vector
+
+    live = px.filter(F.col("spectrum").isNotNull()).withColumn("features", array_to_vector("spectrum"))
+    scored = model.transform(live).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(float(K.MAX_ONSET_DAYS)), F.col("prediction")))).drop("features", "prediction")
+    rest = px.filter(F.col("spectrum").isNull()).withColumn(out, F.lit(None).cast("double"))
+    return scored.unionByName(rest)

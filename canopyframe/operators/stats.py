@@ -103,10 +103,15 @@ def dark_values(px: DataFrame, keys: Sequence[str] = ("scene_id",), fraction: fl
     return exact_percentiles(long_bands(valid_pixels(px), keys), [*keys, "band"], "v", [fraction]).withColumnRenamed("q0", "dark").drop("n")
 
 
+def hash_rank(seed: int, key: Sequence[str]) -> Column:
+    """A draw below 2 ** 60 from the key that any engine with MD5 repeats; NULL counts as empty."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def cap_sample(px: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows (or all, if fewer) chosen by a hash of the key, without replacement."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), 1)
-    return smallest(px, n, h, list(key))
+    return smallest(px, n, hash_rank(seed, key), list(key))
 
 
 def scene_summary(px: DataFrame, block: int = 256) -> DataFrame:

@@ -16,6 +16,7 @@ from canopyframe.plans.adapters import rnd
 from canopyframe.plans.registry import query, r4, r6, with_ctes
 from canopyframe.sources import metadata as MD
 from canopyframe.sources import sinks as SK
+from canopyframe.streaming.job_events import work_folder
 
 # ------------------------------------------------------------------ zone rules and lookups
 
@@ -438,6 +439,23 @@ def _(t):
     return RG.register_scenes(MD.detect_sensors(_files(t)), F.lit(0))
 
 
+@query("s10_scene_catalogue", """
+SELECT '/raw/scene_' || d AS scene_dir, 'scene_' || d AS scene_id, CASE d % 5 WHEN 0 THEN 'hyperion' WHEN 1 THEN 'enmap' WHEN 2 THEN 'prisma' WHEN 3 THEN 'generic' END AS sensor,
+  CAST(1577836800 + 86400 * d + CASE WHEN d % 3 = 0 THEN 3600 ELSE 0 END AS BIGINT) AS acquired_s, CAST(CASE WHEN d % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_rows
+FROM (SELECT DISTINCT p_partkey // 8 AS d FROM part)""")
+def _(t):
+    """Scenes registered three times: the second adds nothing, the third only those whose time was put right."""
+    path = work_folder(t.spark, "catalogue")
+    day = F.regexp_extract("dir", "scene_([0-9]+)", 1).cast("bigint")
+    found = MD.detect_sensors(_files(t))
+    at = lambda late, when: RG.register_scenes(found, F.timestamp_seconds(F.lit(when)), F.timestamp_seconds(1577836800 + 86400 * day + F.when((day % 3 == 0) & F.lit(late), 3600).otherwise(0)))
+    for late, when in ((False, 1), (False, 2), (True, 3)):
+        RG.append_scenes(at(late, when), path)
+    rows = RG.read_catalogue(t.spark, path).groupBy("scene_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    now = RG.current_scenes(t.spark, path).join(rows, "scene_id")
+    return now.select("scene_dir", "scene_id", "sensor", F.unix_seconds("acquired_at").alias("acquired_s"), "n_rows")
+
+
 @query("s5_mtl_metadata", f"""
 SELECT c_custkey, {r6('CASE WHEN c_custkey % 9 <> 0 THEN 10.5 + c_custkey % 70 END')} AS sun_elevation, {r6('CASE WHEN c_custkey % 2 = 0 THEN 50.0 ELSE 40.0 END')} AS vnir_scale, 80.0::DOUBLE AS swir_scale,
   'EO1H' || c_custkey AS scene_id, CASE WHEN c_custkey % 11 <> 0 THEN '20' || lpad(CAST(10 + c_custkey % 9 AS VARCHAR), 2, '0') || '-03-0' || (1 + c_custkey % 8) || ' 05:1' || (c_custkey % 10) || ':07' END AS acquired_at FROM customer""")

@@ -217,7 +217,19 @@ def _(t):
     return out.groupBy("truth").agg(F.count(F.lit(1)).alias("n"), big(F.count_if(hit)).alias("n_correct"))
 
 
-@query("t7_exact_sample")
+@query("x5_onset_regression", with_ctes(A.PX_SQL, body="SELECT count(*) AS n_pixels, TRUE AS beats_mean, TRUE AS within_horizon FROM px"))
+def _(t):
+    """Days to onset by Huber regression on spectra, some labels far off: closer to the clean values than their mean."""
+    clean = 30.0 * F.get("spectrum", F.lit(4))
+    label = F.when(F.col("vec_id") % 10 == 3, 500.0).otherwise(clean)
+    px = A.pixels(t).withColumns({"clean": clean, "label_days": label})
+    out = SC.apply_onset_model(SC.fit_onset_model(px, "label_days"), px)
+    middle = px.agg(F.avg("label_days").alias("m")).first()["m"]
+    return out.withColumn("m", F.lit(middle)).agg(F.count(F.lit(1)).alias("n_pixels"), (F.avg(F.abs(F.col("onset_days") - F.col("clean"))) < F.avg(F.abs(F.col("m") - F.col("clean")))).alias("beats_mean"),
+                   F.bool_and(F.col("onset_days").isNull() | F.col("onset_days").between(0.0, 30.0)).alias("within_horizon"))
+
+
+@query("t7_exact_sample", with_ctes(A.PX_SQL, body="SELECT vec_id FROM px ORDER BY CAST('0x' || substr(md5('4:' || vec_id), 1, 15) AS BIGINT), vec_id LIMIT 200"))
 def _(t):
     """Exactly 200 pixels drawn without replacement by hash."""
     return ST.cap_sample(A.pixels(t), 200, ["vec_id"], seed=4).select("vec_id")
