@@ -6,9 +6,10 @@ and the document's key; the row is exploded by its count, and all rows are shuff
 hash, so that each output partition is an even mixture in random order. A rate above ``STEP`` is drawn
 as the sum of independent draws of equal rates of at most ``STEP``, which has the same distribution.
 
-Defined results: NULL sources are one source of their own. A NULL key, and rows that repeat a key,
-draw the same count for equal keys; copies of repeated rows share their place by hash and keep both
-rows. NULL or empty texts have size 0; a source of size 0 has rate 0. Sources without a rate are
+Defined results: NULL sources are one source of their own. Rows that repeat a key draw the same count.
+Rows with a NULL key draw by a hash of their text instead, so that each text draws on its own; only
+rows equal in both share a draw. Places are hashed from key, text and copy number, so that neither NULL
+nor repeated keys gather in a partition. NULL or empty texts have size 0; a source of size 0 has rate 0. Sources without a rate are
 left out (rate 0). Empty tables give empty results. Other columns are kept untouched.
 """
 
@@ -27,6 +28,12 @@ STEP = 64.0
 MAX_RATE = float(1 << 19)
 
 
+def row_key(docs: DataFrame, key: str) -> Column:
+    """The key as text, or a hash of the row's text where it is NULL."""
+    text = F.coalesce("text", F.lit("")) if "text" in docs.columns else F.lit("")
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("~"), F.md5(text)))
+
+
 def uniform(seed: int, *key: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of an MD5 digest."""
     parts = [F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("~")) for k in key]]
@@ -72,12 +79,13 @@ def replicate(docs: DataFrame, rates: DataFrame, key: str = "doc_id", seed: int
     """
     src, cdf, m, n, c, p = (fresh(docs, x) for x in ("_mx_source", "_mx_cdf", "_mx_draws", "_mx_n", "_mx_copy", "_mx_place"))
     table = broadcast_if_small(with_cdf(rates).select(F.col("source").alias(src), F.col("cdf").alias(cdf), F.col("draws").alias(m)), 10_000)
-    more = F.transform(F.sequence(F.lit(1), F.col(m) - 1), lambda i: uniform(seed, F.col(key), i))
+    own = row_key(docs, key)
+    more = F.transform(F.sequence(F.lit(1), F.col(m) - 1), lambda i: uniform(seed, own, i))
     rest = F.aggregate(more, F.lit(0), lambda s, u: s + poisson_count(F.col(cdf), u))
-    count = poisson_count(F.col(cdf), uniform(seed, F.col(key))) + F.when(F.col(m) > 1, rest).otherwise(0)
+    count = poisson_count(F.col(cdf), uniform(seed, own)) + F.when(F.col(m) > 1, rest).otherwise(0)
     drawn = docs.join(table, F.col("source").eqNullSafe(F.col(src))).withColumn(n, count)
     copies = drawn.filter(F.col(n) > 0).withColumn(c, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    placed = copies.withColumn(p, F.xxhash64(F.lit(seed), F.col(key), F.col(c)))
+    placed = copies.withColumn(p, F.xxhash64(F.lit(seed), own, *([F.col("text")] if "text" in docs.columns else []), F.col(c)))
     extra = [F.col(a).alias(b) for a, b in ((c, copy), (p, place)) if b]
     kept = placed.select(*docs.columns, c, p, *extra)
     return kept.repartition(F.col(p), F.col(c)).sortWithinPartitions(p).drop(c, p)
