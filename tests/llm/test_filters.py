@@ -168,7 +168,9 @@ def test_mixing(spark, odd_docs, no_docs):
         seen[r.doc_id, r.source, r.text].append(r["copy"])
     of = {"a": 0.0, "b": 2.5, "hot": 40.0, None: 1.0}
     for r, times in Counter(tuple(x) for x in odd_docs.select("doc_id", "source", "text").collect()).items():
-        u = int(hashlib.md5(f"17:{'~' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) / 2**52
+        # A row without a key draws by its text.
+        own = "~" + hashlib.md5((r[2] or "").encode()).hexdigest() if r[0] is None else r[0]
+        u = int(hashlib.md5(f"17:{own}".encode()).hexdigest()[:13], 16) / 2**52
         assert sorted(seen[r]) == sorted(list(range(by_hand_count(of[r[1]], u))) * times)
     assert mixing.replicate(no_docs, mixing.temperature_rates(no_docs)).count() == 0
 

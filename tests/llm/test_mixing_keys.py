@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from canopyframe.llm import mixing
 
 
-def test_null_keys_draw_by_their_text_and_spread(spark):
+def test_null_keys_draw_by_their_text_and_spread(spark, request):
+    # Small partitions stay apart, so that they can be counted.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
     docs = spark.range(20_000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"), F.lit("a").alias("source"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
     for rate in (0.2, 0.5, 1.5):
         out = mixing.replicate(docs, spark.createDataFrame([("a", rate)], "source string, rate double"), copy="copy")
