@@ -11,6 +11,7 @@ from canopyframe.constants import CLASS_NAMES
 from canopyframe.functions import rules
 from canopyframe.functions.geometry import point_in_ring, ring_bounds, ring_centroid
 from canopyframe.operators.ordered import ordinal
+from canopyframe.session import broadcast_if_small, cut
 
 FIELD_SPAN = 0.25
 MATRIX_MODES = ("all", "urgent", "high_risk", "early_stress", "healthy")
@@ -21,20 +22,103 @@ def first_vertex(ring: Column) -> tuple[Column, Column]:
     return F.get(p, F.lit(0)), F.get(p, F.lit(1))
 
 
-def zones_in_field(zones: DataFrame, fields: DataFrame) -> DataFrame:
+def _cell_of(v: Column, step: float) -> Column:
+    return F.floor(v / step).cast("int")
+
+
+def split_by_load(rows: DataFrame, fields: DataFrame, cell: Sequence[str], load: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join on ``cell`` with a further key ``_part`` that splits cells of more than ``load`` rows.
+
+    Rows of such a cell are dealt to as many parts as they need, by a hash of the row, and the other side
+    is copied to each. There are at most (all rows / ``load``) such cells.
+    """
+    counted = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > load)
+    hot = cut(counted.select(*cell, F.ceil(F.col("_n") / load).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return rows.withColumn("_part", F.lit(0)), fields.withColumn("_part", F.lit(0))
+    hot = broadcast_if_small(hot)
+    dealt = rows.join(hot, list(cell), "left").withColumn(
+        "_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int"))).drop("_parts")
+    copied = fields.join(hot, list(cell), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt, copied
+
+
+#: Zones of one cell that meet fields in one task, and the step of the finer cells whose zones are summed before they meet a field.
+CELL_LOAD = 100_000
+FINE = FIELD_SPAN / 8
+
+
+def zones_in_field(zones: DataFrame, fields: DataFrame, load: int | None = None) -> DataFrame:
     """Zones whose first vertex lies within 0.25 degrees of a field centre on both axes.
 
-    Both sides are bucketed to 0.25-degree cells; only the fields are copied to their nine
-    cells, so the larger side keeps one row per zone and the join is an equi-join.
+    Both sides are bucketed to 0.25-degree cells; only the fields are copied to their nine cells, so the
+    larger side keeps one row per zone and the join is an equi-join. A cell with more than ``load`` zones is
+    split into parts.
     """
     x, y = first_vertex(F.col("ring"))
-    cell = lambda v: F.floor(v / FIELD_SPAN).cast("int")
-    z = zones.withColumns({"_x": x, "_y": y}).withColumns({"_cx": cell(F.col("_x")), "_cy": cell(F.col("_y"))})
+    z = zones.withColumns({"_x": x, "_y": y}).withColumns({"_cx": _cell_of(F.col("_x"), FIELD_SPAN), "_cy": _cell_of(F.col("_y"), FIELD_SPAN)})
     spread = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     f = fields.withColumn("_dx", F.explode(spread)).withColumn("_dy", F.explode(spread))
-    f = f.withColumns({"_cx": cell(F.col("cx")) + F.col("_dx"), "_cy": cell(F.col("cy")) + F.col("_dy")}).drop("_dx", "_dy")
+    f = f.withColumns({"_cx": _cell_of(F.col("cx"), FIELD_SPAN) + F.col("_dx"), "_cy": _cell_of(F.col("cy"), FIELD_SPAN) + F.col("_dy")}).drop("_dx", "_dy")
+    near = (F.abs(F.col("_x") - F.col("cx")) < FIELD_SPAN) & (F.abs(F.col("_y") - F.col("cy")) < FIELD_SPAN)
+    z, f = split_by_load(z, f, ["_cx", "_cy"], CELL_LOAD if load is None else load)
+    return z.join(f, ["_cx", "_cy", "_part"]).filter(near).drop("_cx", "_cy", "_x", "_y", "_part")
+
+
+def _measures() -> tuple[dict[str, Column], dict[str, Column]]:
+    """Partial values of a group of zones, and how partial values are put together."""
+    cls, days = F.col("risk_class"), F.col("days_to_onset")
+    first = {
+        "n": F.count(F.lit(1)), "urgent": F.count_if((cls > 0) & (days <= 7)),
+        "onset": F.min(F.when((cls > 0) & (days > 0) & (days < 30), days)),
+        # Sums of decimals do not depend on the order in which parts meet.
+        **{f"a{i}": F.sum(F.when(cls == i, F.col("area_acres").cast("decimal(28,9)"))) for i in range(len(CLASS_NAMES))}}
+    merge = {k: F.min(k) if k == "onset" else F.sum(k) for k in first}
+    return first, merge
+
+
+def field_sums(zones: DataFrame, fields: DataFrame, load: int | None = None) -> DataFrame:
+    """(field_id, n, urgent, onset, a0..a3, risky) of the zones that ``zones_in_field`` gives each field.
+
+    The zones of a fine cell (an eighth of 0.25 degrees) are summed once, whatever the number of fields
+    around them. Cells that lie wholly within a field's reach give it their sums; only zones of the cells
+    on the rim meet the field one by one, and are summed there before they meet by the field's key.
+    """
+    x, y = first_vertex(F.col("ring"))
+    z = zones.select(x.alias("_x"), y.alias("_y"), "risk_class", "days_to_onset", "area_acres")
+    z = z.withColumns({"_sx": _cell_of(F.col("_x"), FINE), "_sy": _cell_of(F.col("_y"), FINE)})
+    first, merge = _measures()
+    cells = z.groupBy("_sx", "_sy").agg(*[c.alias(k) for k, c in first.items()])
+    f = fields.select("field_id", "cx", "cy")
+    for axis, centre in (("_sx", "cx"), ("_sy", "cy")):
+        low, high = _cell_of(F.col(centre) - FIELD_SPAN, FINE), _cell_of(F.col(centre) + FIELD_SPAN, FINE)
+        f = f.withColumn(axis, F.explode(F.sequence(low, high)))
+        # Differences grow with the position, so ends inside the reach prove the cell inside.
+        f = f.withColumn(f"_in{axis}", (F.col(axis) * FINE - F.col(centre) > -FIELD_SPAN) & ((F.col(axis) + 1) * FINE - F.col(centre) < FIELD_SPAN))
+    whole = F.col("_in_sx") & F.col("_in_sy")
+    inner = f.filter(whole).join(cells, ["_sx", "_sy"]).select("field_id", *first)
     near = (F.abs(F.col("_x") - F.col("cx")) < FIELD_SPAN) & (F.abs(F.col("_y") - F.col("cy")) < FIELD_SPAN)
-    return z.join(f, ["_cx", "_cy"]).filter(near).drop("_cx", "_cy", "_x", "_y")
+    zr, fr = split_by_load(z, f.filter(~whole), ["_sx", "_sy"], CELL_LOAD if load is None else load)
+    rim = zr.join(fr, ["_sx", "_sy", "_part"]).filter(near).groupBy("field_id").agg(*[c.alias(k) for k, c in first.items()])
+    out = inner.unionByName(rim).groupBy("field_id").agg(*[c.alias(k) for k, c in merge.items()])
+    risky = [F.coalesce(f"a{i}", F.lit(0).cast("decimal(38,9)")) for i in (1, 2, 3)]
+    out = out.withColumn("risky", (risky[0] + risky[1] + risky[2]).cast("double"))
+    return out.withColumns({f"a{i}": F.col(f"a{i}").cast("double") for i in range(len(CLASS_NAMES))})
+
+
+def field_kpis(zones: DataFrame, fields: DataFrame) -> DataFrame:
+    """``zone_kpis`` of every field that has zones, from partial sums."""
+    acres = [F.coalesce(f"a{i}", F.lit(0.0)) for i in range(len(CLASS_NAMES))]
+    g = field_sums(zones, fields).join(fields.select("field_id", F.col("acres").alias("total_acres")), "field_id")
+    g = g.select("field_id", *[acres[i].alias(f"{CLASS_NAMES[i]}_acres") for i in (1, 2, 3)], F.col("risky").alias("at_risk_acres"),
+                 F.coalesce("onset", F.lit(30.0)).alias("earliest_onset"), "total_acres")
+    return g.withColumn("healthy_acres", F.greatest(F.lit(0.0), F.col("total_acres") - F.col("at_risk_acres")))
+
+
+def field_matrix(zones: DataFrame, fields: DataFrame) -> DataFrame:
+    """``zone_matrix`` of every field that has zones, from partial sums."""
+    acres = [F.coalesce(f"a{i}", F.lit(0.0)).alias(f"_a{i}") for i in range(len(CLASS_NAMES))]
+    return _matrix(field_sums(zones, fields).select("field_id", F.col("n").alias("total"), F.col("urgent").alias("urgent_count"), *acres), ["field_id"])
 
 
 def visible_at(zones: DataFrame, horizon: float) -> DataFrame:
@@ -100,6 +184,10 @@ def zone_matrix(zones: DataFrame, keys: Sequence[str]) -> DataFrame:
     g = zones.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"), F.count_if((cls > 0) & (F.col("days_to_onset") <= 7)).alias("urgent_count"),
         *[_acres(cls == i).alias(f"_a{i}") for i in range(4)])
+    return _matrix(g, keys)
+
+
+def _matrix(g: DataFrame, keys: Sequence[str]) -> DataFrame:
     s = F.col("_a0") + F.col("_a1") + F.col("_a2") + F.col("_a3")
     g = g.withColumn("_t", F.when(s == 0, F.lit(1.0)).otherwise(s))
     return g.select(*keys, "total", "urgent_count", F.round("_t", 1).alias("total_acres"),

@@ -107,7 +107,8 @@ def _(t):
 
 
 def _kpi_sql() -> str:
-    acres = lambda c: f"coalesce(sum(CASE WHEN {c} THEN area_acres END), 0)"
+    # Exact sums: rounding at a half must not depend on the order of addition.
+    acres = lambda c: f"CAST(coalesce(sum(CASE WHEN {c} THEN CAST(area_acres AS DECIMAL(28, 9)) END), 0) AS DOUBLE)"
     return f"""kp AS (SELECT field_id, {', '.join(f'{acres(f"risk_class = {i}")} AS {CLASS_NAMES[i]}_acres' for i in (1, 2, 3))}, {acres('risk_class IN (1, 2, 3)')} AS at_risk_acres,
   coalesce(min(CASE WHEN risk_class > 0 AND days_to_onset > 0 AND days_to_onset < 30 THEN days_to_onset END), 30.0) AS earliest_onset, any_value(acres) AS total_acres FROM jz GROUP BY field_id)"""
 
@@ -116,7 +117,7 @@ def _kpi_sql() -> str:
 SELECT field_id, {', '.join(f'{r4(f"{CLASS_NAMES[i]}_acres")} AS {CLASS_NAMES[i]}_acres' for i in (1, 2, 3))}, {r4('at_risk_acres')} AS at_risk_acres, {r4('earliest_onset')} AS earliest_onset,
   {r4('greatest(0, total_acres - at_risk_acres)')} AS healthy_acres FROM kp"""))
 def _(t):
-    k = AN.zone_kpis(in_fields(t), ["field_id"], F.col("acres"))
+    k = AN.field_kpis(A.zones(t), A.fields(t))
     return k.select("field_id", *[rnd(c, 4).alias(c) for c in ("early_stress_acres", "high_blight_risk_acres", "visible_disease_acres", "at_risk_acres", "earliest_onset", "healthy_acres")])
 
 
@@ -126,7 +127,7 @@ def _(t):
 SELECT field_id, total, urgent_count, {r4('round(CASE WHEN s = 0 THEN 1 ELSE s END, 1)')} AS total_acres,
   {', '.join(f'CAST(floor(a{i} / CASE WHEN s = 0 THEN 1 ELSE s END * 100 + 0.5) AS BIGINT) AS {n}_pct' for i, n in enumerate(CLASS_NAMES))} FROM m"""))
 def _(t):
-    m = AN.zone_matrix(in_fields(t), ["field_id"])
+    m = AN.field_matrix(A.zones(t), A.fields(t))
     return m.withColumn("total_acres", rnd("total_acres", 4))
 
 
@@ -135,7 +136,7 @@ def _(t):
 SELECT field_id, value_at_risk, blanket_cost, targeted_cost, greatest(0, blanket_cost - targeted_cost) AS savings,
   CAST(floor(greatest(0, blanket_cost - targeted_cost) / CAST(greatest(1, blanket_cost) AS DOUBLE) * 100 + 0.5) AS BIGINT) AS saved_pct FROM c"""))
 def _(t):
-    k = AN.roi(AN.zone_kpis(in_fields(t), ["field_id"], F.col("acres")))
+    k = AN.roi(AN.field_kpis(A.zones(t), A.fields(t)))
     return k.select("field_id", "value_at_risk", "blanket_cost", "targeted_cost", "savings", "saved_pct")
 
 
