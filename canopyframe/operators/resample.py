@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,14 +120,27 @@ def _band_table(spark: SparkSession, wl: Sequence[float], fwhm: Sequence[float],
     return spark.createDataFrame(rows, "sensor_id int, band int, wavelength_nm double, fwhm_nm double, bad boolean")
 
 
+KEPT = 64
+_matrices: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def weight_matrix(
     spark: SparkSession, wl: Sequence[float], fwhm: Sequence[float], bad: Sequence[bool], targets: Sequence[float],
     target_fwhm: float = K.CANONICAL_FWHM_NM, mode: str = "overlap",
 ) -> tuple[np.ndarray, np.ndarray]:
-    """``bands.response_weights`` of one sensor as a dense matrix, with its covered flags (bands x targets rows at most)."""
+    """``bands.response_weights`` of one sensor as a dense matrix, with its covered flags (bands x targets rows at most).
+
+    The last ``KEPT`` matrices are kept, as plans of one sensor are built again and again.
+    """
+    key = (tuple(map(float, wl)), tuple(map(float, fwhm)), tuple(map(bool, bad)), tuple(map(float, targets)), target_fwhm, mode)
+    if key in _matrices:
+        return tuple(a.copy() for a in _matrices[key])
     m, covered = np.zeros((len(targets), len(wl))), np.zeros(len(targets), bool)
     for r in BD.response_weights(_band_table(spark, wl, fwhm, bad), targets, target_fwhm, mode).collect():
         m[r.dst, r.band], covered[r.dst] = r.weight, r.covered
+    _matrices[key] = m.copy(), covered.copy()
+    while len(_matrices) > KEPT:
+        _matrices.pop(next(iter(_matrices)))
     return m, covered
 
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,14 +177,19 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 def run_rule(
     events: DataFrame, rule: Rule, name: str = "rule", delay_s: float = DAY_S, ttl_s: float = 30 * DAY_S,
-    clock: Callable[[], int] | None = None,
+    clock: Callable[[], int] | None = None, folder: str | None = None,
 ) -> DataFrame:
     """Run a rule over all events available now and return its output table.
 
-    ``clock`` gives the time in microseconds for keep-alives (default: the system's).
+    ``clock`` gives the time in microseconds for keep-alives (default: the system's). A run that names the
+    ``folder`` of an earlier one (on storage that driver and executors share) goes on where that stopped or
+    was lost: events it has handled are not read again, and what it released at its end only for want of
+    later events is decided anew. Events without a time can't be ordered; they go to the table ``rejected``
+    of the folder (see ``rejected_events``) and count nowhere else.
     """
     spark = events.sparkSession
-    folder = work_folder(spark, name)
+    known = folder is not None
+    folder = folder or work_folder(spark, name)
     fields = events.schema
     now = clock or (lambda: time.time_ns() // 1000)
     done: list[int] = []
@@ -200,6 +206,8 @@ def run_rule(
         if batch is None:
             ready, rest, bound = waiting, waiting.filter("false"), newest
         else:
+            batch.filter("us IS NULL").write.mode("overwrite").parquet(f"{folder}/rejected/epoch={epoch}")
+            batch = batch.filter("us IS NOT NULL")
             # What is older than the events already handled is stale.
             fresh = batch if released is None else batch.filter(F.col("us") > released)
             rows = waiting.unionByName(fresh)
@@ -220,11 +228,29 @@ def run_rule(
 
     q = events.writeStream.option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).foreachBatch(handle).start()
     q.awaitTermination()
-    # Nothing more can come: release what still waits.
-    handle(None, max(done, default=-1) + 1)
+    # Nothing more can come for now: release what still waits. The next batch of a later run overwrites this.
+    if done or not (known and _exists(spark, f"{folder}/out")):
+        handle(None, max(done, default=-1) + 1)
     return spark.read.parquet(f"{folder}/out/*")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
+def rejected_events(spark: SparkSession, folder: str, schema: Any) -> DataFrame:
+    """Events without a time that the runs of ``run_rule`` in this folder have put aside."""
+    if not _exists(spark, f"{folder}/rejected"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/rejected/*")
+
+
 def rate_stream(events: DataFrame, limit: int, period: str = "1 minute", delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Requests and rejections per key and fixed window; the watermark bounds the state."""
     g = events.withWatermark(ts, delay).groupBy(F.window(ts, period), "job_id").agg(F.count(F.lit(1)).alias("n"))

@@ -153,3 +153,28 @@ def test_follower_stops_at_the_terminal_event(spark, folder):
     for r in rows:
         per.setdefault(r.job_id, []).append(r.kind)
     assert all(sum(k in JE.TERMINAL for k in kinds) <= 1 for kinds in per.values())
+
+
+def test_a_run_goes_on_where_the_last_one_stopped(spark, tmp_path):
+    """The same folder again: earlier files are not read twice, waiting events are decided with the later ones."""
+    rows = sorted(events(300, jobs=3), key=lambda r: (r[2], r[1]))
+    source, work = str(tmp_path / "in"), str(tmp_path / "work")
+
+    def run(part):
+        if part:
+            spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        return sorted(r.event_id for r in JE.run_rule(stream, JE.follower(), delay_s=3600, folder=work).collect())
+
+    assert run(rows[1::2]) == sorted(follow_loop(rows[1::2]))
+    assert run(rows[::2]) == sorted(follow_loop(rows))
+    assert run([]) == sorted(follow_loop(rows))
+
+
+def test_events_without_a_time_are_put_aside(spark, tmp_path):
+    rows = [(1, 1, 0, "progress", "running", 0.1, False, "none"), (1, 2, None, "progress", "queued", 0.9, False, "none"), (1, 3, 5, "progress", "running", 0.4, False, "none")]
+    work = str(tmp_path / "work")
+    got = JE.run_rule(stream_of(spark, rows, tmp_path), JE.follower(), folder=work).collect()
+    assert sorted(r.event_id for r in got) == [1, 3]
+    assert [r.event_id for r in JE.rejected_events(spark, work, SCHEMA).collect()] == [2]
+    assert JE.rejected_events(spark, str(tmp_path / "none"), SCHEMA).count() == 0
