@@ -217,6 +217,33 @@ def test_lm_counts_are_exact(spark):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, odd_docs, docs, monkeypatch):
+    """Words and pairs beyond the broadcast ones take the joins, with equal scores; tasks that send often as well."""
+    listed = spark.createDataFrame([(6,), (20,), (10,), (1000,)], "doc_id bigint")
+    for d in (odd_docs, docs.select("doc_id", "text").limit(300).unionByName(odd_docs.select("doc_id", "text"))):
+        d = d.select("doc_id", "text").cache()
+        want = sorted(map(repr_of, lm_scoring.scored(d, listed).collect()))
+        for table in (0, 40):
+            with monkeypatch.context() as m:
+                m.setattr(lm_scoring, "FLUSH", 500)
+                m.setattr(lm_scoring, "PIECE_TOKENS", 1000)
+                assert sorted(map(repr_of, lm_scoring.scored(d, listed, table=table).collect())) == want
+    words_left = lm_scoring.common_words(spark.createDataFrame([(5, 9, 1), (6, 2, 0), (-1, 12, 1)], "word bigint, n bigint, nt bigint"), 1)
+    assert (words_left.key.tolist(), words_left.whole, words_left.known, words_left.rare) == ([5], False, 2, 1)
+
+
+def repr_of(r):
+    return (repr(r.doc_id), r.n_tokens, round(r.ce_difference, 8) + 0.0)
+
+
+def test_lm_packing_of_pairs():
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 1 << 62, 1000), rng.integers(0, 5, 1000), np.zeros(1000, np.int64)]
+    for n in (1000, 1, 0):
+        assert all((x == y[:n]).all() for x, y in zip(lm_scoring._unpack(lm_scoring._pack(*(c[:n] for c in columns)), 3), columns))
+    assert [lm_scoring._first_kept({1: 10, 3: 4, 9: 1}, t) for t in (0, 1, 5, 14, 15)] == [512, 8, 2, 2, 1]
+
+
 def test_pipeline(spark, folder, docs, ids_of):
     """Every stage by the operators' own brute force; here their order, columns and counts."""
     import corpus_pipeline as C
