@@ -57,6 +57,8 @@ FLUSH = 1 << 21
 TABLE = 1 << 20
 #: Tokens of the corpus for one piece of the pairs, and pieces at most.
 PIECE_TOKENS, MAX_PIECE_BITS = 1 << 18, 20
+#: So many pieces, as a power of two, meet their rows together: a row is named once in a parcel.
+JOINT_BITS = 3
 #: Bits of the table of pairs that can be in the join.
 MIN_BITS, MAX_BITS = 22, 28
 
@@ -386,7 +388,8 @@ def common_pairs(pairs: DataFrame, piece_bits: int, table: int) -> tuple[tuple[n
 
 
 def row_parts(rows: DataFrame, read, model, common, bits: int, piece_bits: int) -> DataFrame:
-    """(piece, local, part, ids): packed sums (id, words, sum) over the pairs known here, and the pairs that can be among the others'."""
+    """(piece, local, part, ids), by joint pieces: packed sums (id, words, sum) over the pairs known here, and the pairs that can be among the others'."""
+    piece_bits -= min(JOINT_BITS, piece_bits)
     shift = HASH_BITS - piece_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,26 +445,30 @@ def row_parts(rows: DataFrame, read, model, common, bits: int, piece_bits: int)
 
 def row_sums(parts: DataFrame, pairs: DataFrame, model, piece_bits: int) -> DataFrame:
     """(id, k, s): words and sums of differences of rows, in several parts; pairs meet their counts piece by piece."""
+    joint = min(JOINT_BITS, piece_bits)
     shift = HASH_BITS - piece_bits
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         w, sums = model.value, [np.zeros((3, 0), np.int64)]
-        key, pn, pnt = (np.concatenate(x) for x in zip(*([(np.zeros(0, np.int64),) * 3] + [x[1:] for b in right.to_batches() for x in _pairs_of(b, shift)])))
+        found = sorted((x for b in right.to_batches() for x in _pairs_of(b, shift)), key=lambda x: x[0])
+        key, pn, pnt = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 3, *(x[1:] for x in found)))
         for piece, local, part, of in zip(*(left.column(c) for c in ("piece", "local", "part", "ids"))):
             if local.is_valid:
                 sums.append(np.array(_unpack(local.as_py(), 3)))
                 continue
             delta, before, word, k, mine, place = _unpack(part.as_py(), 6)
             (ids,) = _unpack(of.as_py(), 1)
-            at, hit = _found(key, (piece.as_py() << shift) + np.cumsum(delta))
+            at, hit = _found(key, (piece.as_py() << (shift + joint)) + np.cumsum(delta))
             n, nt = k.copy(), k * mine
             n[hit], nt[hit] = pn[at[hit]], pnt[at[hit]]
             s = np.bincount(place, w.difference(n, nt, before, word) * k, len(ids)).astype(float)
             sums.append(np.array([ids, np.zeros(len(ids), np.int64), s.view(np.int64)]))
         ids, k, s = np.concatenate(sums, axis=1)
-        return pa.table({"id": ids, "k": k, "s": np.ascontiguousarray(s).view(float)})
+        ids, place = np.unique(ids, return_inverse=True)
+        k, s = np.bincount(place, k, len(ids)).astype(np.int64), np.bincount(place, np.ascontiguousarray(s).view(float), len(ids)).astype(float)
+        return pa.table({"id": ids, "k": k, "s": s})
 
-    return parts.groupBy("piece").cogroup(pairs.select("piece", "pairs").groupBy("piece")).applyInArrow(run, "id bigint, k bigint, s double")
+    return parts.groupBy("piece").cogroup(pairs.select(F.shiftright("piece", joint).alias("joint"), "piece", "pairs").groupBy("joint")).applyInArrow(run, "id bigint, k bigint, s double")
 
 
 def scored(docs: DataFrame, target_ids: DataFrame, table: int = TABLE) -> DataFrame:
