@@ -116,12 +116,15 @@ def recommended_action(cls: Column, days: Column, indicator: Column) -> Column:
     return F.concat(base, F.when(dry, F.lit(ACTION_IRRIGATION)).otherwise(F.lit("")))
 
 
+# Labels of the forecast horizon, and the last day of the middle one.
+HORIZON_TODAY = "Today (Visible Outbreak)"
+HORIZON_NEAR = "Acute Blight Spread"
+HORIZON_FAR = "Pre-Visual Incubation"
+HORIZON_NEAR_DAYS = 7
+
+
 def horizon_label(days: Column) -> Column:
-    return (
-        F.when(days == 0, "Today (Visible Outbreak)")
-        .when(days <= 7, "Acute Blight Spread")
-        .otherwise("Pre-Visual Incubation")
-    )
+    return F.when(days == 0, HORIZON_TODAY).when(days <= HORIZON_NEAR_DAYS, HORIZON_NEAR).otherwise(HORIZON_FAR)
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
@@ -153,13 +156,15 @@ def colorize(risk: Column, valid: Column) -> dict[str, Column]:
     return out
 
 
+# Progress of a job by step; scoring starts at the first value of its pair and adds up to the second.
+PROGRESS = {"started": 0.01, "loading": 0.05, "stitching": 0.88, "zoning": 0.95, "succeeded": 1.0}
+PROGRESS_SCORING = (0.10, 0.75)
+
+
 def progress_of(step: Column, done: Column, total: Column) -> Column:
     """Progress fraction of a job by step name; scoring advances with the windows done."""
-    return (
-        F.when(step == "started", 0.01)
-        .when(step == "loading", 0.05)
-        .when(step == "scoring", 0.10 + 0.75 * done / F.greatest(F.lit(1), total))
-        .when(step == "stitching", 0.88)
-        .when(step == "zoning", 0.95)
-        .when(step == "succeeded", 1.0)
-    )
+    start, span = PROGRESS_SCORING
+    out = F.when(step == "scoring", start + span * done / F.greatest(F.lit(1), total))
+    for name, value in PROGRESS.items():
+        out = out.when(step == name, value)
+    return out
