@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.llm.text import LOWER, SPACE_CHARS, UPPER, fresh
+from canopyframe.session import cut
 
 #: Bits of one filter piece; a piece is what one merging group handles at a time.
 PIECE = 1 << 17
@@ -135,9 +136,8 @@ def shared_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, salts:
         t = table.value
         return pd.Series(((t[p >> 3] >> (p & 7)) & (t[q >> 3] >> (q & 7)) & 1).astype(bool))
 
-    suspects = (
-        hashed.filter(suspected("h")).select("doc_id", F.translate("line", UPPER, LOWER).alias("key")).distinct()
-    )
+    # Read twice below, so found once.
+    suspects = cut(hashed.filter(suspected("h")).select("doc_id", F.translate("line", UPPER, LOWER).alias("key")).distinct())
     frequent = (
         suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n") >= min_docs).select("key", "keeper", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
