@@ -13,8 +13,8 @@ words and as many pairs at most) are broadcast. A pair that only one row has is
 itself. The others meet their counts piece by piece of the range of hashes; a bit table of at most 32 MB
 tells which pairs can be among them, and one that it names wrongly finds no count there and is again
 counted by its row. Where not all known words are broadcast, the pairs with another word wait until a
-join has told which of those words are known. Texts are never shuffled: tasks send packed pairs, counted
-together for some millions of tokens, so no piece has a key commoner than the number of such parcels.
+join has told which of those words are known. Texts are shuffled only to meet a target set too large to
+broadcast; otherwise tasks send packed pairs, counted together for some millions of tokens, so no piece has a key commoner than the number of such parcels.
 
 Defined results: a NULL or empty text has no tokens and score 0.0. Rows with a NULL ``doc_id`` count as
 background and are scored. A document listed several times in the target counts once; repeated rows
