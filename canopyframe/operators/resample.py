@@ -21,9 +21,8 @@ from canopyframe.session import broadcast_if_small
 
 
 def apply_matrix(px: DataFrame, matrix: np.ndarray, spectrum: str = "spectrum", out: str = "spectrum") -> DataFrame:
-    """``out = matrix @ spectrum`` for every row; NULL stays NULL. Narrow: one Arrow pass."""
-    keep = [f for f in px.schema.fields if f.name != spectrum]
-    keep = [f for f in keep if f.name != out]
+    """``out = matrix @ spectrum`` for every row, in place of a column of that name; NULL stays NULL. Narrow: one Arrow pass."""
+    keep = [f for f in px.schema.fields if f.name != out]
     schema = T.StructType([*keep, T.StructField(out, T.ArrayType(T.DoubleType()))])
     names = [f.name for f in keep]
     weights = np.ascontiguousarray(matrix.T, dtype=np.float64)
@@ -46,7 +45,7 @@ def apply_matrix(px: DataFrame, matrix: np.ndarray, spectrum: str = "spectrum",
             cols = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*cols, lists], names=[*names, out])
 
-    return px.select(*names, spectrum).mapInArrow(run, schema)
+    return px.select(*names, *([spectrum] if spectrum not in names else [])).mapInArrow(run, schema)
 
 
 def apply_weights(px: DataFrame, weights: DataFrame, keys: Sequence[str], spectrum: str = "spectrum") -> DataFrame:
