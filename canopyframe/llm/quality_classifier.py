@@ -4,14 +4,14 @@ Features are n-gram indicators: word unigrams and bigrams, and uni- to trigrams
 case, digits, trailing sign, repetition of recent words), hashed into ``BUCKETS`` cells. Spark counts
 each cell over all labelled training rows of either class; the log ratio of the smoothed counts scales
 the indicators. A linear model on the scaled, normalised vectors is fitted by dual coordinate descent
-on the ``SAMPLE`` training rows of least hash (a bound on what the driver holds, some 40 MB), its
-weights are averaged with their mean size as usual for this model, and a logistic curve fitted on rows
+on the ``SAMPLE`` different training rows of least hash, fewer where their texts exceed ``SAMPLE_BYTES``
+(bounds on what the driver holds: mostly some 3 bytes of cells a byte of text, 10 at worst), its weights are averaged with their mean size as usual for this model, and a logistic curve fitted on rows
 of the sample that the descent did not see turns margins into scores.
 
 Defined results: a NULL or empty text has no features and gets the score of margin 0 shifted by the
 curve. Labels are taken from ``quality``; NULL ones are ignored, and of several for one document the
 largest counts. A NULL ``doc_id`` is never held out, has no label and is scored. Repeated rows get
-equal scores. Without labels of both classes every score is the share of label 1 (0.5 if there are no
+equal scores and count once in the sample. Without labels of both classes every score is the share of label 1 (0.5 if there are no
 labels). Empty tables give empty results. Other columns are ignored: neither ``lang`` nor ``source``
 nor ``doc_id`` is read by the score.
 """
@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopyframe.llm.text import chunks, gram_hashes, mix, span_hashes, words
-from canopyframe.session import broadcast_if_small
+from canopyframe.operators.ordered import smallest
+from canopyframe.session import broadcast_if_small, cut
 
 BUCKETS = 1 << 18
 SAMPLE = 12_000
+SAMPLE_BYTES = 64 << 20
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -166,6 +168,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(data, bounds) + self.shift, -30, 30)))
 
 
+def drawn_rows(rows: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(place, text, y) of the ``sample`` different (doc_id, text) of least place, a hash of both.
+
+    The last place is found on hashes and sizes alone by radix selection, so no task gathers texts, and it
+    comes earlier where the texts, each counted with at most ``BUCKETS`` bytes, would exceed ``most_bytes``.
+    """
+    placed = rows.select(F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id", "text"), 1).alias("place"), "text", "y")
+    size = F.least(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(BUCKETS)).cast("bigint")
+    sizes = cut(placed.select("place", size.alias("size")).groupBy("place").agg(F.max("size").alias("size")))
+    least = smallest(sizes, sample, F.col("place"), ["place"]).toPandas().sort_values("place")  # at most ``sample`` rows of two numbers
+    inside = least["place"][least["size"].cumsum() <= max(most_bytes, BUCKETS)]
+    return placed.filter(F.col("place") <= F.lit(int(inside.max()) if len(inside) else -1)).dropDuplicates(["place"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, smooth: float = 0.25) -> Model | float:
     """The model, or the constant score where there are no two classes to learn from."""
     rows = training_rows(docs, labels)
@@ -184,8 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, smooth: float
                     b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo),
                     pa.array([raw[4 * a : 4 * e] for a, e in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())], ["place", "y", "cells"])
 
-    least = rows.select(F.xxhash64(F.lit(3), F.col("doc_id")).alias("place"), "text", "y").orderBy("place", "text", "y").limit(sample)
-    drawn = least.mapInArrow(listed, "place bigint, y int, cells binary").toPandas()
+    drawn = drawn_rows(rows, sample).mapInArrow(listed, "place bigint, y int, cells binary").toPandas().sort_values("place")
     y = np.where(drawn["y"].to_numpy() > 0, 1, -1)
     cells = [np.frombuffer(c, np.int32) for c in drawn["cells"]]
     values = [v / max(float(np.sqrt(v @ v)), 1e-9) for v in (ratio[c] for c in cells)]

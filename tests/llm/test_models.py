@@ -129,6 +129,29 @@ def test_classifier(spark, odd_docs, no_docs):
     assert quality_classifier.classified(odd_docs, only).count() == odd_docs.count()
 
 
+def test_classifier_sample(spark):
+    """Exactly the least places, repeated rows once, fewer rows where texts are long; a third of all rows are one."""
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "same").when(F.col("id") % 3 == 1, F.repeat(F.lit("ab "), F.lit(1000))).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(5, None), (5, "")], "doc_id bigint, text string"))
+    rows = docs.withColumn("y", (F.col("doc_id") % 2).cast("int")).repartition(5)
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id", "text"), 1)
+    every = sorted((r.place, len((r.text or "").encode())) for r in rows.select("doc_id", "text", place.alias("place")).distinct().collect())
+    for n in (1, 100, 1500, 9000):
+        got = quality_classifier.drawn_rows(rows, n).collect()
+        assert sorted(r.place for r in got) == [p for p, _ in every[:n]]
+    total, want = 0, []
+    for p, size in every:
+        total += size
+        if total > 1 << 20:
+            break
+        want.append(p)
+    got = quality_classifier.drawn_rows(rows, 9000, 1 << 20).collect()
+    assert 100 < len(want) < len(every) and sorted(r.place for r in got) == want
+    assert quality_classifier.drawn_rows(rows.filter("false")).count() == 0
+
+
 def test_descent_separates():
     rng = np.random.default_rng(9)
     cells = [np.unique(rng.integers(0, 400, 30)) for _ in range(300)]
